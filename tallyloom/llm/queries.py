@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, license_scan, packing, sharding, simhash, suffix_dedup
+from tallyloom.llm import decontamination, license_scan, packing, quality_rules, sharding, simhash, suffix_dedup
 from tallyloom.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_simhash": op2_simhash,
+        "op3_quality_rules": op3_quality_rules,
         "op4_sharding": op4_sharding,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_decontamination": op9_decontamination,
