@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, license_scan, packing, quality_rules, sharding, simhash, suffix_dedup, warc
+from tallyloom.llm import decontamination, license_scan, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 from tallyloom.llm.common import scratch_path, table
 
 
@@ -61,6 +61,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_sharding": op4_sharding,
         "op6_warc": op6_warc,
+        "op7_toxicity": op7_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
