@@ -40,7 +40,7 @@ TRAIN_LIMIT = 20_000
 MAX_FEATURES = 2_000
 MIN_EVIDENCE = 30.0
 THRESHOLD = 0.3
-RIDGE = 0.02
+RIDGE = 0.05
 STEMS = (4, 5, 6, 7)
 
 # The letters that a character may imitate.
@@ -309,7 +309,19 @@ def fit(docs: DataFrame, labelled: dict, model: np.ndarray, id_col: str = "doc_i
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.int32()))], names=["y", "x"])
 
     sample = ids.mapInArrow(rows, "y int, x array<int>").groupBy("y", "x").count().collect()  # train_limit rows at most
-    return _logistic(sample, names)
+    return _monotone(sample, names)
+
+
+def _monotone(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
+    """A fit in which no feature speaks against toxicity: those that would are left out and the rest fitted again."""
+    weights, intercept = _logistic(sample, names)
+    while any(v < 0 for v in weights.values()):
+        stays = [i for i, f in enumerate(names) if weights[f] >= 0]
+        at = {i: k for k, i in enumerate(stays)}
+        sample = [(r[0], [at[i] for i in r[1] if i in at], r[2]) for r in sample]
+        names = [names[i] for i in stays]
+        weights, intercept = _logistic(sample, names)
+    return weights, intercept
 
 
 def _logistic(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
