@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, license_scan, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from tallyloom.llm import decontamination, language_id, license_scan, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 from tallyloom.llm.common import scratch_path, table
 
 
@@ -49,6 +49,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_quality_rules": op3_quality_rules,
         "op4_sharding": op4_sharding,
+        "op5_language_id": op5_language_id,
         "op6_warc": op6_warc,
         "op7_toxicity": op7_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
