@@ -37,7 +37,7 @@ from tallyloom.llm.common import ship
 from tallyloom.llm.quality_rules import _texts
 
 TRAIN_LIMIT = 20_000
-MAX_FEATURES = 2_000
+MAX_FEATURES = 600
 MIN_EVIDENCE = 30.0
 THRESHOLD = 0.3
 RIDGE = 0.05
@@ -332,8 +332,7 @@ def _logistic(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
     active = [np.array([*r[1], size - 1], dtype=np.int64) for r in sample]
     lengths = np.array([len(a) for a in active])
     row, col = np.repeat(np.arange(len(active)), lengths), np.concatenate(active)
-    cells = np.concatenate([(a[:, None] * size + a[None, :]).reshape(-1) for a in active])
-    owner = np.repeat(np.arange(len(active)), lengths**2)
+    first = np.concatenate(([0], np.cumsum(lengths)))
     ridge = np.full(size, RIDGE)
     ridge[-1] = 1e-6
 
@@ -346,7 +345,12 @@ def _logistic(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.bincount(row, weights=w[col], minlength=len(y))))
         slope = np.bincount(col, weights=(n * (y - p))[row], minlength=size) - ridge * w
-        curve = np.bincount(cells, weights=(n * p * (1 - p))[owner], minlength=size * size).reshape(size, size)
+        curve = np.zeros((size, size))
+        for i in range(0, len(y), 1000):  # a block of rows at a time, to bound the memory
+            j = min(len(y), i + 1000)
+            block = np.zeros((j - i, size))
+            block[row[first[i] : first[j]] - i, col[first[i] : first[j]]] = 1
+            curve += (block * (n * p * (1 - p))[i:j, None]).T @ block
         step = np.linalg.solve(curve + np.diag(ridge), slope)
         scale = 1.0
         while (new := loss(w + scale * step)) > now and scale > 1e-4:
