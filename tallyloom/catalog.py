@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.plans import learner_queries, text_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return learner_queries.QUERIES | text_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return learner_queries.SQL | text_queries.SQL
