@@ -180,7 +180,8 @@ def cut_words(text: str | None, spans: list) -> str | None:
 
 def _scan_by_join(own: DataFrame, benchmark: DataFrame, n: int, item_col: str, text_col: str, keep: tuple[str, ...], remove_spans: bool) -> DataFrame:
     """The same hits when the items outgrow a broadcast: document windows join item windows by a shuffle on their hash."""
-    own = own.withColumn("_row", F.monotonically_increasing_id())
+    # Rows are known by id and text, which every evaluation of the input gives alike.
+    own = own.withColumn("_row", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), split_words(ascii_lower(F.col(text_col)), ALNUM_GAP).alias("w")).filter(F.size("w") > 0)
     sizes = [r[0] for r in items.select(F.least(F.size("w"), F.lit(n)).alias("k")).distinct().collect()]
     words = own.select("_row", split_words(ascii_lower(F.col("text")), ALNUM_GAP).alias("w"))
@@ -199,7 +200,7 @@ def _scan_by_join(own: DataFrame, benchmark: DataFrame, n: int, item_col: str, t
         hits = hits.union(p)
     hits = hits.groupBy("_row").agg(F.collect_set(F.struct("first", "size", "item")).alias("hits"))
     kinds = _schema(own, keep, remove_spans)
-    joined = own.join(hits, "_row", "left").drop("_row")
+    joined = own.join(hits.withColumnRenamed("_row", "_hit"), F.col("_row").eqNullSafe(F.col("_hit")), "left").drop("_row", "_hit")
     names = ["doc_id", *keep, *[f.split()[0] for f in FIELDS.split(", ")][:7]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

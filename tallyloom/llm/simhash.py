@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "pos", F.coalesce("pos", F.lit(0))
     )
     n = F.size("words")
-    whole = (F.col("pos") == 0) & (n < shingle)
+    whole = (F.col("pos") == 0) & (n < shingle) & (n > 0)
     follow = [F.get("words", F.col("pos") + i) for i in range(shingle)]
     text = F.when(F.col("pos") + (shingle - 1) < n, F.concat_ws(" ", *follow)).when(whole, F.array_join("words", " "))
     hashes = rolled.select("doc_id", "copy", "pos", text.alias("text")).select(
