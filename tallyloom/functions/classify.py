@@ -28,7 +28,11 @@ def rule_intent(x: Column) -> Column:
 
 
 def rule_topics(x: Column) -> Column:
-    q = fold_case(x)
+    return folded_topics(fold_case(x))
+
+
+def folded_topics(q: Column) -> Column:
+    """rule_topics of a text that is folded already; fold it in a column of its own where several rules use it."""
     found = F.array_compact(F.array(*[F.when(any_of(q, terms), t) for t, terms in D.TOPIC_TERMS.items()]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("General")))
 
@@ -62,8 +66,9 @@ def difficulty_result(x: Column) -> Column:
     return F.when(is_question(x), F.struct(label.alias("label"), F.lit(0.6).alias("confidence"), scores.alias("scores"), F.lit("rule").alias("source")))
 
 
-def topic_result(x: Column) -> Column:
-    labels = rule_topics(x)
+def topic_result(x: Column, labels: Column | None = None) -> Column:
+    """labels: rule_topics of x, if they are at hand."""
+    labels = rule_topics(x) if labels is None else labels
     scores = scored(D.TOPICS, lambda t: F.array_contains(labels, t), 0.9, 0.1)
     return F.when(is_question(x), F.struct(labels.alias("labels"), scores.alias("scores"), F.lit("rule").alias("source")))
 
@@ -130,9 +135,13 @@ def topic_signals(text: Column) -> dict[str, Column]:
     return {t: any_of(low, terms) for t, terms in D.CALIBRATION_TERMS.items()}
 
 
-def calibrated_topics(scores: Column, text: Column) -> Column:
-    """Corrections one after another, each within 0-1; not made to sum to 1."""
-    s = topic_signals(text)
+def calibrated_topics(scores: Column, text: Column, signals: dict[str, Column] | None = None, rules: Column | None = None) -> Column:
+    """Corrections one after another, each within 0-1; not made to sum to 1.
+
+    signals and rules: topic_signals and rule_topics of the text, as columns,
+    so that they are not found again for every label.
+    """
+    s = signals or topic_signals(text)
     steps = [
         (s["DSA"] & ~s["OOP"], {"DSA": 0.12, "OOP": -0.22}),
         (F.contains(F.lower(text), F.lit("hash")) & ~s["DBMS"], {"DSA": 0.10, "DBMS": -0.18}),
@@ -145,7 +154,7 @@ def calibrated_topics(scores: Column, text: Column) -> Column:
     def within(v: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
-    rules = rule_topics(text)
+    rules = rule_topics(text) if rules is None else rules
     named = ~F.array_contains(rules, "General")
 
     def corrected(k: Column, v: Column) -> Column:
@@ -157,8 +166,8 @@ def calibrated_topics(scores: Column, text: Column) -> Column:
     return F.transform_values(scores, corrected)
 
 
-def selected_topics(scores: Column, text: Column, labels: list[str] = D.TOPICS, threshold: float = 0.5) -> Column:
-    s = topic_signals(text)
+def selected_topics(scores: Column, text: Column, labels: list[str] = D.TOPICS, threshold: float = 0.5, signals: dict[str, Column] | None = None) -> Column:
+    s = signals or topic_signals(text)
     both = s["DSA"] & s["OOP"]
     over = F.array_compact(F.array(*[F.when(F.element_at(scores, t) >= threshold, t) for t in labels]))
     forced = F.when(both, F.array_union(over, F.array(F.lit("DSA"), F.lit("OOP")))).otherwise(over)

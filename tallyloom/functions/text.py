@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,12 +56,12 @@ def fold_marks(x: Column) -> Column:
 
 
 def any_of(x: Column, terms: list[str]) -> Column:
-    """Whether any term is a substring, by one alternation."""
-    return x.rlike("|".join(quoted(t) for t in terms))
+    """Whether any term is a substring: plain searches, which stop at the first hit."""
+    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for t in terms])
 
 
 def starts_with_any(x: Column, prefixes: list[str]) -> Column:
-    return x.rlike("^(?:" + "|".join(quoted(p) for p in prefixes) + ")")
+    return reduce(lambda a, b: a | b, [F.startswith(x, F.lit(p)) for p in prefixes])
 
 
 def quoted(term: str) -> str:

@@ -307,8 +307,9 @@ def rule_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {_Q} SELECT question_id, array_to_string({duck.rule_topics('q')}, ',') AS topics, CASE WHEN valid THEN CASE WHEN list_contains({duck.rule_topics('q')}, 'DSA') THEN 0.9 ELSE 0.1 END END AS dsa FROM folded")
 def rule_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 C6 P4 P6."""
-    x = F.col("text")
-    return _questions(spark, sf_dir).select("question_id", F.array_join(C.rule_topics(x), ",").alias("topics"), F.element_at(C.topic_result(x)["scores"], "DSA").alias("dsa"))
+    rows = _questions(spark, sf_dir).withColumn("q", T.fold_case(F.col("text"))).withColumn("labels", C.folded_topics(F.col("q")))
+    result = C.topic_result(F.col("text"), F.col("labels"))
+    return rows.select("question_id", F.array_join("labels", ",").alias("topics"), F.element_at(result["scores"], "DSA").alias("dsa"))
 
 
 @register(f"WITH {_Q} SELECT question_id, {duck.rule_difficulty('q')} AS difficulty, CASE WHEN valid THEN 0.6 END AS confidence FROM folded")
@@ -408,8 +409,11 @@ def _topic_sql() -> str:
 def topic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections of topic scores, and the labels selected (shown in order of name)."""
     x = F.col("text")
-    rows = _questions(spark, sf_dir).withColumn("s", C.calibrated_topics(_scores(D.TOPICS, F.col("question_id")), x))
-    chosen = F.array_join(F.array_sort(C.selected_topics(F.col("s"), x)), ",").alias("selected")
+    rows = _questions(spark, sf_dir).withColumns({"q": T.fold_case(x), **{f"has_{t}": c for t, c in C.topic_signals(x).items()}})
+    signals = {t: F.col(f"has_{t}") for t in D.CALIBRATION_TERMS}
+    rows = rows.withColumn("rules", C.folded_topics(F.col("q")))
+    rows = rows.withColumn("s", C.calibrated_topics(_scores(D.TOPICS, F.col("question_id")), x, signals, F.col("rules")))
+    chosen = F.array_join(F.array_sort(C.selected_topics(F.col("s"), x, signals=signals)), ",").alias("selected")
     return rows.select("question_id", *[F.round(F.element_at("s", t), 6).alias(t) for t in D.TOPICS], chosen)
 
 
