@@ -11,6 +11,62 @@ from tallyloom.llm import decontamination, language_id, license_scan, packing, q
 from tallyloom.llm.common import scratch_path, table
 
 
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+def _op1_sql() -> str:
+    rows = license_scan.template_rows(license_scan.BASE_PHRASES, license_scan.NOTICES)
+    cells = ", ".join(f"({t}, '{label}', {str(b).lower()}, {n}, {i}, '{w}', '{v}')" for t, label, b, n, i, w, v in rows)
+    return f"""
+WITH t(tid, label, is_base, t_grams, t_pos, word, next) AS (VALUES {cells}),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, w[i] AS word, w[i + 1] AS next FROM d, unnest(range(1, len(w))) r(i)),
+v AS (SELECT doc_id, tid, label, is_base, t_grams, pos - t_pos AS diagonal, count(*) AS votes FROM g JOIN t USING (word, next) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER q <= {license_scan.SLACK} THEN 0 ELSE 1 END AS starts FROM v WINDOW q AS (PARTITION BY doc_id, tid ORDER BY diagonal)),
+c AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS cluster FROM o),
+s AS (SELECT doc_id, tid, label, is_base, least(sum(votes) / t_grams, 1.0) AS share, count(*) FILTER (votes = t_grams) AS places,
+        min(diagonal) FILTER (votes = t_grams) AS first, max(diagonal) FILTER (votes = t_grams) AS last FROM c GROUP BY doc_id, tid, label, is_base, t_grams, cluster),
+k AS (SELECT *, is_base AND places > 0 AS base, NOT is_base AND share >= {license_scan.MIN_SHARE} AS notice FROM s),
+f AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR notice) AS labels,
+        max(CASE WHEN base THEN 1.0 WHEN notice THEN share END) AS score FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM b, unnest(range(1, len(w) - k + 2)) r(i)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM d, ks, unnest(range(1, len(w) - k + 2)) r(i)),
+h AS (SELECT DISTINCT doc_id, i, k, item_id FROM dw JOIN bw USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + k)) r(p) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+# Bytes as two hex digits each; a string of 100 bytes is 200 digits.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS g FROM d, unnest(range(0, len(x) // 2 - 99)) r(i)),
+m AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY g) AS first FROM s),
+r AS (SELECT doc_id, i FROM m WHERE first.d <> doc_id OR first.i <> i),
+c AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM r),
+k AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM k GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+e AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS tail, list(struct_pack(f := before, l := a) ORDER BY a) AS kept FROM q GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN x ELSE array_to_string(list_transform(kept, lambda t: substr(x, 2 * t.f + 1, 2 * (t.l - t.f))), '') || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -95,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op1_license_scan": _op1_sql(), "op6_warc": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
