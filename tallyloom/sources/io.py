@@ -51,7 +51,7 @@ def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     text that was extracted elsewhere.
     """
     files = spark.read.format("binaryFile").load(path).filter(extension(F.col("path")).isin("txt", "ats"))
-    return parse_resumes(files.select("path", F.decode("content", "UTF-8").alias("text")))
+    return parse_resumes(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
 
 
 def parse_resumes(rows: DataFrame) -> DataFrame:
