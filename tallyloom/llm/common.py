@@ -6,6 +6,7 @@ cut.  Nothing here holds rows on the driver.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -90,9 +91,14 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
+    uri = f"{shared_dir(spark)}/{sc.applicationId}/{root.name}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(uri)
     _shipped.add(sc.applicationId)

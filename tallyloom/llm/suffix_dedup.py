@@ -19,7 +19,8 @@ rank of a longer string, until ``length`` is reached:
     length, unique ones drop out, and the sorted pairs of ranks (at s, at
     s + length/2) give the ranks at full length; each but the first of a rank
     is a repeat.  A seed with more than ``HOT_CONTEXTS`` contexts is not kept
-    in one group: its positions are dealt out by the name of their string.
+    in one group: its positions are dealt out by the name of their string, and
+    those that repeat another of the same batch are settled before that.
 
 Names are 64-bit hashes compared within a seed's 64-bit hash, 128 bits in all.
 
@@ -47,7 +48,9 @@ from tallyloom.llm.common import ship, written
 
 LENGTH = 100
 SEED = 32
-HOT_CONTEXTS = 4096
+HOT_CONTEXTS = 1024
+#: Stands in the place of bytes for a position that is known to repeat.
+KNOWN = b"R"
 #: Bytes of text that a task winnows before it sends on what it found.
 BUFFER = 24_000_000
 
@@ -206,7 +209,7 @@ def _judged(anchors: DataFrame, hot_contexts: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
-    """(g, doc_id, at, ctx): the bytes around each edge; of hot seeds, a row a position with its string's name as g and no bytes."""
+    """(g, doc_id, at, ctx): the bytes around each edge; of hot seeds, a row a position with its string's name as g and no bytes, or KNOWN."""
     kind = dict(docs.dtypes)["doc_id"]
     listed = edges.groupBy("doc_id", F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("copy")).agg(
         F.collect_list(F.struct(F.shiftright("at", 16).alias("p"), "g", "kind")).alias("edges")
@@ -218,6 +221,7 @@ def _contexts(docs: DataFrame, edges: DataFrame, length: int, seed: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, starts, seeds, bytes_ = [], [], [], []
+            hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             columns = [batch.column(c).to_pylist() for c in ("copy", "text")]
             lists = batch.column("edges")
             flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -236,15 +240,32 @@ def _contexts(docs: DataFrame, edges: DataFrame, length: int, seed: int) -> Data
                     raw = np.frombuffer(text, dtype=np.uint8)
                     sums = _prefix_sums(raw)
                     s = np.unique(np.concatenate([np.arange(max(0, a + seed - length), min(a, len(raw) - length) + 1) for a in p[k == 2].tolist()]))
-                    own += [i] * len(s)
-                    starts += (s << 16 | copy).tolist()
-                    seeds += _names(sums, s, s + length).view(np.int64).tolist()
-                    bytes_ += [b""] * len(s)
+                    hot.append((np.full(len(s), i), s << 16 | copy, _names(sums, s, s + length)))
+            if hot:
+                rows, place, name, known = _settled(batch.column("doc_id").to_pylist(), *map(np.concatenate, zip(*hot)))
+                own += rows.tolist()
+                starts += place.tolist()
+                seeds += name.view(np.int64).tolist()
+                bytes_ += [KNOWN if x else b"" for x in known.tolist()]
             yield from _sliced(pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), batch.column("doc_id").take(pa.array(own, pa.int64())), pa.array(starts, pa.int64()), pa.array(bytes_, pa.binary())], names=["g", "doc_id", "at", "ctx"]), 10_000)
 
     return joined.mapInArrow(run, f"g long, doc_id {kind}, at long, ctx binary")
 
 
+def _settled(ids: list, row: np.ndarray, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, name, known): all but the earliest of a name are known to repeat, and get a name that spreads them."""
+    number = {x: n for n, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
+    rank = np.array([number[x] for x in ids], dtype=np.int64)[row]
+    order = np.lexsort((place, rank, name))
+    row, place, name, rank = row[order], place[order], name[order], rank[order]
+    new = np.concatenate(([True], name[1:] != name[:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+    known = (rank != rank[first]) | (place != place[first])
+    with np.errstate(over="ignore"):
+        name = np.where(known, _mixed(name + place.astype(np.uint64) * np.uint64(_STEP) + rank.astype(np.uint64)), name)
+    return row, place, name, known
+
+
 def _doubled(g: np.ndarray, ctx: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, rank at full length) of positions in contexts whose string is not unique for its seed."""
     half = length // 2
@@ -282,8 +303,9 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         ctx = table.column("ctx").to_pylist()
         code = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         code = np.nan_to_num(code, nan=-1).astype(np.int64)
+        known = np.array([x == KNOWN for x in ctx])
         empty = np.array([not x for x in ctx])
-        rows, starts = [], []
+        rows, starts = [np.flatnonzero(known)], [np.zeros(known.sum(), dtype=np.int64)]
         one = np.flatnonzero(empty)
         if len(one):
             new = np.concatenate(([True], g[one][1:] != g[one][:-1]))
@@ -291,7 +313,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
             again = (code[one] != code[first]) | (at[one] != at[first])
             rows.append(one[again])
             starts.append(np.zeros(again.sum(), dtype=np.int64))
-        full = np.flatnonzero(~empty)
+        full = np.flatnonzero(~empty & ~known)
         if len(full):
             row, pos, rank = _doubled(g[full], [ctx[i] for i in full], length)
             row = full[row]
@@ -305,8 +327,8 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
             again = (code[row[w]] != code[row[least]]) | (place[w] != place[least]) | ((at[row[w]] & 0xFFFF) != (at[row[least]] & 0xFFFF))
             rows.append(row[w][again])
             starts.append(pos[w][again])
-        row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        first = (at[row] >> 16) + (np.concatenate(starts) if starts else row)
+        row = np.concatenate(rows)
+        first = (at[row] >> 16) + np.concatenate(starts)
         order = np.lexsort((first, row))
         row, first = row[order], first[order]
         runs = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (first[1:] > first[:-1] + length)))) if len(row) else row
