@@ -72,7 +72,7 @@ _leet = re.escape("".join(LEET))
 _gap = re.escape(_SEPARATORS)
 #: What looks disguised in lower-case text; blanks only set single characters apart.
 DISGUISED = re.compile(
-    rf"(?<![^{_gap}\n\t\r])[a-z{_leet}](?:[{_gap}]{{1,2}}[a-z{_leet}]){{2,}}(?=[{_gap}\n\t\r]|\Z)"  # s p a c e d, s.p.a.c.e.d
+    rf"(?<![^{_gap}\n\t\r])[a-z{_leet}](?:[{_gap}]{{1,3}}[a-z{_leet}]){{2,}}(?=[{_gap}\n\t\r]|\Z)"  # s p a c e d, s.p.a.c.e.d
     rf"|[^\s.,;:]*[^\W\d_][{_leet}]+[^\W\d_][^\s,;:]*"  # w1thin
     rf"|(?<!\S)[{_leet}]+[^\W\d_]{{2,}}[^\s,;:]*"  # 1nitial
     r"|[^\W\d_]{2,}[0-9@$]+(?=[\s.,;:]|$)"  # fina1
@@ -108,7 +108,7 @@ def suspicions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         before[offsets[:-1][offsets[:-1] < size]] = True
         after[offsets[1:][offsets[1:] > 0] - 1] = True
         alone = before & after & (leet | letter)
-        for step in (2, 3):
+        for step in (2, 3, 4):
             if size > step:
                 sign[1 : size - step + 1] += alone[:-step] & alone[step:]
     return np.cumsum(sign)
@@ -134,9 +134,9 @@ def model_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["gram", "n"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, n long")
+    sums = parts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # SYMBOLS ** 4 rows at most
     out = np.zeros(size)
-    for gram, n in parts.groupBy("gram").agg(F.sum("n")).collect():  # SYMBOLS ** 4 rows at most
-        out[gram] = n
+    out[sums["gram"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 

@@ -47,6 +47,8 @@ REVISIT_BYTES = 1000
 ROLL_BYTES = 16_000_000
 SHARD_BYTES = 24_000_000
 MAX_BROADCAST_GROUPS = 200_000
+#: More shards than this are not made, which bounds the sample on the driver; shards grow instead.
+MAX_SHARDS = 10_000
 #: A fixed date, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -157,8 +159,8 @@ def write_warc(
     rows = classified(pages, revisit_bytes, id_col, url_col, html_col)
     sizes = pages.select(F.col(id_col).alias("id"), F.octet_length(html_col).alias("size"))
     total, count = sizes.agg(F.sum("size"), F.count("*")).first()
-    shards = max(1, -(-((total or 0) + 500 * count) // shard_bytes))
-    drawn = [r[0] for r in sizes.filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(shards * 64).select("id").collect()]
+    shards = min(MAX_SHARDS, max(1, -(-((total or 0) + 500 * count) // shard_bytes)))
+    drawn = [r[0] for r in sizes.filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(shards * 32).select("id").collect()]
     drawn.sort()
     splitters = sorted({drawn[len(drawn) * i // shards] for i in range(1, shards)}) if drawn else []
 

@@ -64,7 +64,7 @@ def test_long_text_in_one_call():
     assert label(["zyz"])[0][0] == "b"
 
 
-DISGUISES = {"1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "m0r0n": "moron", "$cum": "scum", "looooser": "loser", "tr@sh": "trash", "you i d i o t now": "you idiot now", "plain words": "plain words"}
+DISGUISES = {"1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "m0r0n": "moron", "$cum": "scum", "looooser": "loser", "i - d - i - o - t": "idiot", "L  0  S  E  R": "loser", "tr@sh": "trash", "you i d i o t now": "you idiot now", "plain words": "plain words"}
 
 
 def model():
