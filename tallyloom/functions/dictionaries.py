@@ -122,3 +122,5 @@ DEFINITION_POINTS = ["Clear and concise explanation", "Essential characteristics
 OTHER_POINTS = ["Comprehensive understanding", "Supporting details", "Relevant examples"]
 
 WEAK_TOPIC_DEFAULT = ["DSA", "OS"]
+
+PHRASE_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]

@@ -10,7 +10,7 @@ from tallyloom.functions import dictionaries as D
 from tallyloom.functions import extract as X
 from tallyloom.functions import scoring as S
 from tallyloom.functions import text as T
-from tallyloom.operators import matching
+from tallyloom.operators import matching, phrases
 from tallyloom.plans import duck
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import answers, bank, references, table
@@ -590,3 +590,13 @@ def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank(spark, sf_dir)
     report = S.report_lines(F.col("text"), F.col("text"), F.lit(50.0), S.letter_grade(F.lit(50.0)))
     return rows.select("question_id", F.array_join(S.key_points(F.col("intent"), F.col("difficulty")), ";").alias("points"), report.alias("report"))
+
+
+@register(f"""WITH w AS (SELECT doc_id AS id, list_filter({duck.tok(duck.fold_marks("substr(text, 1, 2000)"))}, lambda w: NOT list_contains({duck.strings(D.PHRASE_STOP_WORDS)}, w)) AS w FROM documents),
+p AS (SELECT id, unnest(w) AS phrase FROM w UNION ALL SELECT id, w[i] || ' ' || w[i + 1] FROM w, unnest(range(1, len(w))) r(i)),
+c AS (SELECT id, phrase, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT phrase, count(*) AS df FROM c GROUP BY 1),
+g AS (SELECT id, phrase, n, round(n * ln((SELECT count(*) FROM documents) / df), 6) AS weight FROM c JOIN s USING (phrase)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, phrase) AS place FROM g) SELECT id, phrase, n, weight, place::INT AS place FROM r WHERE place <= 15""")
+def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C16 (a substitute): fifteen phrases of each document by term weight."""
+    return phrases.key_phrases(table(spark, sf_dir, "documents"))

@@ -126,6 +126,23 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Chunks (subject, pos, id, page, text, embedding), a folder a subject: the vectors stand beside their text."""
+    chunks.write.mode("overwrite").partitionBy("subject").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, subject: str) -> DataFrame | None:
+    """One subject's chunks, or None if there are none."""
+    if not _exists(spark, f"{path}/subject={subject}"):
+        return None
+    return spark.read.parquet(path).filter(F.col("subject") == subject)
+
+
+def unfinished(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys are not done yet, to take a job up where it stopped."""
+    return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def label_metadata(spark: SparkSession, labels: list[str]) -> DataFrame:
     """(id, label) rows of a task."""
     return spark.createDataFrame(list(enumerate(labels)), "id int, label string")

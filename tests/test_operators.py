@@ -126,7 +126,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(Exception, match="unsupported format"):
         io.parse_resumes(spark.createDataFrame([("x.rtf", "a")], "path string, text string")).collect()
     (tmp_path / "ix").mkdir()
-    (tmp_path / "ix" / "os.index").write_bytes(b"")
+    (tmp_path / "ix" / "os.index").write_bytes(b"x")
     assert [r.subject for r in io.subjects(spark, str(tmp_path / "ix")).collect()] == ["os"]
 
 
@@ -162,3 +162,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(last.collect()) == sorted(stream.topic_stats(batch).collect())
     sessions = stream.session_scores(batch).collect()
     assert sum(s.answers for s in sessions) == 120
+
+
+def test_index_and_resume(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    rows = spark.createDataFrame([("os", 0, 1, [0.5]), ("cn", 1, 2, [0.1])], "subject string, pos int, page int, embedding array<float>")
+    io.write_index(rows, path)
+    assert io.read_index(spark, path, "os").first().page == 1 and io.read_index(spark, path, "db") is None
+    assert [r.subject for r in io.unfinished(rows, rows.filter("pos = 0"), "subject").collect()] == ["cn"]
