@@ -3,9 +3,10 @@
 The tokenizer drops white space and never joins across it, so the ids of a
 text are the ids of its chunks in order; a chunk is encoded once and then
 looked up.  Chunks of letters are encoded many to a call and told apart by
-the end-of-word ids.  A chunk of letters with one trailing comma or full stop
+the end-of-word ids; those of a-z alone need no normaliser.  A chunk of letters with one trailing comma or full stop
 is its letters plus that mark.  Texts with "<|" may hold special tokens,
-whose spelling is exact, and are encoded whole.
+whose spelling is exact, and are encoded whole; so are all texts of a
+tokenizer that minds white space.
 """
 
 from __future__ import annotations
@@ -30,26 +31,32 @@ class ChunkEncoder:
     later ones last for a batch.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = Sequence([]), WhitespaceSplit()
         self.limit = limit
         self.cache: dict[bytes, bytes] = {}
         self.marks = {m: self._ids([m.decode()])[0] for m in (b",", b".")}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        one, two, both = self._ids(["The", "quick", " The \n quick "])
+        self.by_chunks = both == one + two
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=_U32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def _word_ids(self, words: list[str], tokenizer: object) -> list[bytes]:
         """Ids of words that are letters only, each one run up to an end-of-word id."""
         out: list[bytes] = []
         for i in range(0, len(words), 2000):
             own = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=_U32)
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=_U32)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(own):  # a tokenizer without end-of-word ids
                 out += self._ids(own)
@@ -63,21 +70,23 @@ class ChunkEncoder:
     def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that are not in the cache, and of their stems."""
         cache = self.cache
+        plain: dict[bytes, str] = {}
         letters: dict[bytes, str] = {}
         other: list[bytes] = []
         marked: list[bytes] = []
         for chunk in chunks:
             text = chunk.decode()
             if text.isalpha():
-                letters[chunk] = text
+                (plain if text.isascii() else letters)[chunk] = text
             elif chunk[-1:] in self.marks and text[:-1].isalpha():
                 marked.append(chunk)
                 stem = chunk[:-1]
                 if stem not in cache:
-                    letters[stem] = text[:-1]
+                    (plain if text.isascii() else letters)[stem] = text[:-1]
             else:
                 other.append(chunk)
-        new = dict(zip(letters, self._word_ids(list(letters.values()))))
+        new = dict(zip(plain, self._word_ids(list(plain.values()), self.bare)))
+        new.update(zip(letters, self._word_ids(list(letters.values()), self.tokenizer)))
         new.update(zip(other, self._ids([c.decode() for c in other])))
         for chunk in marked:
             stem = chunk[:-1]
@@ -90,12 +99,12 @@ class ChunkEncoder:
         for text in texts:
             raw = (text or "").encode()
             # Lowering A-Z first is what the tokenizer's own normaliser does, and shares cache entries.
-            split.append(None if b"<|" in raw else raw.lower().split())
+            split.append(None if b"<|" in raw or not self.by_chunks else raw.lower().split())
         cache = self.cache
         new = self._learn(set().union(*[words for words in split if words]).difference(cache))
         cache.update(new)
         ids = cache.__getitem__
-        out = [self._ids([text])[0] if words is None else b"".join(map(ids, words)) for text, words in zip(texts, split)]
+        out = [self._ids([text or ""])[0] if words is None else b"".join(map(ids, words)) for text, words in zip(texts, split)]
         if len(cache) > self.limit:
             for chunk in new:
                 del cache[chunk]

@@ -26,6 +26,14 @@ def test_chunks_give_the_tokenizers_ids(texts):
             assert ids == np.array(want, dtype="<u4").tobytes()
 
 
+def test_tokenizer_that_minds_white_space(texts):
+    encoder = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encoder.by_chunks
+    for text, ids in zip(ODD, encoder.encode_batch(ODD)):
+        assert ids == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert ChunkEncoder(PATH).by_chunks and encoder.encode_batch([None]) == [b""]
+
+
 def test_pieces_and_places(docs, rows):
     got = P.pack_documents(docs, PATH, with_ids=True).collect()
     tokenizer = ChunkEncoder(PATH).tokenizer
