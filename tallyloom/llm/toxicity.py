@@ -37,7 +37,7 @@ from tallyloom.llm.common import ship
 from tallyloom.llm.quality_rules import _texts
 
 TRAIN_LIMIT = 20_000
-MAX_FEATURES = 600
+MAX_FEATURES = 2_000
 MIN_EVIDENCE = 30.0
 THRESHOLD = 0.3
 RIDGE = 0.05
@@ -316,16 +316,21 @@ def _monotone(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
     """A fit in which no feature speaks against toxicity: those that would are left out and the rest fitted again."""
     weights, intercept = _logistic(sample, names)
     while any(v < 0 for v in weights.values()):
+        start = np.array([*[v for v in weights.values() if v >= 0], intercept])
         stays = [i for i, f in enumerate(names) if weights[f] >= 0]
         at = {i: k for k, i in enumerate(stays)}
         sample = [(r[0], [at[i] for i in r[1] if i in at], r[2]) for r in sample]
         names = [names[i] for i in stays]
-        weights, intercept = _logistic(sample, names)
+        weights, intercept = _logistic(sample, names, start)
     return weights, intercept
 
 
-def _logistic(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
-    """Ridge logistic regression by Newton steps; sample rows are (label, feature numbers, count)."""
+def _logistic(sample: list, names: list[str], start: np.ndarray | None = None) -> tuple[dict[str, float], float]:
+    """Ridge logistic regression by Newton steps; sample rows are (label, feature numbers, count).
+
+    Rows with the same features and label come once with their count, and
+    rows without any feature are two rows in all.
+    """
     size = len(names) + 1  # the last is the intercept
     y = np.array([r[0] for r in sample], dtype=float)
     n = np.array([r[2] for r in sample], dtype=float)
@@ -340,7 +345,7 @@ def _logistic(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
         z = np.bincount(row, weights=w[col], minlength=len(y))
         return float((n * (np.logaddexp(0, z) - y * z)).sum() + (ridge * w * w).sum() / 2)
 
-    w = np.zeros(size)
+    w = np.zeros(size) if start is None else start.copy()
     now = loss(w)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.bincount(row, weights=w[col], minlength=len(y))))
@@ -356,7 +361,7 @@ def _logistic(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
         while (new := loss(w + scale * step)) > now and scale > 1e-4:
             scale /= 2
         w += scale * step
-        if now - new < 1e-7 * max(1.0, now):
+        if now - new < 1e-6 * max(1.0, now):
             break
         now = new
     return {f: round(float(v), 9) for f, v in zip(names, w)}, round(float(w[-1]), 9)
