@@ -52,7 +52,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The words of a text; none if it has no letter, as superscripts and fractions alone are not one."""
+    words = _WORD.findall((text or "").lower())
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ def test_language_accuracy_on_held_out_rows(spark):
 
 def test_code_switches_and_gaps(spark):
     en, de = "the and of with that this from which there under ", "und der nicht einer auch werden durch über schon noch "
-    docs = spark.createDataFrame([(i, (en if i % 2 else de) * 12, "en" if i % 2 else "de") for i in range(60)] + [(100, en * 2 + de * 3, None), (101, None, "en"), (102, "12 34 !?", None), (103, "", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, (en if i % 2 else de) * 12, "en" if i % 2 else "de") for i in range(60)] + [(100, en * 2 + de * 3, None), (101, None, "en"), (102, "12 34 !? ² ½", None), (103, "", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in I.identify(docs, with_words=True).collect()}
     assert got[100].lang_pred == "de" and got[100].word_langs == ["en"] * 20 + ["de"] * 30
     assert {got[i].lang_pred for i in (101, 102, 103)} == {"und"} and got[103].score == 0
