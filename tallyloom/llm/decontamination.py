@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ALNUM_GAP, ALNUM_TABLE, ascii_lower, ship, split_words
+from tallyloom.llm.common import ALNUM_GAP, ALNUM_TABLE, ascii_lower, ship, small_batches, split_words
 
 WINDOW = 10
 MAX_WORDS = 2_000_000
@@ -134,7 +134,7 @@ def scan(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = windows.value
         number = table.numbers.get
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             cleaned = []
             for text in batch.column("text").to_pylist():
@@ -204,7 +204,7 @@ def _scan_by_join(own: DataFrame, benchmark: DataFrame, n: int, item_col: str, t
     names = ["doc_id", *keep, *[f.split()[0] for f in FIELDS.split(", ")][:7]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, cleaned = [], []
             for text, hit in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
                 n_words = len((text or "").encode().translate(ALNUM_TABLE).split())

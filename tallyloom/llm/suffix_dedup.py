@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ship, written
+from tallyloom.llm.common import ship, small_batches, written
 
 LENGTH = 100
 SEED = 32
@@ -52,7 +52,7 @@ HOT_CONTEXTS = 1024
 #: Stands in the place of bytes for a position that is known to repeat.
 KNOWN = b"R"
 #: Bytes of text that a task winnows before it sends on what it found.
-BUFFER = 24_000_000
+BUFFER = 12_000_000
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -170,7 +170,7 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             batch_type[0] = batch.schema.field("doc_id").type
             for doc_id, copy, text in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").to_pylist()):
                 raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -219,7 +219,7 @@ def _contexts(docs: DataFrame, edges: DataFrame, length: int, seed: int) -> Data
     joined = docs.join(listed, same).select(docs["doc_id"], docs["copy"], "text", "edges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             own, starts, seeds, bytes_ = [], [], [], []
             hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             columns = [batch.column(c).to_pylist() for c in ("copy", "text")]
@@ -395,7 +395,7 @@ def dedup(
     schema = f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string{carried}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [cut_spans(text, spans) for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]

@@ -11,6 +11,8 @@ tokenizer that minds white space.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 _U32 = np.dtype("<u4")
@@ -31,14 +33,11 @@ class ChunkEncoder:
     later ones last for a batch.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
-        from tokenizers.normalizers import Sequence
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = Sequence([]), WhitespaceSplit()
+        self.model = self.tokenizer.model
         self.limit = limit
         self.cache: dict[bytes, bytes] = {}
         self.marks = {m: self._ids([m.decode()])[0] for m in (b",", b".")}
@@ -51,12 +50,21 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=_U32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str], tokenizer: object) -> list[bytes]:
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of a-z, by the model alone."""
+        split = self.model.tokenize
+        out = []
+        for word in words:
+            ids = [t.id for t in split(word)]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words that are letters only, each one run up to an end-of-word id."""
         out: list[bytes] = []
         for i in range(0, len(words), 2000):
             own = words[i : i + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=_U32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=_U32)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(own):  # a tokenizer without end-of-word ids
                 out += self._ids(own)
@@ -85,8 +93,8 @@ class ChunkEncoder:
                     (plain if text.isascii() else letters)[stem] = text[:-1]
             else:
                 other.append(chunk)
-        new = dict(zip(plain, self._word_ids(list(plain.values()), self.bare)))
-        new.update(zip(letters, self._word_ids(list(letters.values()), self.tokenizer)))
+        new = dict(zip(plain, self._plain_ids(list(plain.values()))))
+        new.update(zip(letters, self._word_ids(list(letters.values()))))
         new.update(zip(other, self._ids([c.decode() for c in other])))
         for chunk in marked:
             stem = chunk[:-1]
