@@ -49,6 +49,8 @@ from tallyloom.llm.common import ship, small_batches, written
 LENGTH = 100
 SEED = 32
 HOT_CONTEXTS = 1024
+#: Contexts whose positions are ranked at once; a seed is never parted.
+CONTEXTS_AT_ONCE = 3_000
 #: Stands in the place of bytes for a position that is known to repeat.
 KNOWN = b"R"
 #: Bytes of text that a task winnows before it sends on what it found.
@@ -347,7 +349,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                 continue
             held.append(batch)
             count += batch.num_rows
-            if count >= 20_000:
+            if count >= CONTEXTS_AT_ONCE:
                 table = pa.Table.from_batches(held)
                 g = table.column("g").to_numpy()
                 whole = int(np.searchsorted(g, g[-1]))  # the last seed may go on
