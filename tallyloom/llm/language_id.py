@@ -12,15 +12,18 @@ Forward-backward gives every word its language probabilities in the whole
 text's context; their mean over the words is the text's, and the largest of
 them its score.
 
-Training takes the ``train_limit`` labelled rows that come first by hash, of
-those whose crc32(id as text) mod 4 is not 2, with their whole texts.
+Training takes ``train_limit`` labelled rows of those whose crc32(id as text)
+mod 4 is not 2: the first by hash of each language, then the first by hash of
+all.  Their texts are whole unless they exceed ``train_chars`` characters in
+sum; then the longest are cut to one common length, so that every chosen row
+and its language stay.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without any labelled row all texts are; rows that repeat a doc_id are
 labelled each on their own text; an empty table gives an empty result.
 
-Scale: one scan for the sample and one for the labels, no shuffle; the model
-has a fixed size.
+Scale: three scans for the sample, which shuffle keys only, and one for the
+labels; the model has a fixed size.
 """
 
 from __future__ import annotations
@@ -42,8 +45,8 @@ BUCKETS = 1 << 16
 LEXICON = 500
 PIECE = 16
 ROUNDS = 30
-#: Words of the training texts beyond which further rows of the sample are not taken, to bound the driver's memory.
-MAX_TRAIN_WORDS = 500_000
+#: Characters of all training texts together, to bound the driver's memory.
+TRAIN_CHARS = 4_000_000
 #: Rows labelled at once.
 ROWS = 2_500
 UNKNOWN = "und"
@@ -244,19 +247,44 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
     return model
 
 
-def training_rows(docs: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(lang, text) of the labelled training rows that come first by hash."""
+def fair_share(lengths: list[int], total: int) -> int:
+    """The largest length that all texts can be cut to for their sum to be within ``total``; shorter texts leave theirs to longer ones."""
+    left = total
+    for i, n in enumerate(sorted(lengths)):
+        share = left // (len(lengths) - i)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(lengths, default=1)
+
+
+def training_rows(
+    docs: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS
+) -> list[tuple[str, str]]:
+    """(lang, text) of the labelled training rows: the first of each language, then those that come first by hash; repeated rows count once.
+
+    Texts that together exceed ``train_chars`` are cut on the executors to one
+    common length, at the end of a word.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    own = own.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
-    # Ids first, so that the sort holds no text.
-    chosen = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(limit)
-    rows = own.join(F.broadcast(chosen), "id").select("id", "lang", "text")
-    out, words = [], 0
-    for _, lang, text in sorted(map(tuple, rows.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1], r[2])):
-        words += text.count(" ") + 1
-        if words > MAX_TRAIN_WORDS and out:
-            break
-        out.append((lang, text))
+    own = own.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).withColumn("copy", F.xxhash64("text"))
+    # Keys first, so that the sort holds no text.
+    place = F.struct(F.xxhash64("id").alias("h"), "id", "copy").alias("place")
+    keys = own.select("lang", place, F.char_length("text").alias("n")).distinct()
+    firsts = own.groupBy("lang").agg(F.min(place).alias("place")).orderBy("place", "lang").limit(limit).withColumn("first", F.lit(True))
+    ordered = keys.join(F.broadcast(firsts), ["lang", "place"], "left").orderBy(F.col("first").isNull(), "place", "lang").limit(limit)
+    chosen = ordered.select("place.id", "lang", "place.copy", "n")
+    picked = chosen.collect()
+    if not picked:
+        return []
+    most = fair_share([r.n for r in picked], train_chars)
+    picked = F.broadcast(docs.sparkSession.createDataFrame(picked, chosen.schema))
+    head = F.when(F.col("n") > most, F.substring(F.regexp_replace("text", r"^[^\p{L}]+", ""), 1, most)).otherwise(F.col("text"))
+    rows = own.join(picked, ["id", "lang", "copy"]).groupBy("id", "lang", "copy", "n").agg(F.min(head).alias("text")).select("id", "lang", "text", "n")
+    out = []
+    for _, lang, text, n in sorted(map(tuple, rows.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1], r[2])):
+        whole = n <= most or len(text) < most
+        out.append((lang, text if whole else re.sub(r"(?<=\s)\S+$", "", text)))
     return out
 
 
@@ -267,11 +295,12 @@ def identify(
     lang_col: str = "lang",
     train_limit: int = TRAIN_LIMIT,
     with_words: bool = False,
+    train_chars: int = TRAIN_CHARS,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score[, word_langs]) of each row; with_words gives every word's language."""
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(train(training_rows(docs, train_limit, id_col, text_col, lang_col)))
+    model = spark.sparkContext.broadcast(train(training_rows(docs, train_limit, id_col, text_col, lang_col, train_chars)))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(own.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double" + (", word_langs array<string>" if with_words else "")
 

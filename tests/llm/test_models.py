@@ -64,6 +64,23 @@ def test_long_text_in_one_call():
     assert label(["zyz"])[0][0] == "b"
 
 
+def test_long_rows_leave_every_row_and_language_in_training(spark):
+    en, de, fr = "the and of with that this from which ", "und der nicht einer auch werden durch ", "les des dans pour une avec sont cette "
+    docs = spark.createDataFrame([(i, (en, de)[i % 2] * (3000 if i < 40 else 5), ("en", "de")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    rows = I.training_rows(docs, train_chars=100_000)
+    taken = [i for i in range(60) if I.zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(y for y, _ in rows) == sorted(("en", "de")[i % 2] for i in taken)
+    assert 90_000 < sum(len(t) for _, t in rows) <= 100_000
+    assert {w for _, t in rows for w in t.split()} == {*en.split(), *de.split()}
+    # The default bound, which one row alone reaches.
+    long = docs.limit(0).union(spark.createDataFrame([(i, (en, de)[i % 2] * 90_000, ("en", "de")[i % 2]) for i in range(8)], docs.schema))
+    assert {y for y, _ in I.training_rows(long)} == {"en", "de"} and sum(len(t) for _, t in I.training_rows(long)) <= I.TRAIN_CHARS
+    # A language of one row beyond the limit, and a row that repeats.
+    rare = docs.union(spark.createDataFrame([(i, fr, "fr") for i in (1003, 1003)], docs.schema))
+    got = I.training_rows(rare, limit=3)
+    assert len(got) == 3 and {y for y, _ in got} == {"en", "de", "fr"}
+
+
 DISGUISES = {"1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "m0r0n": "moron", "$cum": "scum", "looooser": "loser", "i - d - i - o - t": "idiot", "L  0  S  E  R": "loser", "tr@sh": "trash", "you i d i o t now": "you idiot now", "plain words": "plain words"}
 
 
