@@ -6,7 +6,8 @@ each language whether the learned lexicon lists the word for it.  Grams are
 hashed into ``BUCKETS`` weights a language.  Transitions between languages
 and the first word's language are learned with them: training sequences join
 pieces of documents in different languages, so that switches within a text
-are learned too.
+are learned too.  Every word of the training texts stands in a piece; short
+texts and the ends of longer ones give short pieces.
 
 Forward-backward gives every word its language probabilities in the whole
 text's context; their mean over the words is the text's, and the largest of
@@ -19,7 +20,7 @@ sum; then the longest are cut to one common length, so that every chosen row
 and its language stay.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; without any labelled row all texts are; rows that repeat a doc_id are
+0; without any labelled row that has a word all texts are; rows that repeat a doc_id are
 labelled each on their own text; an empty table gives an empty result.
 
 Scale: three scans for the sample, which shuffle keys only, and one for the
@@ -165,15 +166,15 @@ def expectations(scores: np.ndarray, move: np.ndarray, first: np.ndarray) -> tup
     return p / p.sum(axis=2, keepdims=True), moves
 
 
-def _training_sequences(rows: list[tuple[int, list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(word types, type of each word, label of each word) in sequences of 2 * PIECE words, half of them with a switch."""
+def _training_sequences(rows: list[tuple[int, list[str]]]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """(word types, (type, label) of each word by sequence length): two pieces of up to PIECE words each, half of them with a switch."""
     number: dict[str, int] = {}
     whole = [(y, np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32)) for y, words in rows]
-    pieces = [(y, ids[i : i + PIECE]) for y, ids in whole for i in range(0, len(ids) - PIECE + 1, PIECE)]
+    pieces = [(y, ids[i : i + PIECE]) for y, ids in whole for i in range(0, len(ids), PIECE)]
     by_label: dict[int, list[np.ndarray]] = {}
     for y, ids in pieces:
         by_label.setdefault(y, []).append(ids)
-    types, labels = [], []
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     turn: Counter[int] = Counter()
     names = sorted(by_label)
     for i, (y, ids) in enumerate(pieces):
@@ -181,22 +182,21 @@ def _training_sequences(rows: list[tuple[int, list[str]]]) -> tuple[list[str], n
             other = names[(names.index(y) + 1 + i // 2 % max(1, len(names) - 1)) % len(names)]
         else:
             other = y
-        own = by_label[other]
-        types.append(np.concatenate((ids, own[turn[other] % len(own)])))
-        labels.append(np.repeat([y, other], PIECE))
+        next_ids = by_label[other][turn[other] % len(by_label[other])]
+        labels = np.repeat([y, other], [len(ids), len(next_ids)])
+        by_length.setdefault(len(labels), []).append((np.concatenate((ids, next_ids)), labels))
         turn[other] += 1
-    if not types:
-        return list(number), np.zeros((0, 2 * PIECE), dtype=np.int32), np.zeros((0, 2 * PIECE), dtype=np.int64)
-    return list(number), np.array(types), np.array(labels)
+    return list(number), [tuple(map(np.array, zip(*by_length[n]))) for n in sorted(by_length)]
 
 
 def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
     """A model of (label, text) rows, by steps along the gradient of the sequences' log-likelihood with a scale for each weight."""
-    labels = sorted({y for y, _ in rows})
+    worded = [(y, words) for y, text in rows if (words := words_of(text))]
+    labels = sorted({y for y, _ in worded})
     if not labels:
         return None
     number = {y: i for i, y in enumerate(labels)}
-    split = [(number[y], words_of(text)) for y, text in rows]
+    split = [(number[y], words) for y, words in worded]
     counts = [Counter() for _ in labels]
     for y, words in split:
         counts[y].update(words)
@@ -208,34 +208,36 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
             if n >= 5 * sum(c[word] for i, c in enumerate(counts) if i != y):
                 lexicon[word] = y + 1
     model = Model(labels, lexicon)
-    names, types, truth = _training_sequences(split)
-    if not len(types) or len(labels) == 1:
+    if len(labels) == 1:
         return model
-    n, size = len(labels), types.size
+    names, groups = _training_sequences(split)
+    n, size = len(labels), sum(types.size for types, _ in groups)
     bucket, place, starts = grams(names)
     begin = np.searchsorted(place, starts)
     owner = np.repeat(np.arange(len(names)), np.diff(np.concatenate((begin, [len(bucket)]))))
     listed = np.array([lexicon.get(w, 0) for w in names])
-    flat, gold = types.reshape(-1), truth.reshape(-1)
+    flat, gold = (np.concatenate([g[k].reshape(-1) for g in groups]) for k in (0, 1))
     # What the labelled words show of each weight; the model's own expectation is taken off it in each round.
     seen = np.zeros((len(names), n))
     np.add.at(seen, (flat, gold), 1)
     moves = np.zeros((n, n))
-    np.add.at(moves, (truth[:, :-1].reshape(-1), truth[:, 1:].reshape(-1)), 1)
-    firsts = np.bincount(truth[:, 0], minlength=n).astype(float)
+    for _, truth in groups:
+        np.add.at(moves, (truth[:, :-1].reshape(-1), truth[:, 1:].reshape(-1)), 1)
+    firsts = np.bincount(np.concatenate([truth[:, 0] for _, truth in groups]), minlength=n).astype(float)
     weights = [model.gram.astype(np.float64), model.listed.astype(np.float64), model.move, model.first]
     squares = [np.full_like(w, 1e-8) for w in weights]
     for _ in range(rounds):
         scores = np.add.reduceat(weights[0].astype(np.float32)[bucket], begin, axis=0) + weights[1][listed]
-        joint, expected_moves = expectations(scores[flat].reshape(-1, 2 * PIECE, n), weights[2], weights[3])
-        p = joint.reshape(-1, n)
+        joint, expected = zip(*(expectations(scores[types], weights[2], weights[3]) for types, _ in groups))
+        p = np.concatenate([j.reshape(-1, n) for j in joint])
+        expected_moves, expected_firsts = sum(expected), sum(j[:, 0].sum(axis=0) for j in joint)
         expected = np.stack([np.bincount(flat, weights=p[:, y], minlength=len(names)) for y in range(n)], axis=1)
         off = seen - expected
         grad = [
             np.stack([np.bincount(bucket, weights=off[owner, y], minlength=BUCKETS) for y in range(n)], axis=1),
             np.stack([np.bincount(listed, weights=off[:, y], minlength=n + 1) for y in range(n)], axis=1),
             moves - expected_moves,
-            firsts - joint[:, 0].sum(axis=0),
+            firsts - expected_firsts,
         ]
         grad[1][0] = 0
         for w, s, g in zip(weights, squares, grad):

@@ -64,6 +64,28 @@ def test_long_text_in_one_call():
     assert label(["zyz"])[0][0] == "b"
 
 
+def test_short_texts_train():
+    en, de = "the and of with that this from which".split(), "und der nicht einer auch werden durch schon".split()
+    rows = [(y, " ".join(own[(i + k) % 8] for k in range(1 + i % 5))) for i in range(40) for y, own in (("de", de), ("en", en))]
+    label = I.Labeller(I.train([*rows, ("aa", "12 34")]))
+    assert [f[0] for f in label(["the and", "und der", "which", "schon auch nicht"])] == ["en", "de", "en", "de"]
+    assert min(f[1] for f in label(["the and of", "und der nicht"])) > 0.9
+    assert I.train([("aa", "12 34")]) is None
+
+
+def test_one_language_of_short_texts_only_trains():
+    long, short = "the and of with that this from which " * 8, ["und der", "nicht einer auch", "werden durch", "schon und der"]
+    label = I.Labeller(I.train([("en", long)] * 5 + [("de", t) for t in short] * 5))
+    assert [f[0] for f in label(["der und nicht", "the and with"])] == ["de", "en"]
+
+
+def test_every_word_stands_in_a_sequence():
+    rows = [(0, [f"a{i}" for i in range(37)]), (1, ["b0", "b1", "b2"])]
+    names, groups = I._training_sequences(rows)
+    assert {names[i] for types, _ in groups for i in types.reshape(-1)} == {w for _, words in rows for w in words}
+    assert all((names[i][0] == "b") == (y == 1) for types, truth in groups for i, y in zip(types.reshape(-1), truth.reshape(-1)))
+
+
 def test_long_rows_leave_every_row_and_language_in_training(spark):
     en, de, fr = "the and of with that this from which ", "und der nicht einer auch werden durch ", "les des dans pour une avec sont cette "
     docs = spark.createDataFrame([(i, (en, de)[i % 2] * (3000 if i < 40 else 5), ("en", "de")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
