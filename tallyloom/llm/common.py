@@ -16,6 +16,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -46,6 +47,31 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, which may hold dots and backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame, keep: tuple[str, ...]) -> list[Column]:
+    """The columns in ``keep`` under inner names (_k0, _k1 and so on) that no result has."""
+    return [named(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+
+
+def schema_of(own: DataFrame, fields: str, keep: tuple[str, ...], prefix: str = "") -> StructType:
+    """doc_id, result fields with ``prefix`` before their names, and kept columns under their own names."""
+    kinds = {f.name: f.dataType for f in own.schema.fields}
+    results = [StructField(prefix + f.name, f.dataType) for f in StructType.fromDDL(fields).fields]
+    return StructType([StructField("doc_id", kinds["doc_id"]), *results, *[StructField(c, kinds[f"_k{i}"]) for i, c in enumerate(keep)]])
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of these names starts with, whatever its case."""
+    prefix = "new_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)

@@ -7,27 +7,32 @@ only inside a run of known words.  Hits on the hash are verified word by
 word before they count.
 
 The set is broadcast only while the items have at most ``max_words`` words,
-which bounds it to some tens of bytes a word; beyond that bound the same
-windows are joined by a shuffle instead, with equal results.
+which bounds it to some tens of bytes a word; beyond that bound the hashes
+of the same windows are joined by a shuffle instead, and verified on the text
+behind them, with equal results.
 
 Defined results: null text has no words; a document without a hit has zeros
-and an empty list; items without words never occur; rows that repeat a
-doc_id give a row each; repeated items with one id count once, and rows of an
-item id with different texts all count for it; an empty benchmark leaves all
-documents clean.
+and an empty list; items without words never occur; an item without an id
+hits words but is neither counted nor listed; rows that repeat a doc_id give
+a row each; repeated items with one id count once, and rows of an item id
+with different texts all count for it; an empty benchmark leaves all
+documents clean.  Ids may hold commas: they are counted before they are joined.
+Columns in ``keep`` may have any name; one named like a result column needs
+``prefix`` for the results.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ALNUM_GAP, ALNUM_TABLE, ascii_lower, ship, small_batches, split_words
+from tallyloom.llm.common import ALNUM_GAP, ALNUM_TABLE, ascii_lower, carried, named, schema_of, ship, small_batches, split_words
 
 WINDOW = 10
 MAX_WORDS = 2_000_000
@@ -39,14 +44,14 @@ FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, items str
 class WindowSet:
     """Item words numbered from 1, and for each window length its sorted hashes with the windows behind them."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
         self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+        windows: dict[tuple[int, ...], set[str]] = {}  # of items without an id, an empty set
         for item, words in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
             size = min(n, len(ids))
             for i in range(len(ids) - size + 1 if size else 0):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
+                windows.setdefault(tuple(ids[i : i + size]), set()).update([] if item is None else [item])
         self.lengths: dict[int, tuple[np.ndarray, dict[tuple[int, ...], list[str]]]] = {}
         for size in {len(w) for w in windows}:
             own = {w: sorted(s) for w, s in windows.items() if len(w) == size}
@@ -67,7 +72,7 @@ class WindowSet:
             at = np.searchsorted(hashes, rolled)
             for s in starts[hashes[np.minimum(at, len(hashes) - 1)] == rolled]:
                 items = own.get(tuple(ids[s : s + size].tolist()))
-                if items:
+                if items is not None:
                     found.append((int(s), size, items))
         return found
 
@@ -90,18 +95,19 @@ def _summary(n_words: int, hits: list[tuple[int, int, list[str]]]) -> tuple:
             spans[-1][1] = max(spans[-1][1], first + size)
         else:
             spans.append([first, first + size])
-    items = ",".join(sorted({i for _, _, own in hits for i in own}))
+    found = sorted({i for _, _, own in hits for i in own})
+    items = ",".join(found)
     n_hit = sum(b - a for a, b in spans)
-    return n_words, n_hit, items.count(",") + bool(items), hashlib.sha256(items.encode()).hexdigest(), items, n_hit > 0, spans
+    return n_words, n_hit, len(found), hashlib.sha256(items.encode()).hexdigest(), items, n_hit > 0, spans
 
 
-def item_words(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> list[tuple[str, list[bytes]]] | None:
+def item_words(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> list[tuple[str | None, list[bytes]]] | None:
     """The items on the driver, or None if they have more than ``max_words`` words; the size is checked first."""
     words = F.size(split_words(ascii_lower(F.col(text_col)), ALNUM_GAP))
     if (benchmark.agg(F.sum(words + 1)).first()[0] or 0) > max_words:
         return None
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).collect()
-    return [(str(i), t.encode().translate(ALNUM_TABLE).split()) for i, t in rows]
+    return [(i, t.encode().translate(ALNUM_TABLE).split()) for i, t in rows]
 
 
 def scan(
@@ -115,54 +121,62 @@ def scan(
     max_words: int = MAX_WORDS,
     keep: tuple[str, ...] = (),
     remove_spans: bool = False,
+    prefix: str = "",
 ) -> DataFrame:
     """One row a document with its hits.
 
     keep: other columns of docs to carry along.  remove_spans adds
     ``clean_text``, the text without the characters from the first to the
-    last word of each span.
+    last word of each span.  prefix stands before the names of the results.
     """
     ship(docs.sparkSession)
     items = item_words(benchmark, item_col, item_text_col, max_words)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    own = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), *carried(docs, keep))
+    schema = schema_of(own, FIELDS + (", clean_text string" if remove_spans else ""), keep, prefix)
+    names = schema.fieldNames()
+
+    def results(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [batch.column("doc_id")]
+        for i, kind in enumerate(_TYPES):
+            values = [r[i] for r in rows]
+            columns.append(pa.array([[{"first": a, "last": b} for a, b in v] for v in values] if i == 6 else values, kind))
+        if remove_spans:
+            columns.append(pa.array([cut_words(t, r[6]) for t, r in zip(batch.column("text").to_pylist(), rows)], pa.string()))
+        return pa.RecordBatch.from_arrays([*columns, *[batch.column(f"_k{i}") for i in range(len(keep))]], names=names)
+
     if items is None:
-        return _scan_by_join(own, benchmark, n, item_col, item_text_col, keep, remove_spans)
+        joined = _with_hits(own, benchmark, n, item_col, item_text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches):
+                rows = []
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
+                    words = (text or "").encode().translate(ALNUM_TABLE).split()
+                    hits = [(h["first"], h["size"], [] if h["item"] is None else [h["item"]]) for h in found or [] if words[h["first"] : h["first"] + h["size"]] == [w.encode() for w in h["window"]]]
+                    rows.append(_summary(len(words), hits))
+                yield results(batch, rows)
+
+        return joined.mapInArrow(run, schema)
+
     windows = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
-    schema = _schema(own, keep, remove_spans)
-    names = ["doc_id", *keep, *[f.split()[0] for f in FIELDS.split(", ")][:7]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = windows.value
         number = table.numbers.get
         for batch in small_batches(batches):
             rows = []
-            cleaned = []
             for text in batch.column("text").to_pylist():
                 words = (text or "").encode().translate(ALNUM_TABLE).split()
                 ids = np.fromiter((number(w, 0) for w in words), dtype=np.uint64, count=len(words))
                 rows.append(_summary(len(words), table.hits(ids) if ids.any() else []))
-                if remove_spans:
-                    cleaned.append(cut_words(text, rows[-1][6]))
-            columns = [batch.column("doc_id"), *[batch.column(c) for c in keep]]
-            for i, kind in enumerate(_TYPES):
-                values = [r[i] for r in rows]
-                columns.append(pa.array([[{"first": a, "last": b} for a, b in v] for v in values] if i == 6 else values, kind))
-            if remove_spans:
-                columns.append(pa.array(cleaned, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(["clean_text"] if remove_spans else [])])
+            yield results(batch, rows)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(look_up, schema)
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
 
 
-def _schema(own: DataFrame, keep: tuple[str, ...], remove_spans: bool) -> str:
-    kinds = dict(own.dtypes)
-    carried = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return f"doc_id {kinds['doc_id']}{carried}, {FIELDS}" + (", clean_text string" if remove_spans else "")
-
-
 def cut_words(text: str | None, spans: list) -> str | None:
     """Text without the bytes from the first to the last word of each span of word numbers."""
     if not text or not spans:
@@ -178,44 +192,30 @@ def cut_words(text: str | None, spans: list) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _scan_by_join(own: DataFrame, benchmark: DataFrame, n: int, item_col: str, text_col: str, keep: tuple[str, ...], remove_spans: bool) -> DataFrame:
-    """The same hits when the items outgrow a broadcast: document windows join item windows by a shuffle on their hash."""
+def _with_hits(own: DataFrame, benchmark: DataFrame, n: int, item_col: str, text_col: str) -> DataFrame:
+    """own with ``hits``, when the items outgrow a broadcast: places whose window hash is an item's, with the item's words to verify.
+
+    A document's word sends one hash for each window length there is (n of
+    them at most); words are shuffled for found windows only.
+    """
     # Rows are known by id and text, which every evaluation of the input gives alike.
     own = own.withColumn("_row", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), split_words(ascii_lower(F.col(text_col)), ALNUM_GAP).alias("w")).filter(F.size("w") > 0)
-    sizes = [r[0] for r in items.select(F.least(F.size("w"), F.lit(n)).alias("k")).distinct().collect()]
-    words = own.select("_row", split_words(ascii_lower(F.col("text")), ALNUM_GAP).alias("w"))
-
-    def rolled(df: DataFrame, k: int, *names: str) -> DataFrame:
-        places = df.filter(F.size("w") >= k).select(*names, "w", F.explode(F.sequence(F.lit(1), F.size("w") - k + 1)).alias("i"))
-        return places.select(*names, F.col("i"), F.slice("w", F.col("i"), k).alias("g")).withColumn("h", F.xxhash64("g"))
-
-    parts = []
-    for k in sorted(sizes):
-        wanted = rolled(items.filter(F.least(F.size("w"), F.lit(n)) == k), k, "item").select("h", "g", "item").distinct()
-        got = rolled(words, k, "_row").join(wanted, ["h", "g"]).select("_row", (F.col("i") - 1).alias("first"), F.lit(k).alias("size"), "item")
-        parts.append(got)
-    hits = parts[0] if parts else words.select("_row", F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit("").alias("item")).limit(0)
-    for p in parts[1:]:
-        hits = hits.union(p)
-    hits = hits.groupBy("_row").agg(F.collect_set(F.struct("first", "size", "item")).alias("hits"))
-    kinds = _schema(own, keep, remove_spans)
-    joined = own.join(hits.withColumnRenamed("_row", "_hit"), F.col("_row").eqNullSafe(F.col("_hit")), "left").drop("_row", "_hit")
-    names = ["doc_id", *keep, *[f.split()[0] for f in FIELDS.split(", ")][:7]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            rows, cleaned = [], []
-            for text, hit in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
-                n_words = len((text or "").encode().translate(ALNUM_TABLE).split())
-                rows.append(_summary(n_words, [(h["first"], h["size"], [h["item"]]) for h in hit or []]))
-                cleaned.append(cut_words(text, rows[-1][6]))
-            columns = [batch.column("doc_id"), *[batch.column(c) for c in keep]]
-            for i, kind in enumerate(_TYPES):
-                values = [r[i] for r in rows]
-                columns.append(pa.array([[{"first": a, "last": b} for a, b in v] for v in values] if i == 6 else values, kind))
-            if remove_spans:
-                columns.append(pa.array(cleaned, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(["clean_text"] if remove_spans else [])])
-
-    return joined.mapInArrow(run, kinds)
+    items = benchmark.select(named(item_col).cast("string").alias("item"), split_words(ascii_lower(named(text_col)), ALNUM_GAP).alias("w")).filter(F.size("w") > 0)
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(n)).alias("k")).distinct().collect())
+
+    def rolled(df: DataFrame, name: str, wanted: list[int]) -> DataFrame:
+        places = df.filter(F.size("w") > 0).select(name, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+        window = lambda k: F.slice("w", F.col("i"), k)
+        each = [F.when(F.col("i") + (k - 1) <= F.size("w"), F.struct(F.lit(k).alias("size"), F.xxhash64(window(k)).alias("h"))) for k in wanted]
+        return places.select(name, "w", "i", F.explode(F.array_compact(F.array(*each))).alias("g")).select(name, "i", "g.size", "g.h", F.slice("w", F.col("i"), F.col("g.size")).alias("window"))
+
+    if sizes:
+        own_size = F.least(F.size("w"), F.lit(n))
+        parts = [rolled(items.filter(own_size == k), "item", [k]) for k in sizes]
+        wanted = reduce(DataFrame.union, parts)
+        got = rolled(own.select("_row", split_words(ascii_lower(F.col("text")), ALNUM_GAP).alias("w")), "_row", sizes).select("_row", (F.col("i") - 1).alias("first"), "size", "h")
+        hits = got.join(wanted.select("size", "h", "item", "window").distinct(), ["size", "h"])
+    else:
+        hits = own.limit(0).select("_row", F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit("").alias("item"), F.array(F.lit("")).alias("window"))
+    found = hits.groupBy(F.col("_row").alias("_hit")).agg(F.collect_set(F.struct("first", "size", "item", "window")).alias("hits"))
+    return own.join(found, F.col("_row").eqNullSafe(F.col("_hit")), "left").drop("_row", "_hit")

@@ -14,8 +14,9 @@ size.  The plan
 
 Each step moves as many equal pieces into as many equal gaps as there are,
 so the plan has some thousands of steps.  Documents find their place by
-their rank among pieces of the same length, which a few salted windows and a
-small table of offsets give; no task gets more than its share of a length.
+their rank among pieces of the same length, which salted windows and a table
+of offsets give.  A length has as many salts as its count asks for, so no
+group has many more than ``RANKED`` pieces, or a ``MOST_GROUPS``th of all.
 
 Defined results: null and empty texts are one id long; rows that repeat a
 doc_id are packed each on their own; an empty table gives an empty result.
@@ -38,8 +39,9 @@ from tallyloom.llm.tokens import encoder as open_encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Sub-groups in which the pieces of one length are ranked.
-SALT = 64
+#: Pieces of one length that are ranked together, and how many such groups the driver holds beside one a length.
+RANKED = 500
+MOST_GROUPS = 200_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,6 +117,8 @@ class Plan:
         while large:
             a = large[-1]
             at = bisect.bisect_right(large, self._capacity - a) - 1
+            if at >= 0 and large[at] == a and left[a] == 1:
+                at -= 1  # the last one of a length looks for a shorter partner
             if at < 0:
                 large.pop()
                 first = self._open(left[a])
@@ -124,12 +128,6 @@ class Plan:
             b = large[at]
             if a == b:
                 pairs = left[a] // 2
-                if not pairs:
-                    large.pop(at)
-                    first = self._open(1)
-                    self._place(a, 1, first, 0)
-                    self._leave(self._capacity - a, first, 1)
-                    continue
             else:
                 pairs = min(left[a], left[b])
             first = self._open(pairs)
@@ -170,25 +168,35 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     rows must be stable when read again (a written table), as ranks are
     counted once and used in a second pass.
     """
-    order = [c for c in ("doc_id", "piece") if c in rows.columns] or [length_col]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
-    groups = salted.groupBy(length_col, "_salt").agg(F.count("*").alias("n")).collect()  # capacity * SALT rows at most
-    base: dict[tuple[int, int], int] = {}
-    counts: dict[int, int] = defaultdict(int)
-    for n, salt, count in sorted((r[0], r[1], r[2]) for r in groups):
-        if not 1 <= n <= capacity:
+    spark = rows.sparkSession
+    ship(spark)
+    counts = {r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}  # capacity rows at most
+    for n in counts:
+        if n is None or not 1 <= n <= capacity:
             raise ValueError(f"a piece is {n} long; the capacity is {capacity}")
-        base[n, salt] = counts[n]
-        counts[n] += count
+    share = max(RANKED, -(-sum(counts.values()) // MOST_GROUPS))
+    salts = np.ones(capacity + 1, dtype=np.int64)
+    for n, count in counts.items():
+        salts[n] = -(-count // share)
+    # Groups of all lengths stand in one row; length n has those from start[n] on.
+    start = np.concatenate(([0], np.cumsum(salts)))
+    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns] or [length_col]
+    grouped = F.broadcast(spark.createDataFrame([(int(n), int(salts[n]), int(start[n])) for n in counts], "_n int, _salts int, _start int"))
+    salted = (
+        rows.join(grouped, F.col(length_col) == F.col("_n"))
+        .withColumn("_group", (F.col("_start") + F.pmod(F.xxhash64(*order), F.col("_salts"))).cast("int"))
+        .drop("_n", "_salts", "_start")
+    )
+    held = salted.groupBy("_group").agg(F.count("*").alias("n")).toArrow()  # MOST_GROUPS + capacity rows at most
+    sizes = np.zeros(start[-1], dtype=np.int64)
+    sizes[held["_group"].to_numpy()] = held["n"].to_numpy()
+    offsets = np.cumsum(sizes) - sizes
+    offsets -= np.repeat(offsets[start[:-1]], salts)
     plan = Plan(dict(counts), capacity)
-    offsets = np.zeros((capacity + 1) * SALT, dtype=np.int64)
-    for (n, salt), first in base.items():
-        offsets[n * SALT + salt] = first
     steps = np.array(sorted(plan.steps) or [(0, 0, 0, 0, 0)], dtype=np.int64)
-    table = rows.sparkSession.sparkContext.broadcast((offsets, (steps[:, 0] << 44) + steps[:, 1], steps))
-    ship(rows.sparkSession)
+    table = spark.sparkContext.broadcast((offsets, (steps[:, 0] << 44) + steps[:, 1], steps))
 
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order)) - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)) - 1)
     names = rows.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id long, offset long"
 
@@ -196,8 +204,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
         offsets, keys, steps = table.value
         for batch in batches:
             n = batch.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            salt = batch.column("_salt").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64) + offsets[n * SALT + salt]
+            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64) + offsets[batch.column("_group").to_numpy(zero_copy_only=False)]
             at = np.searchsorted(keys, (n << 44) + rank, side="right") - 1
             sequence = steps[at, 3] + rank - steps[at, 1]
             yield pa.RecordBatch.from_arrays(

@@ -3,8 +3,9 @@
 The tokenizer drops white space and never joins across it, so the ids of a
 text are the ids of its chunks in order; a chunk is encoded once and then
 looked up.  Chunks of letters are encoded many to a call and told apart by
-the end-of-word ids; those of a-z alone need no normaliser.  A chunk of letters with one trailing comma or full stop
-is its letters plus that mark.  Texts with "<|" may hold special tokens,
+the end-of-word ids; those of a-z alone need no normaliser.  A chunk of Latin
+letters with one trailing comma or full stop is its letters plus that mark,
+unless a letter's lower form ends in a combining mark.  Texts with "<|" may hold special tokens,
 whose spelling is exact, and are encoded whole; so are all texts of a
 tokenizer that minds white space.
 """
@@ -17,6 +18,8 @@ import numpy as np
 
 _U32 = np.dtype("<u4")
 _open: dict[str, ChunkEncoder] = {}
+#: Letters below this one are known to the tokenizer's pattern as letters, also once composed and lowered.
+_LATIN_END = "\u0250"
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -26,6 +29,11 @@ def encoder(path: str) -> ChunkEncoder:
     return _open[path]
 
 
+def _is_latin(word: str) -> bool:
+    """Whether a word is of Latin letters that stay letters in lower case."""
+    return word.isalpha() and (word.isascii() or max(word) < _LATIN_END and word.lower().isalpha())
+
+
 class ChunkEncoder:
     """encode_batch(texts) gives the ids of each as little-endian unsigned 32-bit bytes.
 
@@ -86,7 +94,7 @@ class ChunkEncoder:
             text = chunk.decode()
             if text.isalpha():
                 (plain if text.isascii() else letters)[chunk] = text
-            elif chunk[-1:] in self.marks and text[:-1].isalpha():
+            elif chunk[-1:] in self.marks and _is_latin(text[:-1]):
                 marked.append(chunk)
                 stem = chunk[:-1]
                 if stem not in cache:

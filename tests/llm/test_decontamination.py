@@ -46,3 +46,21 @@ def test_empty_and_repeated(spark, nothing, repeated):
     none = spark.createDataFrame([], "item_id long, text string")
     for limit in (10**6, -1):
         assert not any(r.contaminated for r in D.scan(repeated, none, max_words=limit).collect())
+
+
+@pytest.mark.parametrize("max_words", [10**6, 0])
+def test_ids_that_are_null_or_hold_commas(spark, max_words):
+    items = [("x,y", "one two three four five six seven eight nine ten"), (None, "alpha beta gamma"), ("z", "gamma delta")]
+    texts = [(1, "zero one two three four five six seven eight nine ten"), (2, "alpha beta gamma delta"), (3, "alpha beta gamma"), (None, "gamma delta"), (None, "gamma")]
+    docs, bench = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, r.n_words): r for r in D.scan(docs, bench, max_words=max_words).collect()}
+    assert {k: (r.n_hit, r.n_items, r["items"], r.contaminated) for k, r in got.items()} == {(1, 11): (10, 1, "x,y", True), (2, 4): (4, 1, "z", True), (3, 3): (3, 0, "", True), (None, 2): (2, 1, "z", True), (None, 1): (0, 0, "", False)}
+    assert got[3, 3].items_sha256 == brute.hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("max_words", [10**6, 0])
+def test_kept_columns_named_like_results(spark, max_words):
+    docs = spark.createDataFrame([(1, "short item here", "h", "a.b", 5)], "doc_id long, text string, hits string, `n.hit` string, n_hit int")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    row = D.scan(docs, bench, max_words=max_words, keep=("hits", "n.hit", "n_hit"), prefix="new_", remove_spans=True).first()
+    assert (row["hits"], row["n.hit"], row["n_hit"], row["new_n_hit"], row["new_clean_text"]) == ("h", "a.b", 5, 3, "")

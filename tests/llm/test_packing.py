@@ -26,6 +26,20 @@ def test_chunks_give_the_tokenizers_ids(texts):
             assert ids == np.array(want, dtype="<u4").tobytes()
 
 
+def test_random_text_gives_the_tokenizers_ids():
+    rng = random.Random(7)
+    ranges = [(97, 123), (65, 91), (0xC0, 0x250), (0x130, 0x131), (0x300, 0x330), (0x370, 0x530), (0x1E00, 0x2000), (0x3040, 0x3100), (0xFB00, 0xFB50), (32, 48), (0x21, 0x2FFF), (0xA640, 0xABFF), (0x10280, 0x10400)]
+
+    def letter():
+        return chr(rng.randrange(*rng.choice(ranges)))
+
+    made = ["".join(letter() for _ in range(rng.randint(1, 6))) + rng.choice([",", ".", "", " ", "., "]) for _ in range(10_000)]
+    made += ["İ.", "TARİHİ, yok", "İ, ı. ŉ, ǰ. ẞ. Å, ª. º,"]
+    encoder = ChunkEncoder(PATH)
+    want = encoder.tokenizer.encode_batch(made, add_special_tokens=False)
+    assert encoder.encode_batch(made) == [np.array(w.ids, dtype="<u4").tobytes() for w in want]
+
+
 def test_tokenizer_that_minds_white_space(texts):
     encoder = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not encoder.by_chunks
@@ -94,6 +108,45 @@ def test_large_items_pair():
     assert plan.sequences == 3
 
 
+def fewest(items, capacity):
+    """The least number of bins, by trying every bin for each item, largest first."""
+    best = len(items)
+
+    def place(at, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if at == len(items):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[at] <= capacity and bins.index(bins[k]) == k:
+                place(at + 1, [*bins[:k], bins[k] + items[at], *bins[k + 1 :]])
+        place(at + 1, [*bins, items[at]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_plans_are_next_to_the_optimum(seed):
+    rng = random.Random(seed)
+    for _ in range(20):
+        items = sorted((rng.randint(3, 100) for _ in range(9)), reverse=True)
+        plan = P.Plan({n: items.count(n) for n in items}, 100)
+        assert plan.sequences <= fewest(items, 100) + 1
+
+
+def test_hot_length_is_ranked_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 20)
+    rows = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "CAST(IF(id % 3 = 0, 100, 1 + id % 700) AS long) AS length").repartition(5)
+    filled = {}
+    for r in sorted(P.pack(rows, 700).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert len(filled) <= -(-sum(filled.values()) // 700) * 1.02 + 1 and max(filled.values()) <= 700
+
+
 def test_empty_and_repeated(nothing, repeated):
     assert P.pack_documents(nothing, PATH).count() == 0
     got = P.pack_documents(repeated, PATH).collect()
