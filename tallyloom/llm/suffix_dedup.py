@@ -18,41 +18,57 @@ rank of a longer string, until ``length`` is reached:
     edges of repeated passages.  All their positions are ranked at half the
     length, unique ones drop out, and the sorted pairs of ranks (at s, at
     s + length/2) give the ranks at full length; each but the first of a rank
-    is a repeat.  A seed with more than ``HOT_CONTEXTS`` contexts is not kept
-    in one group: its positions are dealt out by the name of their string, and
-    those that repeat another of the same batch are settled before that.
+    is a repeat.
 
-Names are 64-bit hashes compared within a seed's 64-bit hash, 128 bits in all.
+Hot seeds, such as a line that stands in a third of all documents, are never
+kept in one group.  A first scan counts seeds in ``BUCKETS`` buckets; those of
+a bucket far above the mean are grouped by seed and context in step 2, and
+theirs and others with more than ``HOT_CONTEXTS`` contexts have their
+positions dealt out by the name of their string in step 3, where those that
+repeat another of the same batch are settled before the shuffle.  Both ways
+give the same result.
+
+Names are pairs of 64-bit hashes, 128 bits in all: seed and context, half
+string and seed, or two names of one string.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all
 bytes; rows that repeat a doc_id and text do not precede each other and get
-equal results; rows that share only the doc_id follow each other by start;
-null doc_ids come first; an empty table gives an empty result.
-``clean_text`` leaves out a character that was cut within.
-
-Scale: text is read twice and shuffled once by document; other shuffles hold
-a few numbers for each winnowed position or the context of an edge.
+equal results; rows that share only the doc_id follow each other by start and
+then by the hash of their text; null doc_ids come first; an empty table gives
+an empty result.  ``clean_text`` leaves out a character that was cut within.
+Columns in ``keep`` may have any name; one named like a result column needs
+``prefix`` for the results.
+
+Scale: text is read three times and shuffled once by document; other shuffles
+hold a few numbers for each winnowed position or the context of an edge.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tallyloom.llm.common import ship, small_batches, written
+from tallyloom.llm.common import carried, named, schema_of, ship, small_batches, written
 
 LENGTH = 100
 SEED = 32
 HOT_CONTEXTS = 1024
 #: Contexts whose positions are ranked at once; a seed is never parted.
 CONTEXTS_AT_ONCE = 3_000
-#: Stands in the place of bytes for a position that is known to repeat.
-KNOWN = b"R"
+#: Seeds are counted in so many buckets; one with more than HOT_ROWS and OVER times the mean is hot.
+BUCKETS = 1 << 16
+HOT_ROWS = 4096
+OVER = 8
+#: What is known of a winnowed position: nothing, that it repeats another of its task, or that its seed is hot.
+OPEN, DONE, HOT = 0, 1, 2
+#: What judged positions and the rows around them are.
+REPEATED, EDGE, HOT_EDGE = 0, 1, 2
 #: Bytes of text that a task winnows before it sends on what it found.
 BUFFER = 12_000_000
 
@@ -60,6 +76,7 @@ _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = int(_rng.integers(0, 2**63)) * 2 + 1
 _BACK = pow(_STEP, -1, 2**64)
+_BYTE_2 = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 
 
 class _Powers:
@@ -89,10 +106,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _prefix_sums(raw: np.ndarray) -> np.ndarray:
+def _prefix_sums(raw: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[raw] * _UP.upto(len(raw)), out=sums[1:])
+        np.cumsum(values[raw] * _UP.upto(len(raw)), out=sums[1:])
     return sums
 
 
@@ -131,62 +148,94 @@ def winnow(raw: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndar
     return at, seeds[at], context
 
 
-def _copy_of(text: str) -> F.Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFF))
-
-
-def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, at, g, c, done): winnowed positions; at is position * 65536 + copy; done ones repeat another of the same task."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        # In order of (doc_id, place); then the first of equal names is the earliest here.
-        rows.sort(key=lambda r: (r[0] is not None, r[0]))
-        ids, at, g, c, owner = [], [], [], [], []
-        for i, (doc_id, copy, raw) in enumerate(rows):
-            p, s, x = winnow(raw, length, seed)
-            ids.append(doc_id)
-            at.append((p << 16) | copy)
-            g.append(s)
-            c.append(x)
-            owner.append(np.full(len(p), i))
-        at, g, c, owner = map(np.concatenate, (at, g, c, owner))
-        with np.errstate(over="ignore"):
-            both = _mixed(g) + c
-        order = np.argsort(both, kind="stable")
-        new = np.concatenate(([True], both[order][1:] != both[order][:-1]))
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        same_place = np.zeros(len(order), dtype=bool)
-        id_rank = np.cumsum([0] + [a != b for a, b in zip(ids[1:], ids)])
-        same_place[order] = (at[order] == at[first]) & (id_rank[owner[order]] == id_rank[owner[first]])
-        done = np.ones(len(order), dtype=bool)
-        done[order[new]] = False
-        done &= ~same_place
-        with np.errstate(over="ignore"):  # done rows are spread over the partitions
-            g = np.where(done, _mixed(at.astype(np.uint64) + owner.astype(np.uint64) * np.uint64(_STEP)), g)
-        doc_ids = pa.array(ids, batch_type[0]).take(pa.array(owner))
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(at), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(done)], names=["doc_id", "at", "g", "c", "done"])
-
-    batch_type: list[pa.DataType] = [pa.int64()]
+def _texts_of(length: int, found: Callable[[list[tuple], pa.DataType], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow that gathers (doc_id, copy, bytes) of texts of ``length`` bytes or more and hands on ``BUFFER`` bytes at a time, by doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
+        id_type = pa.null()
         for batch in small_batches(batches):
-            batch_type[0] = batch.schema.field("doc_id").type
-            for doc_id, copy, text in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").to_pylist()):
+            id_type = batch.schema.field("doc_id").type
+            for doc_id, copy, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")]):
                 raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
                 if len(raw) < length:
                     continue
                 rows.append((doc_id, copy, raw))
                 held += len(raw)
                 if held >= BUFFER:
-                    yield from _sliced(flush(rows))
+                    yield from found(sorted(rows, key=_by_id), id_type)
                     rows, held = [], 0
         if rows:
-            yield from _sliced(flush(rows))
+            yield from found(sorted(rows, key=_by_id), id_type)
+
+    return run
+
+
+def _by_id(row: tuple) -> tuple:
+    return row[0] is not None, row[0]
+
+
+class Winnowed:
+    """The winnowed positions of some texts: arrays owner, at, g and c, and which of them repeat another, earlier one of these."""
+
+    def __init__(self, rows: list[tuple], length: int, seed: int):
+        found = [winnow(raw, length, seed) for _, _, raw in rows]
+        self.at, self.g, self.c = (np.concatenate([f[k] for f in found]) for k in range(3))
+        self.owner = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
+        ids = [r[0] for r in rows]
+        own_id = np.cumsum([0] + [a != b for a, b in zip(ids[1:], ids)])[self.owner]
+        copy = np.array([r[1] for r in rows], dtype=np.int64)[self.owner]
+        with np.errstate(over="ignore"):
+            both = _mixed(self.g) + self.c
+        # Texts under one id mix their positions; else the order of rows is that of (doc_id, place).
+        order = np.argsort(both, kind="stable") if len(set(ids)) == len(ids) else np.lexsort((copy, self.at, own_id, both))
+        new = np.concatenate(([True], both[order][1:] != both[order][:-1]))
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        self.done = np.zeros(len(order), dtype=bool)
+        self.done[order] = (self.at[order] != self.at[first]) | (own_id[order] != own_id[first]) | (copy[order] != copy[first])
+
 
-    return docs.select("doc_id", "copy", "text").mapInArrow(run, f"doc_id {kind}, at long, g long, c long, done boolean")
+def hot_buckets(docs: DataFrame, length: int, seed: int, hot_rows: int) -> np.ndarray:
+    """For each bucket of seeds whether it holds far more winnowed positions than others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, dtype=np.int64)
+
+        def count(rows: list[tuple], _: pa.DataType) -> Iterator[pa.RecordBatch]:
+            some = Winnowed(rows, length, seed)
+            sums[:] += np.bincount((some.g[~some.done] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            yield from ()
+
+        yield from _texts_of(length, count)(batches)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["bucket", "n"])
+
+    counts = docs.select("doc_id", "copy", "text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    sums = np.zeros(BUCKETS, dtype=np.int64)
+    sums[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    return sums > max(hot_rows, OVER * sums.mean())
+
+
+def _anchors(docs: DataFrame, length: int, seed: int, hot: np.ndarray) -> DataFrame:
+    """(doc_id, copy, at, g, c, state): the winnowed positions; done ones have a g that spreads them, hot ones one of seed and context."""
+    kind = docs.schema["doc_id"].dataType
+    known = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def anchors(rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        some = Winnowed(rows, length, seed)
+        is_hot = known.value[(some.g >> np.uint64(48)).astype(np.int64)] & ~some.done
+        with np.errstate(over="ignore"):
+            spread = _mixed(some.at.astype(np.uint64) + some.owner.astype(np.uint64) * np.uint64(_STEP))
+            g = np.where(some.done, spread, np.where(is_hot, _mixed(some.g + some.c * np.uint64(_STEP)), some.g))
+        state = np.where(some.done, DONE, np.where(is_hot, HOT, OPEN)).astype(np.int8)
+        owner = pa.array(some.owner)
+        columns = [pa.array([r[0] for r in rows], id_type).take(owner), pa.array([r[1] for r in rows], pa.int64()).take(owner)]
+        columns += [pa.array(some.at), pa.array(g.view(np.int64)), pa.array(some.c.view(np.int64)), pa.array(state)]
+        yield from _sliced(pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "at", "g", "c", "state"]))
+
+    schema = StructType.fromDDL("copy long, at long, g long, c long, state byte")
+    return docs.select("doc_id", "copy", "text").mapInArrow(_texts_of(length, anchors), StructType([StructField("doc_id", kind), *schema.fields]))
 
 
 def _sliced(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -195,77 +244,78 @@ def _sliced(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatc
 
 
 def _judged(anchors: DataFrame, hot_contexts: int) -> DataFrame:
-    """(doc_id, at, g, kind): 0 repeated with its context, 1 first of one of several contexts, 2 the same of a hot seed."""
-    line = Window.partitionBy("g").orderBy("c", "doc_id", "at")
+    """(doc_id, copy, at, g, kind): repeated with the whole context, or the first place of one of several contexts of a seed."""
+    line = Window.partitionBy("g").orderBy("c", "doc_id", "at", "copy")
     seed = Window.partitionBy("g")
-    here = F.struct("doc_id", "at")
+    here = F.struct("doc_id", "at", "copy")
     marked = (
         anchors.withColumn("opens", F.coalesce(F.lag("c").over(line) != F.col("c"), F.lit(True)))
         .withColumn("first", F.last(F.when(F.col("opens"), here), ignorenulls=True).over(line))
         .withColumn("contexts", F.sum(F.col("opens").cast("int")).over(seed))
     )
-    repeated = F.col("done") | (F.col("first") != here)
-    edge = F.col("opens") & (F.col("contexts") > 1)
-    kind = F.when(repeated, 0).when(edge & (F.col("contexts") > hot_contexts), 2).when(edge, 1)
-    return marked.select("doc_id", "at", "g", kind.cast("int").alias("kind")).filter("kind IS NOT NULL")
+    repeated = (F.col("state") == DONE) | (F.col("first") != here)
+    hot = (F.col("state") == HOT) | (F.col("contexts") > hot_contexts)
+    kind = F.when(repeated, REPEATED).when(F.col("opens") & hot, HOT_EDGE).when(F.col("opens") & (F.col("contexts") > 1), EDGE)
+    return marked.select("doc_id", "copy", "at", "g", kind.cast("byte").alias("kind")).filter("kind IS NOT NULL")
 
 
 def _contexts(docs: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
-    """(g, doc_id, at, ctx): the bytes around each edge; of hot seeds, a row a position with its string's name as g and no bytes, or KNOWN."""
-    kind = dict(docs.dtypes)["doc_id"]
-    listed = edges.groupBy("doc_id", F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("copy")).agg(
-        F.collect_list(F.struct(F.shiftright("at", 16).alias("p"), "g", "kind")).alias("edges")
-    )
+    """(g, doc_id, copy, at, kind, ctx): the bytes around each edge; of hot ones, a row a position with two names of its string as g and ctx, or known to repeat."""
+    kind = docs.schema["doc_id"].dataType
+    listed = edges.groupBy("doc_id", "copy").agg(F.collect_list(F.struct(F.col("at").alias("p"), "g", "kind")).alias("edges"))
     same = docs["doc_id"].eqNullSafe(listed["doc_id"]) & docs["copy"].eqNullSafe(listed["copy"])
-    # A text that stands twice under one doc_id is looked at once.
     joined = docs.join(listed, same).select(docs["doc_id"], docs["copy"], "text", "edges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            own, starts, seeds, bytes_ = [], [], [], []
-            hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            columns = [batch.column(c).to_pylist() for c in ("copy", "text")]
+            ids, copies = batch.column("doc_id"), batch.column("copy").to_numpy()
+            own, starts, seeds, kinds, bytes_ = [], [], [], [], []
+            hot: list[tuple[np.ndarray, ...]] = []
             lists = batch.column("edges")
             flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             p_all, g_all, k_all = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for i, (copy, text) in enumerate(zip(*columns)):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 text = text.encode()
                 mine = slice(offsets[i], offsets[i + 1])
                 p, g, k = p_all[mine], g_all[mine], k_all[mine]
-                for at, s in zip(p[k == 1].tolist(), g[k == 1].tolist()):
+                for at, s in zip(p[k == EDGE].tolist(), g[k == EDGE].tolist()):
                     lo = max(0, at + seed - length)
                     own.append(i)
-                    starts.append(lo << 16 | copy)
+                    starts.append(lo)
                     seeds.append(s)
+                    kinds.append(EDGE)
                     bytes_.append(text[lo : at + length])
-                if (k == 2).any():
+                if (k == HOT_EDGE).any():
                     raw = np.frombuffer(text, dtype=np.uint8)
-                    sums = _prefix_sums(raw)
-                    s = np.unique(np.concatenate([np.arange(max(0, a + seed - length), min(a, len(raw) - length) + 1) for a in p[k == 2].tolist()]))
-                    hot.append((np.full(len(s), i), s << 16 | copy, _names(sums, s, s + length)))
+                    s = np.unique(np.concatenate([np.arange(max(0, a + seed - length), min(a, len(raw) - length) + 1) for a in p[k == HOT_EDGE].tolist()]))
+                    hot.append((np.full(len(s), i), s, *[_names(_prefix_sums(raw, values), s, s + length) for values in (_BYTE, _BYTE_2)]))
             if hot:
-                rows, place, name, known = _settled(batch.column("doc_id").to_pylist(), *map(np.concatenate, zip(*hot)))
+                rows, place, name, second, known = _settled(ids.to_pylist(), copies, *map(np.concatenate, zip(*hot)))
                 own += rows.tolist()
                 starts += place.tolist()
                 seeds += name.view(np.int64).tolist()
-                bytes_ += [KNOWN if x else b"" for x in known.tolist()]
-            yield from _sliced(pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), batch.column("doc_id").take(pa.array(own, pa.int64())), pa.array(starts, pa.int64()), pa.array(bytes_, pa.binary())], names=["g", "doc_id", "at", "ctx"]), 10_000)
+                kinds += np.where(known, REPEATED, HOT_EDGE).tolist()
+                bytes_ += [None if x else n.tobytes() for x, n in zip(known.tolist(), second)]
+            owner = pa.array(own, pa.int64())
+            columns = [pa.array(seeds, pa.int64()), ids.take(owner), batch.column("copy").take(owner), pa.array(starts, pa.int64()), pa.array(kinds, pa.int8()), pa.array(bytes_, pa.binary())]
+            yield from _sliced(pa.RecordBatch.from_arrays(columns, names=["g", "doc_id", "copy", "at", "kind", "ctx"]), 10_000)
 
-    return joined.mapInArrow(run, f"g long, doc_id {kind}, at long, ctx binary")
+    fields = StructType.fromDDL("copy long, at long, kind byte, ctx binary").fields
+    return joined.mapInArrow(run, StructType([*StructType.fromDDL("g long").fields, StructField("doc_id", kind), *fields]))
 
 
-def _settled(ids: list, row: np.ndarray, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, name, known): all but the earliest of a name are known to repeat, and get a name that spreads them."""
+def _settled(ids: list, copies: np.ndarray, row: np.ndarray, place: np.ndarray, name: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, place, name, second name, known): all but the earliest of a string are known to repeat, and get a name that spreads them."""
     number = {x: n for n, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
-    rank = np.array([number[x] for x in ids], dtype=np.int64)[row]
-    order = np.lexsort((place, rank, name))
-    row, place, name, rank = row[order], place[order], name[order], rank[order]
-    new = np.concatenate(([True], name[1:] != name[:-1]))
+    rank, copy = np.array([number[x] for x in ids], dtype=np.int64)[row], copies[row]
+    order = np.lexsort((copy, place, rank, second, name))
+    row, place, name, second, rank, copy = (x[order] for x in (row, place, name, second, rank, copy))
+    new = np.concatenate(([True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])))
     first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
-    known = (rank != rank[first]) | (place != place[first])
+    known = (rank != rank[first]) | (place != place[first]) | (copy != copy[first])
     with np.errstate(over="ignore"):
         name = np.where(known, _mixed(name + place.astype(np.uint64) * np.uint64(_STEP) + rank.astype(np.uint64)), name)
-    return row, place, name, known
+    return row, place, name, second, known
 
 
 def _doubled(g: np.ndarray, ctx: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,51 +343,59 @@ def _doubled(g: np.ndarray, ctx: list[bytes], length: int) -> tuple[np.ndarray,
     return row[ends[keep]], pos[ends[keep]], full[keep]
 
 
+def _firsts(*names: np.ndarray) -> np.ndarray:
+    """For each row the first row that has the same names; rows come in order of place."""
+    order = np.lexsort(names[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for n in names:
+        new[1:] |= n[order][1:] != n[order][:-1]
+    first = np.empty_like(order)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return first
+
+
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     """(doc_id, copy, first, last): byte ranges of repeated strings found at edges."""
-    kind = dict(contexts.dtypes)["doc_id"]
-    dealt = contexts.repartition("g").sortWithinPartitions("g", "doc_id", "at")
+    kind = contexts.schema["doc_id"].dataType
+    dealt = contexts.repartition("g").sortWithinPartitions("g", "doc_id", "at", "copy")
 
     def judge(table: pa.Table) -> pa.RecordBatch:
-        g = table.column("g").to_numpy()
-        at = table.column("at").to_numpy()
+        g, at, copy, state = (table.column(c).to_numpy() for c in ("g", "at", "copy", "kind"))
         ids = table.column("doc_id").combine_chunks()
         ctx = table.column("ctx").to_pylist()
         code = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         code = np.nan_to_num(code, nan=-1).astype(np.int64)
-        known = np.array([x == KNOWN for x in ctx])
-        empty = np.array([not x for x in ctx])
-        rows, starts = [np.flatnonzero(known)], [np.zeros(known.sum(), dtype=np.int64)]
-        one = np.flatnonzero(empty)
+        known = np.flatnonzero(state == REPEATED)
+        rows, starts = [known], [np.zeros(len(known), dtype=np.int64)]
+        one = np.flatnonzero(state == HOT_EDGE)
         if len(one):
-            new = np.concatenate(([True], g[one][1:] != g[one][:-1]))
-            first = one[np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))]
-            again = (code[one] != code[first]) | (at[one] != at[first])
+            first = one[_firsts(g[one], _second(ctx, one))]
+            again = (code[one] != code[first]) | (at[one] != at[first]) | (copy[one] != copy[first])
             rows.append(one[again])
             starts.append(np.zeros(again.sum(), dtype=np.int64))
-        full = np.flatnonzero(~empty & ~known)
+        full = np.flatnonzero(state == EDGE)
         if len(full):
             row, pos, rank = _doubled(g[full], [ctx[i] for i in full], length)
             row = full[row]
-            # Rows of a seed come by (doc_id, place), so the first of a rank is the least place of all.
-            place = (at[row] >> 16) + pos
-            order = np.lexsort((place, row, rank))
+            # Rows of a seed come by doc_id and place, but contexts of texts under one id mix their positions.
+            place = at[row] + pos
+            order = np.lexsort((copy[row], place, np.maximum.accumulate(_opens(code))[row], rank))
+            row, pos, place, rank = row[order], pos[order], place[order], rank[order]
             # Overlapping contexts of one text list a position twice; both have the same place.
-            r, w = rank[order], order
-            new = np.concatenate(([True], r[1:] != r[:-1])) if len(r) else np.zeros(0, dtype=bool)
-            least = w[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))] if len(w) else w
-            again = (code[row[w]] != code[row[least]]) | (place[w] != place[least]) | ((at[row[w]] & 0xFFFF) != (at[row[least]] & 0xFFFF))
-            rows.append(row[w][again])
-            starts.append(pos[w][again])
+            least = _firsts(rank)
+            again = (code[row] != code[row[least]]) | (place != place[least]) | (copy[row] != copy[row[least]])
+            rows.append(row[again])
+            starts.append(pos[again])
         row = np.concatenate(rows)
-        first = (at[row] >> 16) + np.concatenate(starts)
+        first = at[row] + np.concatenate(starts)
         order = np.lexsort((first, row))
         row, first = row[order], first[order]
         runs = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (first[1:] > first[:-1] + length)))) if len(row) else row
         last = np.concatenate((runs[1:], [len(row)])).astype(np.int64) - 1 if len(row) else row
         own = row[runs]
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(own, pa.int64())), pa.array(at[own] & 0xFFFF), pa.array(first[runs]), pa.array(first[last] + length)],
+            [ids.take(pa.array(own, pa.int64())), pa.array(copy[own]), pa.array(first[runs]), pa.array(first[last] + length)],
             names=["doc_id", "copy", "first", "last"],
         )
 
@@ -353,10 +411,12 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                 table = pa.Table.from_batches(held)
                 g = table.column("g").to_numpy()
                 whole = int(np.searchsorted(g, g[-1]))  # the last seed may go on
-                if whole == 0 and not table.column("ctx")[0].as_py():
-                    # A string of a hot seed: everything after its first place repeats, so only that is kept.
+                hot = table.column("kind").to_numpy() == HOT_EDGE
+                if whole == 0 and hot.all():
+                    # One name of hot strings: everything after a string's first place repeats, so only that is kept.
                     yield judge(table)
-                    held, count = table.slice(0, 1).to_batches(), 1
+                    firsts = np.unique(_firsts(_second(table.column("ctx").to_pylist(), np.arange(len(hot)))))
+                    held, count = table.take(pa.array(firsts)).combine_chunks().to_batches(), len(firsts)
                     continue
                 if whole:
                     yield judge(table.slice(0, whole))
@@ -364,7 +424,18 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield judge(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, f"doc_id {kind}, copy long, first long, last long")
+    fields = StructType.fromDDL("copy long, first long, last long").fields
+    return dealt.mapInArrow(run, StructType([StructField("doc_id", kind), *fields]))
+
+
+def _second(ctx: list[bytes], rows: np.ndarray) -> np.ndarray:
+    """The second names of hot rows."""
+    return np.frombuffer(b"".join([ctx[i] for i in rows.tolist()]), dtype=np.uint64)
+
+
+def _opens(code: np.ndarray) -> np.ndarray:
+    """The number of each row where a new code begins, else 0."""
+    return np.where(np.concatenate(([True], code[1:] != code[:-1])), np.arange(len(code)), 0)
 
 
 def dedup(
@@ -375,36 +446,32 @@ def dedup(
     seed: int = SEED,
     hot_contexts: int = HOT_CONTEXTS,
     keep: tuple[str, ...] = (),
+    prefix: str = "",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One row a document: n_bytes, n_removed, n_spans, kept_sha256, clean_text, and the columns in ``keep``."""
+    """One row a document: n_bytes, n_removed, n_spans, kept_sha256, clean_text, each with ``prefix``, and the columns in ``keep``."""
     if not 0 < seed < length or length < 4:
         raise ValueError("seed must be shorter than length")
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _copy_of(text_col).alias("copy"), *[F.col(c).alias(f"_{c}") for c in keep])
-    judged = written(_judged(_anchors(own, length, seed), hot_contexts), "judged")
-    by_doc = own
-    edges = judged.filter("kind > 0")
-    found = _repeats(_contexts(by_doc, edges, length, seed), length)
-    p = F.shiftright("at", 16)
-    around = judged.filter("kind = 0").select(
-        "doc_id", F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("copy"), (p + (seed - length)).alias("first"), (p + length).alias("last")
-    )
+    text = named(text_col)
+    own = docs.select(named(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("copy"), *carried(docs, keep))
+    narrow = own.select("doc_id", "copy", "text")
+    anchors = _anchors(narrow, length, seed, hot_buckets(narrow, length, seed, hot_rows))
+    judged = written(_judged(anchors, hot_contexts), "judged")
+    found = _repeats(_contexts(narrow, judged.filter(F.col("kind") != REPEATED), length, seed), length)
+    around = judged.filter(F.col("kind") == REPEATED).select("doc_id", "copy", (F.col("at") + (seed - length)).alias("first"), (F.col("at") + length).alias("last"))
     spans = around.union(found).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    same = by_doc["doc_id"].eqNullSafe(spans["doc_id"]) & by_doc["copy"].eqNullSafe(spans["copy"])
-    joined = by_doc.join(spans, same, "left").select(by_doc["doc_id"], "text", *[f"_{c}" for c in keep], "spans")
-    kinds = dict(own.dtypes)
-    carried = "".join(f", `{c}` {kinds[f'_{c}']}" for c in keep)
-    schema = f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string{carried}"
+    same = own["doc_id"].eqNullSafe(spans["doc_id"]) & own["copy"].eqNullSafe(spans["copy"])
+    joined = own.join(spans, same, "left").select(own["doc_id"], "text", *[f"_k{i}" for i in range(len(keep))], "spans")
+    schema = schema_of(own, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string", keep, prefix)
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out = [cut_spans(text, spans) for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns, *[batch.column(f"_{c}") for c in keep]],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean_text", *keep],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *[batch.column(f"_k{i}") for i in range(len(keep))]], names=names)
 
     return joined.mapInArrow(run, schema)
 

@@ -27,6 +27,59 @@ def test_small_alphabets(spark, seed):
     assert digest(S.dedup(docs, length=41, seed=7, hot_contexts=3)) == brute.repeated_bytes(rows, 41)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 4096])
+def test_one_line_in_all_documents(spark, hot_rows):
+    """A seed of thousands of contexts, by both ways."""
+    rng = random.Random(4)
+    line = "this line stands at the head of every document here, whatever follows it and wherever it is from: "
+    rows = [(i, line + "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 60, 140])))) for i in range(3000)]
+    rows += [(5000 + i, rows[i][1][7:] + "x") for i in range(0, 3000, 50)]
+    got = digest(S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), hot_rows=hot_rows))
+    assert got == brute.repeated_bytes(rows)
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    """Texts whose hashes agree in their low 16 bits."""
+    rng = random.Random(8)
+    seen = {}
+    while True:
+        text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+        low = brute.xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFF
+        if low in seen:
+            break
+        seen[low] = text
+    a, b = seen[low], text
+    rows = [(1, a[:150]), (9, a), (9, b)]
+    got = {(r.doc_id, r.kept_sha256): r.n_removed for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in (a[:150], a[150:], b)}
+    assert got == {(1, sha[a[:150]]): 0, (9, sha[a[150:]]): 150, (9, sha[b]): 0}
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_texts_under_one_id_follow_each_other_by_start(spark, hot):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcd") for _ in range(120)) for _ in range(5)]
+    rows = [(rng.choice([3, 4, None]), "".join(rng.choice(pool) for _ in range(rng.randint(1, 4))) + str(i)) for i in range(40)]
+    place = {}
+    for n, (doc, text) in enumerate(rows):
+        signed = (brute.xxhash.xxh64_intdigest(text.encode(), 42) ^ 1 << 63) - (1 << 63)
+        for i in range(len(text) - 99):
+            place.setdefault(text[i : i + 100], []).append(((doc is not None, doc), i, signed, n))
+    gone = [set() for _ in rows]
+    for where in place.values():
+        for _, i, _, n in sorted(where)[1:]:
+            gone[n].update(range(i, i + 100))
+    want = sorted((str(doc), len(g), "".join(c for i, c in enumerate(t) if i not in g)) for (doc, t), g in zip(rows, gone))
+    got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_contexts=hot, hot_rows=10 * hot).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.clean_text) for r in got) == want
+
+
+def test_kept_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(1, "x" * 300, "s", 4, "a.b")], "doc_id long, text string, spans string, n_bytes int, `kept.it` string")
+    row = S.dedup(docs, keep=("spans", "n_bytes", "kept.it"), prefix="new_").first()
+    assert (row["spans"], row["n_bytes"], row["kept.it"], row["new_n_bytes"], row["new_n_removed"]) == ("s", 4, "a.b", 300, 299)
+
+
 def test_clean_text_and_kept_columns(docs, rows):
     want = dict(rows)
     for r in S.dedup(docs, keep=("lang", "size")).collect():
