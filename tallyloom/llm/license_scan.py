@@ -3,13 +3,20 @@
 Every rolling word 2-gram of every document is hashed and joined to the
 2-gram positions of the templates.  A hit at document word p and template
 word q votes for the diagonal p - q; a phrase standing verbatim at word d
-gets all its votes on diagonal d.  Votes are counted per diagonal,
-diagonals of one template that lie within ``slack`` words are merged (an
-inserted or dropped word moves the rest of a notice to the next diagonal),
-and a merged span is kept if enough of the template voted.
-
-The hash only selects; the join condition compares the words themselves,
-so each vote is verified text and a phrase with all votes is an exact match.
+gets all its votes on diagonal d.  The hash only selects; the join compares
+the words themselves, so each vote is verified text.  In templates of
+``LONG`` words or more a vote also needs the template's word before or after
+the pair, so that pairs such as "of the" in prose are no votes.
+
+Neighbouring diagonals are merged in bands: diagonal d and the next ``slack``
+ones (an inserted word moves the rest of a notice to the next diagonal).  A
+band is verified as a span: its share is the number of different template
+positions it hits, and of different document positions if those are fewer,
+over the positions the template has.  So a passage that repeats one part of a
+notice gets no more than that part, a span is at most ``slack`` words longer
+than its template, and hits more than ``slack`` words apart are in the
+template's order.  Spans with ``min_share`` or more count; of bands that lie
+within ``slack`` of each other the one with the largest share is reported.
 
 Defined results: null text counts as empty; a document without words has
 one row with zeros and nulls; rows that repeat (doc_id, text) each get their
@@ -47,34 +54,71 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-text",
     "subject to the terms of the mozilla public license": "mpl-notice",
     "all rights reserved": "all-rights-reserved",
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ): "mit-full",
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license"
+    ): "apache-2.0-full",
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that "
+        "it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"
+    ): "gpl-3.0-full",
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+        "and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission"
+    ): "bsd-3-clause-full",
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+        "you can obtain one at http mozilla org mpl 2 0"
+    ): "mpl-2.0-full",
 }
 
 SLACK = 2
 MIN_SHARE = 0.75
+#: Words from which on a template's votes need a third word beside the pair.
+LONG = 8
 #: Template 2-grams that may be broadcast; more than this is refused.
 MAX_TEMPLATE_GRAMS = 100_000
 
 
 def template_rows(base: dict[str, str], notices: dict[str, str]) -> list[tuple]:
-    """(template id, label, is_base, grams in the template, place, word, next word) of every template 2-gram."""
+    """(template id, label, is_base, grams in the template, place, word, next word, word before, word after) of every template 2-gram."""
     rows = []
     named = [(p, b, True) for p, b in base.items()] + [(p, b, False) for p, b in notices.items()]
     for tid, (phrase, label, is_base) in enumerate(named):
         words = phrase.split()
         if len(words) < 2:
             raise ValueError(f"a template needs two words or more: {phrase!r}")
-        rows += [(tid, label, is_base, len(words) - 1, i, words[i], words[i + 1]) for i in range(len(words) - 1)]
+        around = [None, *words, None]
+        rows += [(tid, label, is_base, len(words) - 1, i, words[i], words[i + 1], around[i], around[i + 3]) for i in range(len(words) - 1)]
     if len(rows) > MAX_TEMPLATE_GRAMS:
         raise ValueError(f"{len(rows)} template grams; at most {MAX_TEMPLATE_GRAMS} may be broadcast")
     return rows
 
 
+def template_cells(rows: list[tuple]) -> str:
+    """The rows as SQL literals."""
+    return ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool | int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
 def template_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A literal relation, so that no Python runs for it on the executors."""
-    cells = ", ".join(
-        f"({t}, '{label}', {str(b).lower()}, {n}, {i}, '{w}', '{v}')" for t, label, b, n, i, w, v in rows
-    )
-    values = f"SELECT * FROM VALUES {cells} AS t(tid, label, is_base, t_grams, t_pos, t_word, t_next)"
+    values = f"SELECT * FROM VALUES {template_cells(rows)} AS t(tid, label, is_base, t_grams, t_pos, t_word, t_next, t_before, t_after)"
     return spark.sql(values).withColumn("t_gram", F.xxhash64("t_word", "t_next"))
 
 
@@ -89,7 +133,7 @@ def license_scan(
 ) -> DataFrame:
     """One row a document: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``spans`` lists the method's verified spans as (label, first, last, share).
+    ``spans`` lists the method's verified spans as (first word, last word, label, share).
     """
     spark = docs.sparkSession
     templates = F.broadcast(template_table(spark, template_rows(base, notices)))
@@ -106,10 +150,13 @@ def license_scan(
         F.size("words").cast("long").alias("n_words"),
         "word",
         F.get("words", F.col("pos") + 1).alias("next"),
+        F.get("words", F.col("pos") - 1).alias("before"),
+        F.get("words", F.col("pos") + 2).alias("after"),
     )
+    supported = (F.col("t_grams") < LONG - 1) | (F.col("before") == F.col("t_before")) | (F.col("after") == F.col("t_after"))
     hits = grams.withColumn("gram", F.when(F.col("next").isNotNull(), F.xxhash64("word", "next"))).join(
         templates,
-        (F.col("gram") == F.col("t_gram")) & (F.col("word") == F.col("t_word")) & (F.col("next") == F.col("t_next")),
+        (F.col("gram") == F.col("t_gram")) & (F.col("word") == F.col("t_word")) & (F.col("next") == F.col("t_next")) & supported,
         "left",
     )
     # Word 0 of each document keeps its row without a hit, which counts the document itself.
@@ -117,48 +164,33 @@ def license_scan(
         hits.filter(F.col("tid").isNotNull() | (F.col("pos") == 0))
         .withColumn("diagonal", F.when(F.col("tid").isNotNull(), F.col("pos") - F.col("t_pos")))
         .groupBy("doc_id", "copy", "n_words", "tid", "label", "is_base", "t_grams", "diagonal")
-        .agg(
-            F.count("*").alias("votes"),
-            F.count_if(F.col("pos") == 0).alias("heads"),
-            F.min("pos").cast("long").alias("first"),
-            (F.max("pos") + 1).cast("long").alias("last"),
-        )
+        .agg(F.count_if(F.col("pos") == 0).alias("heads"), F.collect_set("t_pos").alias("template"))
     )
     same_doc = Window.partitionBy("doc_id", "copy")
-    by_template = Window.partitionBy("doc_id", "copy", "tid").orderBy("diagonal")
+    line = Window.partitionBy("doc_id", "copy", "tid").orderBy("diagonal")
+    band, around = line.rangeBetween(0, slack), line.rangeBetween(-slack, slack)
     # A gram at word 0 is seen once a copy of the row; so is the bare word 0.
     zero_grams = F.sum(F.when(F.col("tid").isNull(), F.col("heads"))).over(same_doc)
     zero_hits = F.max(F.when(F.col("tid").isNotNull(), F.col("heads"))).over(same_doc)
+    here = F.transform("template", lambda q: q + F.col("diagonal"))
     spans = (
-        votes.withColumn("copies", F.coalesce(zero_grams, zero_hits))
-        .withColumn("votes", (F.col("votes") / F.col("copies")).cast("long"))
-        .withColumn(
-            "starts", F.when(F.col("diagonal") - F.lag("diagonal").over(by_template) <= F.lit(slack), 0).otherwise(1)
-        )
-        .withColumn("cluster", F.sum("starts").over(by_template))
-        .groupBy("doc_id", "copy", "n_words", "copies", "tid", "label", "is_base", "t_grams", "cluster")
-        .agg(
-            F.sum("votes").alias("votes"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.sort_array(
-                F.collect_list(
-                    F.when(F.col("is_base") & (F.col("votes") == F.col("t_grams")), F.col("diagonal").cast("long"))
-                )
-            ).alias("places"),
-        )
-        .withColumn("share", F.least(F.col("votes") / F.col("t_grams"), F.lit(1.0)))
+        votes.withColumns({"copies": F.coalesce(zero_grams, zero_hits), "here": here})
+        .withColumns({"all_template": F.array_distinct(F.flatten(F.collect_list("template").over(band))), "all_here": F.array_distinct(F.flatten(F.collect_list("here").over(band)))})
+        .withColumn("share", F.least(F.size("all_template"), F.size("all_here")) / F.col("t_grams"))
+        .withColumn("best", F.struct("share", -F.col("diagonal")) == F.max(F.struct("share", -F.col("diagonal"))).over(around))
     )
     is_notice = ~F.col("is_base") & (F.col("share") >= min_share)
-    base_hit = F.col("is_base") & (F.size("places") > 0)
+    base_hit = F.col("is_base") & (F.size("template") == F.col("t_grams"))
+    place = F.col("diagonal").cast("long")
+    span = F.struct(F.array_min("all_here").cast("long").alias("first"), (F.array_max("all_here") + 1).cast("long").alias("last"), "label", "share")
     found = spans.groupBy("doc_id", "copy", "n_words", "copies").agg(
-        F.coalesce(F.sum(F.when(base_hit, F.size("places"))), F.lit(0)).cast("long").alias("n_base"),
-        F.min(F.when(base_hit, F.array_min("places"))).alias("first_word"),
-        F.max(F.when(base_hit, F.array_max("places"))).alias("last_word"),
+        F.count_if(base_hit).alias("n_base"),
+        F.min(F.when(base_hit, place)).alias("first_word"),
+        F.max(F.when(base_hit, place)).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(base_hit, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set(F.when(base_hit | is_notice, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(base_hit, F.lit(1.0)).when(is_notice, F.col("share"))), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(is_notice, F.struct("first", "last", "label", "share")))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(is_notice & F.col("best"), span))).alias("spans"),
     )
     return found.select(
         "doc_id",

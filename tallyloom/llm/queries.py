@@ -18,23 +18,26 @@ _WORDS = (
 
 
 def _op1_sql() -> str:
-    rows = license_scan.template_rows(license_scan.BASE_PHRASES, license_scan.NOTICES)
-    cells = ", ".join(f"({t}, '{label}', {str(b).lower()}, {n}, {i}, '{w}', '{v}')" for t, label, b, n, i, w, v in rows)
+    """Phrases are sought as strings at every word; a notice's share by counting, for each place it could start at, the pairs that stand there or up to SLACK words later."""
+    pairs = license_scan.template_cells(license_scan.template_rows({}, license_scan.NOTICES))
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.BASE_PHRASES.items())
     return f"""
-WITH t(tid, label, is_base, t_grams, t_pos, word, next) AS (VALUES {cells}),
+WITH t(tid, label, is_base, t_grams, t_pos, word, next, b, a) AS (VALUES {pairs}),
+f(phrase, label) AS (VALUES {phrases}),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-g AS (SELECT doc_id, i - 1 AS pos, w[i] AS word, w[i + 1] AS next FROM d, unnest(range(1, len(w))) r(i)),
-v AS (SELECT doc_id, tid, label, is_base, t_grams, pos - t_pos AS diagonal, count(*) AS votes FROM g JOIN t USING (word, next) GROUP BY ALL),
-o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER q <= {license_scan.SLACK} THEN 0 ELSE 1 END AS starts FROM v WINDOW q AS (PARTITION BY doc_id, tid ORDER BY diagonal)),
-c AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS cluster FROM o),
-s AS (SELECT doc_id, tid, label, is_base, least(sum(votes) / t_grams, 1.0) AS share, count(*) FILTER (votes = t_grams) AS places,
-        min(diagonal) FILTER (votes = t_grams) AS first, max(diagonal) FILTER (votes = t_grams) AS last FROM c GROUP BY doc_id, tid, label, is_base, t_grams, cluster),
-k AS (SELECT *, is_base AND places > 0 AS base, NOT is_base AND share >= {license_scan.MIN_SHARE} AS notice FROM s),
-f AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
-        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR notice) AS labels,
-        max(CASE WHEN base THEN 1.0 WHEN notice THEN share END) AS score FROM k GROUP BY doc_id)
+p AS (SELECT doc_id, i - 1 AS place, label FROM d, f, unnest(range(1, len(w) + 1)) r(i)
+        WHERE w[i] = split_part(phrase, ' ', 1) AND array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+x AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+g AS (SELECT doc_id, i AS pos, w[i] AS word, w[i + 1] AS next, CASE WHEN i > 1 THEN w[i - 1] END AS b, w[i + 2] AS a FROM d, unnest(range(1, len(w))) r(i)),
+h AS (SELECT doc_id, tid, label, t_grams, pos, t_pos, pos - t_pos AS start FROM g JOIN t USING (word, next)
+        WHERE t_grams < {license_scan.LONG - 1} OR g.b = t.b OR g.a = t.a),
+s AS (SELECT o.doc_id, o.label, least(count(DISTINCT h.t_pos), count(DISTINCT h.pos)) / o.t_grams AS share
+        FROM (SELECT DISTINCT doc_id, tid, label, t_grams, start FROM h) o JOIN h ON h.doc_id = o.doc_id AND h.tid = o.tid AND h.start BETWEEN o.start AND o.start + {license_scan.SLACK}
+        GROUP BY o.doc_id, o.tid, o.label, o.t_grams, o.start),
+l AS (SELECT doc_id, label, 1.0 AS share FROM p UNION ALL SELECT doc_id, label, share FROM s WHERE share >= {license_scan.MIN_SHARE}),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM l GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-       coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN f USING (doc_id)
+       coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 

@@ -30,6 +30,26 @@ def license_base(text, phrases):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def license_notices(text, notices, slack=2, min_share=0.75, long=8):
+    """Labels and best share of notices, trying each template at each diagonal that has a vote."""
+    words, shares = alnum(text), {}
+    for phrase, label in notices.items():
+        t = phrase.split()
+        votes = set()
+        for p in range(len(words) - 1):
+            for q in range(len(t) - 1):
+                if words[p : p + 2] == t[q : q + 2]:
+                    before, after = p and q and words[p - 1] == t[q - 1], words[p + 2 : p + 3] == t[q + 2 : q + 3] != []
+                    if len(t) < long or before or after:
+                        votes.add((p, q))
+        for d in {p - q for p, q in votes}:
+            band = [(p, q) for p, q in votes if d <= p - q <= d + slack]
+            share = min(len({p for p, _ in band}), len({q for _, q in band})) / (len(t) - 1)
+            shares[label] = max(share, shares.get(label, 0))
+    found = {label: s for label, s in shares.items() if s >= min_share}
+    return set(found), max(found.values(), default=0.0)
+
+
 def fingerprint(text):
     w = blank(text, True)
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []

@@ -1,4 +1,7 @@
+import random
+
 import brute
+import pytest
 
 from tallyloom.llm import license_scan as L
 
@@ -20,6 +23,30 @@ def test_notice_with_a_dropped_word_lies_on_two_diagonals(spark):
     assert row.base_labels == "gpl" and row.n_base == 1 and row.first_word == 12
 
 
+def test_notices_equal_a_brute_force_vote(spark):
+    rng = random.Random(6)
+    stock = "the of and license software this is in to under terms rights reserved all licensed use".split()
+    texts = []
+    for phrase in L.NOTICES:
+        words = phrase.split()
+        for _ in range(6):
+            own = [w for w in words if rng.random() > 0.04]
+            for _ in range(rng.randint(0, 3)):
+                own.insert(rng.randrange(len(own) + 1), rng.choice(stock))
+            texts.append(" ".join([*rng.choices(stock, k=5), *own, *rng.choices(stock, k=9), *own[len(own) // 2 :]]))
+    texts += [" ".join(rng.choices(stock, k=200)) for _ in range(10)] + ["all rights all rights", "rights reserved all rights", "licensed under " * 6, "all rights reserved"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, text in rows:
+        labels, share = brute.license_notices(text, L.NOTICES)
+        base = set(brute.license_base(text, L.BASE_PHRASES)[4].split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == labels | base
+        assert got[i].score == pytest.approx(1.0 if base else share)
+        assert all(s.last - s.first + 1 <= 170 for s in got[i].spans) and {s.label for s in got[i].spans} == labels
+    assert [got[i].labels for i, t in rows[-4:]] == ["", "", "", "all-rights-reserved"]
+    assert [tuple(s) for s in got[len(rows) - 1].spans] == [(0, 2, "all-rights-reserved", 1.0)]
+
+
 def test_overlapping_places_count(spark):
     row = L.license_scan(spark.createDataFrame([(1, "MIT license mit LICENSE.mit-license")], "doc_id long, text string")).first()
     assert (row.n_base, row.first_word, row.last_word) == (3, 0, 4)
