@@ -11,6 +11,9 @@ depend on how rows are batched and every verdict is reproducible.
 The target is a sample of labelled rows: the ``trusted_limit`` trusted ids
 that come first by hash.  The raw counts cover all documents.
 
+Columns in ``keep`` may have any name; one named like a result column needs
+``prefix`` for the results.
+
 Defined results: null text has no words and fails; a text shorter than an
 n-gram scores 0; without trusted documents all scores are 0 and only the
 counts decide; rows that repeat a doc_id are judged each on their own text;
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ship
+from tallyloom.llm.common import named, schema_of, ship
 
 N = 3
 BUCKETS = 1 << 16
@@ -113,7 +116,7 @@ def likelihood_ratios(docs: DataFrame, trusted: list, n: int = N, buckets: int =
         some = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["bucket", "raw", "target"])
 
-    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "bucket long, raw long, target long")
+    parts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(count, "bucket long, raw long, target long")
     sums = np.zeros((2, buckets))
     found = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # ``buckets`` rows at most
     at = found["bucket"].to_numpy()
@@ -154,17 +157,18 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
+    prefix: str = "",
 ) -> DataFrame:
-    """One row a document: the plain counts, base_failed, score (nats an n-gram), kept, and the columns in ``keep``."""
+    """One row a document: the plain counts, base_failed, score (nats an n-gram), kept, each with ``prefix``, and the columns in ``keep``."""
     ratios = docs.sparkSession.sparkContext.broadcast(likelihood_ratios(docs, trusted, n, buckets, id_col, text_col))
     limit = round(threshold * 1e6)
     # The text is sent to Python once, also where it is kept.
-    sent = {c: "text" if c == text_col else f"_{c}" for c in keep}
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in sent.items() if n != "text"])
-    kinds = dict(own.dtypes)
-    carried = "".join(f", `{c}` {kinds[n]}" for c, n in sent.items())
+    sent = ["text" if c == text_col else f"_k{i}" for i, c in enumerate(keep)]
+    own = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), *[named(c).alias(x) for c, x in zip(keep, sent) if x != "text"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = f"doc_id {kinds['doc_id']}, {', '.join(f'{x} long' for x in names)}, base_failed boolean, score double, kept boolean{carried}"
+    fields = ", ".join(f"{x} long" for x in names) + ", base_failed boolean, score double, kept boolean"
+    schema = schema_of(own.select("*", *[F.col("text").alias(f"_k{i}") for i, x in enumerate(sent) if x == "text"]), fields, keep, prefix)
+    out_names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratios.value
@@ -183,8 +187,8 @@ def judge(
             kept = ~failed & (sums >= limit * grams)
             score = sums / np.maximum(grams, 1) / 1e6
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(counts[:, i]) for i in range(5)], pa.array(failed), pa.array(score), pa.array(kept), *[batch.column(n) for n in sent.values()]],
-                names=["doc_id", *names, "base_failed", "score", "kept", *keep],
+                [batch.column("doc_id"), *[pa.array(counts[:, i]) for i in range(5)], pa.array(failed), pa.array(score), pa.array(kept), *[batch.column(x) for x in sent]],
+                names=out_names,
             )
 
     return own.mapInArrow(run, schema)

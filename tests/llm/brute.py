@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -83,6 +84,75 @@ def components(rows, distance=2):
     return [least[find(f)] for _, f in rows]
 
 
+def word_fingerprint(text):
+    """Fingerprint over the different words."""
+    words = set(blank(text, True))
+    h = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in words] or [0], dtype=np.uint64)
+    bits = [(h >> np.uint64(j)) & np.uint64(1) for j in range(64)]
+    return sum(1 << j for j in range(64) if words and 2 * int(bits[j].sum()) > len(h))
+
+
+def shingles(text, size=5):
+    w = blank(text, True)
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def plain_counts(text):
+    """(words, word characters, symbols, repeated lines, words in repeated 3-word windows)."""
+    words = blank(text)
+    often = Counter(zip(words, words[1:], words[2:]))
+    hit = {i + k for i in range(len(words) - 2) if often[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if blank(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def quality(rows, trusted, threshold=-0.5, buckets=1 << 16, prior=20_000):
+    """rows: (doc_id, text) -> for each row (score, kept), gram by gram."""
+
+    def grams(text):
+        raw = (text or "").encode()
+        for i in range(len(raw) - 2):
+            h = (raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77 + raw[i + 2] * 0xC2B2AE3D) % 2**32
+            h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+            yield (h ^ h >> 16) % buckets
+
+    raw, target = Counter(), Counter()
+    for doc_id, text in rows:
+        for g in grams(text):
+            raw[g] += 1
+            if doc_id in trusted:
+                target[g] += 1
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = {}
+    for g in raw:
+        p = (raw[g] + 1) / (n_raw + buckets)
+        ratio[g] = round(float(np.log((target[g] + prior * p) / (n_target + prior) / p)) * 1e6) if n_target else 0
+    out = []
+    for _, text in rows:
+        own = [ratio[g] for g in grams(text)]
+        words, *_, repeated = plain_counts(text)
+        failed = words < 50 or 100 * repeated > 50 * words
+        out.append((sum(own) / max(1, len(own)) / 1e6, not failed and sum(own) >= threshold * 1e6 * len(own)))
+    return out
+
+
+def similar_groups(texts, distance=6, similarity=0.8):
+    """Group number of each text: links of similar texts within closures of near fingerprints."""
+    fps, sets = [word_fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    closure = components([(f, f) for f in fps], distance)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and closure[i] == closure[j] and jaccard(sets[i], sets[j]) >= similarity:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
 def decontaminate(text, items, n=10):
     """items: (item_id, text)."""
     words = alnum(text)
@@ -115,3 +185,42 @@ def repeated_bytes(texts, size=100):
         kept = np.frombuffer(raw, dtype=np.uint8)[~mask].tobytes()
         out[doc] = (len(raw), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def signed_hash(text):
+    return (xxhash.xxh64_intdigest((text or "").encode(), 42) ^ 1 << 63) - (1 << 63)
+
+
+def without_repeats(rows, size=100):
+    """rows: (doc_id, text) -> each text without the bytes of strings that start earlier; a character cut within goes whole."""
+    place = {}
+    for n, (doc, text) in enumerate(rows):
+        raw = text.encode()
+        for i in range(len(raw) - size + 1):
+            place.setdefault(raw[i : i + size], []).append(((doc is not None, doc), i, signed_hash(text), n))
+    gone = [set() for _ in rows]
+    for where in place.values():
+        for _, i, _, n in sorted(where)[1:]:
+            gone[n].update(range(i, i + size))
+    return [bytes(b for i, b in enumerate(t.encode()) if i not in g).decode(errors="ignore") for (_, t), g in zip(rows, gone)]
+
+
+def without_items(text, items, n=10):
+    """Text without the characters from the first to the last word of each run of hit words of windows that touch or overlap."""
+    found = [(m.start(), m.end()) for m in ALNUM.finditer(text.translate(LOWER))]
+    words = alnum(text)
+    spans = set()
+    for _, item in items:
+        w = alnum(item)
+        size = min(n, len(w))
+        for k in range(len(w) - size + 1) if size else ():
+            spans |= {(i, i + size) for i in range(len(words) - size + 1) if words[i : i + size] == w[k : k + size]}
+    merged = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for a, b in reversed(merged):
+        text = text[: found[a][0]] + text[found[b - 1][1] :]
+    return text

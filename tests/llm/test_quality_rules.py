@@ -1,18 +1,10 @@
-import re
-from collections import Counter
-
 import brute
 import pytest
 
 from tallyloom.llm import quality_rules as Q
 
 
-def plain(text):
-    words = brute.blank(text)
-    often = Counter(zip(words, words[1:], words[2:]))
-    hit = {i + k for i in range(len(words) - 2) if often[tuple(words[i : i + 3])] > 1 for k in range(3)}
-    lines = [x for x in (text or "").split("\n") if brute.blank(x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+plain = brute.plain_counts
 
 
 def test_counts_equal_brute_force(docs, rows):
@@ -51,3 +43,18 @@ def test_empty_and_repeated(nothing, repeated):
     assert Q.judge(nothing, []).count() == 0
     assert Q.judge(repeated, [7]).count() == 6
     assert Q.trusted_ids(nothing.selectExpr("doc_id", "1 AS quality")) == []
+
+
+def test_scores_and_verdicts_equal_brute_force(docs, rows):
+    trusted = [i for i, _ in rows if i % 2]
+    got = {r.doc_id: r for r in Q.judge(docs, trusted).collect()}
+    want = brute.quality(rows, set(trusted))
+    assert {i: r.kept for i, r in got.items()} == {i: k for (i, _), (_, k) in zip(rows, want)}
+    for (i, _), (score, _) in zip(rows, want):
+        assert got[i].score == pytest.approx(score, abs=1e-9)
+
+
+def test_kept_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(1, "one two", "k", 2.5, "a.b")], "doc_id long, text string, Kept string, score double, `n.words` string")
+    row = Q.judge(docs, [], keep=("text", "Kept", "score", "n.words"), prefix="new_").first()
+    assert (row["text"], row["Kept"], row["score"], row["n.words"], row["new_kept"], row["new_n_words"]) == ("one two", "k", 2.5, "a.b", False, 2)

@@ -40,3 +40,56 @@ def test_empty_and_repeated(nothing, repeated):
     assert len(got) == 6
     assert len({r.fingerprint for r in got if r.doc_id == 7}) <= 2
     assert [r.fingerprint for r in got if r.doc_id is None and r.fingerprint == "0" * 16]
+
+
+def family(rng, stock, n, edits):
+    """A text and copies of it with up to ``edits`` other words."""
+    base = [rng.choice(stock) for _ in range(150)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, edits)):
+            own[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("limit, block", [(24, 1 << 20), (3, 4000)])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, limit, block):
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
+    monkeypatch.setattr(S, "BLOCK_FINGERPRINTS", 16)
+    rng = random.Random(11)
+    stock = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(6)) for _ in range(800)]
+    texts = family(rng, stock, 60, 12) + family(rng, stock, 9, 3) + [t for _ in range(20) for t in family(rng, stock, 1, 0)]
+    texts += [texts[0]] * 4 + [None, "", " \n", "one", "ONE", "one two", "a b c d e", "A b c d e f"]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    got = {r.text_hash: r for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bucket_limit=limit).collect()}
+    hashes = [(brute.xxhash.xxh64_intdigest((t or "").encode(), 42) ^ 1 << 63) - (1 << 63) for t in texts]
+    assert set(got) == set(hashes)
+    want, least = brute.similar_groups(texts), {}
+    for (i, _), h in zip(rows, hashes):
+        least[h] = min(i, least.get(h, i))
+    assert all(got[h].doc_id == least[h] for h in hashes)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    assert all((got[hashes[i]].component == got[hashes[j]].component) == (want[i] == want[j]) for i, j in pairs)
+    # Of the texts that have a similar one, candidates miss few.
+    near = [(i, j) for i, j in pairs if brute.jaccard(brute.shingles(texts[i]), brute.shingles(texts[j])) >= 0.8]
+    assert sum(want[i] == want[j] for i, j in near) >= 0.95 * len(near) > 100
+
+
+@pytest.mark.parametrize("distance", [3, 4])
+def test_wide_links_of_large_keys(spark, distance):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(60)})
+    signed = [((f ^ 1 << 63) - (1 << 63),) for f in fps]
+    links = S.fingerprint_links(spark.createDataFrame(signed, "fp long"), distance, blocks=distance + 2, bucket_limit=5)
+    roots = {r.node: r.root for r in connected_components(links).collect()}
+    want = brute.components([(f, f) for f in fps], distance)
+    got = [roots.get(f, f) for (f,) in signed]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_similar_groups_of_nothing(nothing, repeated):
+    assert S.similar_groups(nothing).count() == 0
+    assert len({r.component for r in S.similar_groups(repeated).collect()}) in (3, 4)
