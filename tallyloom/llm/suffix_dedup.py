@@ -196,6 +196,11 @@ class Winnowed:
         self.done[order] = (self.at[order] != self.at[first]) | (own_id[order] != own_id[first]) | (copy[order] != copy[first])
 
 
+def _bucket(g: np.ndarray) -> np.ndarray:
+    """By the low bits: winnowed seeds are the least of many, so their high bits are alike."""
+    return (g % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def hot_buckets(docs: DataFrame, length: int, seed: int, hot_rows: int) -> np.ndarray:
     """For each bucket of seeds whether it holds far more winnowed positions than others."""
 
@@ -204,7 +209,7 @@ def hot_buckets(docs: DataFrame, length: int, seed: int, hot_rows: int) -> np.nd
 
         def count(rows: list[tuple], _: pa.DataType) -> Iterator[pa.RecordBatch]:
             some = Winnowed(rows, length, seed)
-            sums[:] += np.bincount((some.g[~some.done] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            sums[:] += np.bincount(_bucket(some.g[~some.done]), minlength=BUCKETS)
             yield from ()
 
         yield from _texts_of(length, count)(batches)
@@ -224,7 +229,7 @@ def _anchors(docs: DataFrame, length: int, seed: int, hot: np.ndarray) -> DataFr
 
     def anchors(rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         some = Winnowed(rows, length, seed)
-        is_hot = known.value[(some.g >> np.uint64(48)).astype(np.int64)] & ~some.done
+        is_hot = known.value[_bucket(some.g)] & ~some.done
         with np.errstate(over="ignore"):
             spread = _mixed(some.at.astype(np.uint64) + some.owner.astype(np.uint64) * np.uint64(_STEP))
             g = np.where(some.done, spread, np.where(is_hot, _mixed(some.g + some.c * np.uint64(_STEP)), some.g))
