@@ -47,7 +47,7 @@ MAX_REPEAT_PERCENT = 50
 #: Rows judged at once.
 ROWS = 1_000
 #: Text bytes hashed at once.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\v\f\r"

@@ -279,14 +279,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("closure"))
     crowded = rooted.groupBy("closure").agg(F.count("*").alias("texts")).filter("texts > 1").select("closure")
     members = written(rooted.join(crowded, "closure"), "members")
-    chosen = _sifted(own, members).join(members, "node").select("closure", "node", "text")
+    # One row a text before the shuffle, so that copies do not meet in one task.
+    once = _sifted(own, members).groupBy("node").agg(F.first("text").alias("text"))
+    chosen = once.join(members, "node").select("closure", "node", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("closure"), batch.column("node"), pa.array(sets, pa.binary())], names=["closure", "node", "shingles"])
 
-    sets = written(chosen.dropDuplicates(["closure", "node"]).mapInArrow(shingles, "closure long, node long, shingles binary"), "shingles")
+    sets = written(chosen.mapInArrow(shingles, "closure long, node long, shingles binary"), "shingles")
     sizes = sets.groupBy("closure").agg(F.ceil(F.sum(F.octet_length("shingles") + 16) / BLOCK_BYTES).cast("int").alias("blocks"))
     placed = sets.join(sizes, "closure").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = placed.groupBy("closure", "blocks", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("texts"))
