@@ -12,8 +12,11 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -85,8 +88,44 @@ def _own_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"tallyloom-{spark.sparkContext.applicationId}")
 
 
+_folders: set[str] = set()
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/tallyloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        fs, make = hadoop(spark, folder)
+        fs.mkdirs(make(folder))
+        fs.deleteOnExit(make(folder))
+        _folders.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch paths within goes at the end; only for results that are stored elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """(the file system of a path, a function that makes its paths)."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, make = hadoop(spark, path)
+    fs.delete(make(path), True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -109,11 +148,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(batches: Iterator, rows: int = 1_000) -> Iterator:
-    """Slices of Arrow batches, so that a worker turns few texts at a time into Python objects."""
+def small_batches(batches: Iterator, rows: int = 1_000, size: int = 4_000_000) -> Iterator:
+    """Slices of Arrow batches of at most ``rows`` rows and, but for a longer text alone, ``size`` bytes of column text, so that a worker holds few Python objects at a time."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        n, at = batch.num_rows, 0
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False) if "text" in batch.schema.names else np.zeros(n)
+        upto = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        while at < n:
+            end = int(np.searchsorted(upto, upto[at] + size, side="right")) - 1
+            end = min(max(end, at + 1), at + rows, n)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 _shipped: set[str] = set()
@@ -130,8 +175,8 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     uri = f"{shared_dir(spark)}/{sc.applicationId}/{root.name}.zip"
-    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    fs, make = hadoop(spark, uri)
+    out = fs.create(make(uri), True)
     out.write(bytearray(packed.getvalue()))
     out.close()
     sc.addPyFile(uri)

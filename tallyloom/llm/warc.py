@@ -2,23 +2,30 @@
 
 Pages are ordered by id and cut into shards at sampled splitters (the ids
 that come first by hash, so the same table gives the same shards).  A task
-writes the records of a shard in order, each a gzip member of its own, and
+puts the records of a shard in order, each a gzip member of its own, and
 rolls to a new file when the compressed size would pass ``roll_bytes``.
-Headers and SHA-1 digests are made anew from the payload.  Files are written
-under temporary names and renamed when whole; names and bytes depend on the
-rows only, so an attempt that runs again after a lost executor writes the
-same files over.  The manifest lists every file with its size and digest and
-is what the reader goes by; a marker file is renamed into place last.
+Headers and SHA-1 digests are made anew from the payload.
+
+Files go out through Spark's own writer, so to any file system that Spark
+writes to: a file is one row of bytes, in a job that commits through
+temporary names, and ends in an empty gzip member where that writer ends a
+row.  Then each takes its final name, which holds part of its SHA-1.  Names
+and bytes depend on the rows only; of a task that runs twice one attempt is
+committed.  The manifest, of rows from the same job, lists every file with its
+size and digest and is what the reader goes by; a marker file is renamed into
+place last.
 
 Of records with equal payloads of at least ``revisit_bytes`` the one with the
 largest page_id is a response and the others are revisits of it.
 
 Defined results: null html is an empty payload; a null url gives no target
 header; rows that repeat the largest page_id of a payload are all responses;
-a null page_id is written without an id and revisits like any other; an
+a null page_id is written without an id and revisits like any other, in a
+shard by its digest; other columns are left out whatever their names; an
 empty table gives an archive without files.
 
-Scale: html is shuffled once; a revisit's html is not shuffled at all.  The
+Scale: html is shuffled once; a revisit's html is not shuffled at all.  Sizes
+and digests are written once and all that is counted comes from them.  The
 table of repeated payloads is broadcast while it has at most
 ``MAX_BROADCAST_GROUPS`` rows and joined by shuffle beyond.
 """
@@ -26,29 +33,30 @@ table of repeated payloads is broadcast while it has at most
 from __future__ import annotations
 
 import base64
-import bisect
 import gzip
 import hashlib
 import json
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ship
+from tallyloom.llm.common import hadoop, named, ship, written
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 16_000_000
 SHARD_BYTES = 24_000_000
 MAX_BROADCAST_GROUPS = 200_000
-#: More shards than this are not made, which bounds the sample on the driver; shards grow instead.
-MAX_SHARDS = 10_000
+#: Ids drawn for splitters: so many a shard, and in all, which bounds the sample on the driver.  Shards have at least four each and grow beyond that.
+DRAWN, MAX_DRAWN = 32, 1_000_000
+#: An empty gzip member, which ends a file.
+END = gzip.compress(b"", mtime=0)
 #: A fixed date, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -56,20 +64,21 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha1 string, first_id string, last_id string"
 
 
-def classified(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, size, digest, refers_to): refers_to is set for revisits, whose html is dropped."""
+def classified(pages: DataFrame, keys: DataFrame, revisit_bytes: int = REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, html, size, digest, refers_to): refers_to is set for revisits, whose html is dropped.  keys: page_id, size and digest of all pages."""
     rows = pages.select(
-        F.col(id_col).alias("page_id"),
-        F.col(url_col).alias("url"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+        named(id_col).alias("page_id"),
+        named(url_col).alias("url"),
+        F.coalesce(named(html_col), F.lit("")).alias("html"),
     ).withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
     groups = (
-        rows.filter(F.col("size") >= revisit_bytes)
+        keys.filter(F.col("size") >= revisit_bytes)
         .groupBy("digest", "size")
         .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
         .filter("n > 1 AND keeper IS NOT NULL")
         .drop("n")
     )
+    groups = written(groups, "groups")
     if groups.count() <= MAX_BROADCAST_GROUPS:
         groups = F.broadcast(groups)
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
@@ -119,26 +128,30 @@ def _info(name: str) -> bytes:
 
 
 class _File:
-    """One archive file under a temporary name until closed."""
-
-    def __init__(self, files: pafs.FileSystem, folder: str, shard: int, seq: int, attempt: int):
-        self.files, self.shard, self.seq = files, shard, seq
-        self.name = f"part-{shard:06d}-{seq:05d}.warc.gz"
-        self.path, self.temporary = f"{folder}/{self.name}", f"{folder}/_temporary-{attempt}-{self.name}"
-        self.out = files.open_output_stream(self.temporary, compression=None)
-        self.sha1, self.bytes, self.records = hashlib.sha1(), 0, 0
+    """The members of one archive file."""
+
+    def __init__(self, shard: int, seq: int):
+        self.shard, self.seq = shard, seq
+        self.members = [gzip.compress(_info(f"part-{shard:06d}-{seq:05d}.warc.gz"), mtime=0)]
+        self.bytes, self.records = len(self.members[0]), 0
         self.first = self.last = None
-        self.put(gzip.compress(_info(self.name), mtime=0))
 
-    def put(self, member: bytes) -> None:
-        self.out.write(member)
-        self.sha1.update(member)
+    def put(self, member: bytes, page_id: object) -> None:
+        self.members.append(member)
         self.bytes += len(member)
+        self.records += 1
+        self.first, self.last = self.first or str(page_id), str(page_id)
+
+    def rows(self) -> pa.RecordBatch:
+        """The file, and its line of the manifest under another name."""
+        content = b"".join(self.members)
+        sha1 = hashlib.sha1(content + END).hexdigest()
+        name = f"part-{self.shard:06d}-{self.seq:05d}-{sha1[:16]}.warc.gz"
+        line = dict(zip(_MANIFEST_NAMES, (name, self.shard, self.seq, self.records, self.bytes + len(END), sha1, self.first, self.last)))
+        return pa.RecordBatch.from_arrays([pa.array([name, f"manifest-{self.shard:06d}"]), pa.array([content, json.dumps(line).encode()])], names=["file", "content"])
+
 
-    def close(self) -> tuple:
-        self.out.close()
-        self.files.move(self.temporary, self.path)
-        return self.name, self.shard, self.seq, self.records, self.bytes, self.sha1.hexdigest(), self.first, self.last
+_MANIFEST_NAMES = [f.split()[0] for f in MANIFEST.split(", ")]
 
 
 def write_warc(
@@ -154,52 +167,80 @@ def write_warc(
     """Write pages under ``path``, a folder URI that driver and executors share; gives the manifest."""
     spark = pages.sparkSession
     ship(spark)
-    files, folder = pafs.FileSystem.from_uri(path)
-    files.create_dir(folder, recursive=True)
-    rows = classified(pages, revisit_bytes, id_col, url_col, html_col)
-    sizes = pages.select(F.col(id_col).alias("id"), F.octet_length(html_col).alias("size"))
-    total, count = sizes.agg(F.sum("size"), F.count("*")).first()
-    shards = min(MAX_SHARDS, max(1, -(-((total or 0) + 500 * count) // shard_bytes)))
-    drawn = [r[0] for r in sizes.filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(shards * 32).select("id").collect()]
-    drawn.sort()
-    splitters = sorted({drawn[len(drawn) * i // shards] for i in range(1, shards)}) if drawn else []
+    html = F.coalesce(named(html_col), F.lit(""))
+    keys = written(pages.select(named(id_col).alias("page_id"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest")), "page-keys")
+    rows = classified(pages, keys, revisit_bytes, id_col, url_col, html_col)
+    total, count = keys.agg(F.sum("size"), F.count("*")).first()
+    shards = min(MAX_DRAWN // 4, max(1, -(-((total or 0) + 500 * count) // shard_bytes)))
+    ids = keys.filter("page_id IS NOT NULL").select("page_id")
+    drawn = sorted(r[0] for r in ids.orderBy(F.xxhash64("page_id"), "page_id").limit(min(shards * DRAWN, MAX_DRAWN)).collect())
+    cuts = sorted({drawn[len(drawn) * i // shards] for i in range(1, shards)}) if drawn else []
+    splitters = np.array(cuts, dtype=object if drawn and isinstance(drawn[0], str) else np.int64)
+    known = spark.sparkContext.broadcast(splitters)
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: 0 if pd.isna(i) else bisect.bisect_right(splitters, i)).astype("int32")
+        return pd.Series(np.searchsorted(known.value, ids.to_numpy(dtype=known.value.dtype), side="right").astype(np.int32))
 
-    dealt = rows.withColumn("shard", shard_of("page_id")).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    shard = F.pmod(F.xxhash64("digest", "url"), F.lit(shards)).cast("int")  # of pages without an id
+    if drawn:
+        shard = F.when(F.col("page_id").isNull(), shard).otherwise(shard_of(F.coalesce("page_id", F.lit(drawn[0]))))
+    dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("page_id", "digest", "url")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pafs.FileSystem.from_uri(path)
-        attempt = TaskContext.get().taskAttemptId()
-        names = [f.split()[0] for f in MANIFEST.split(", ")]
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _File | None = None
-        done: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers_to")]
-            for shard, page_id, *rest in zip(*columns):
+            for shard, page_id, *rest in zip(*[batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers_to")]):
                 member = gzip.compress(record(page_id, *rest), 6, mtime=0)
                 if now and (now.shard != shard or now.bytes + len(member) > roll_bytes):
-                    seq = now.seq + 1 if now.shard == shard else 0
-                    done.append(now.close())
-                    now = _File(files, folder, shard, seq, attempt)
-                now = now or _File(files, folder, shard, 0, attempt)
-                now.put(member)
-                now.records += 1
-                now.first, now.last = now.first or str(page_id), str(page_id)
+                    yield now.rows()
+                    now = _File(shard, now.seq + 1 if now.shard == shard else 0)
+                now = now or _File(shard, 0)
+                now.put(member, page_id)
         if now:
-            done.append(now.close())
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
-
-    dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
-    manifest = spark.read.parquet(f"{path}/manifest")
+            yield now.rows()
+
+    # A row of the text writer is any bytes; with this charset its end is, too.
+    data = f"{path}/_temporary-{uuid.uuid4().hex}"
+    files = dealt.mapInArrow(make, "file string, content binary").select("file", F.col("content").cast("string").alias("value"))
+    files.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", END.decode("latin-1")).text(data)
+    return _commit(spark, path, data)
+
+
+def _commit(spark: SparkSession, path: str, data: str) -> DataFrame:
+    """Give the files their names, write the manifest and then the marker."""
+    fs, make = hadoop(spark, path)
+    found = [(s.getPath(), s.getPath().getParent().getName().removeprefix("file=")) for s in fs.globStatus(make(f"{data}/file=*/part-*")) or []]
+
+    if fs.getScheme() == "file":
+        fs = fs.getRawFileSystem()  # which leaves its checksum files behind
+
+    def name(file: tuple) -> None:
+        target = make(f"{path}/{file[1]}")
+        if fs.exists(target):  # of an archive that was not committed
+            fs.delete(target, False)
+        if not fs.rename(file[0], target):
+            raise OSError(f"could not name {file[1]}")
+
+    lines = spark.read.format("binaryFile").load(f"{data}/file=manifest-*") if any(n.startswith("manifest-") for _, n in found) else None
+    if lines is None:
+        manifest = spark.createDataFrame([], MANIFEST)
+    else:
+        line = F.explode(F.split(F.decode("content", "ISO-8859-1"), re.escape(END.decode("latin-1")))).alias("line")
+        manifest = lines.select(line).filter("line <> ''").select(F.from_json("line", MANIFEST).alias("m")).select("m.*")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(name, [f for f in found if not f[1].startswith("manifest-")]))
+    fs.delete(make(data), True)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     n_files, n_records, n_bytes = manifest.agg(F.count("*"), F.sum("records"), F.sum("bytes")).first()
     marker = json.dumps({"files": n_files, "records": n_records or 0, "bytes": n_bytes or 0}).encode()
-    with files.open_output_stream(f"{folder}/_temporary-committed") as out:
-        out.write(marker)
-    files.move(f"{folder}/_temporary-committed", f"{folder}/_COMMITTED")
+    temporary, final = make(f"{path}/_temporary-committed"), make(f"{path}/_COMMITTED")
+    out = fs.create(temporary, True)
+    out.write(bytearray(marker))
+    out.close()
+    fs.delete(final, False)
+    fs.rename(temporary, final)
     return manifest
 
 
@@ -224,37 +265,45 @@ def read_warc(spark: SparkSession, path: str, with_html: bool = False) -> DataFr
     their headers.
     """
     ship(spark)
-    files, folder = pafs.FileSystem.from_uri(path)
-    if files.get_file_info(f"{folder}/_COMMITTED").type == pafs.FileType.NotFound:
+    fs, make = hadoop(spark, path)
+    if not fs.exists(make(f"{path}/_COMMITTED")):
         raise FileNotFoundError(f"{path} holds no committed archive")
-    manifest = spark.read.parquet(f"{path}/manifest").select("file", "bytes", "sha1")
-    parts = max(1, min(manifest.count(), 10_000))
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + (", html string" if with_html else "")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    if manifest.isEmpty():
+        return spark.createDataFrame([], schema)
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    # Only names and lengths are read for this.
+    there = stored.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    missing = manifest.join(there, "file", "left").filter("length IS NULL OR length <> bytes").select("file").take(1)
+    if missing:
+        raise OSError(f"{missing[0][0]} is not what the manifest lists")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pafs.FileSystem.from_uri(path)
         kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()][: 6 + with_html]
         names = [f.split()[0] for f in schema.split(", ")]
+
+        def rows(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
+
         for batch in batches:
-            for name, size, sha1 in zip(*[batch.column(c).to_pylist() for c in ("file", "bytes", "sha1")]):
-                check, held = hashlib.sha1(), []
-                with files.open_input_stream(f"{folder}/{name}", compression=None) as f:
-                    while block := f.read(1 << 20):
-                        check.update(block)
-                if check.hexdigest() != sha1 or files.get_file_info(f"{folder}/{name}").size != size:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                name, content = name.as_py().rpartition("/")[2], content.as_buffer()
+                if hashlib.sha1(content).hexdigest()[:16] != name.removesuffix(".warc.gz").rpartition("-")[2]:
                     raise OSError(f"{name} is not what the manifest lists")
-                with files.open_input_stream(f"{folder}/{name}", compression=None) as f, gzip.GzipFile(fileobj=f) as stream:
+                held = []
+                with gzip.GzipFile(fileobj=pa.BufferReader(content)) as stream:
                     for headers, block in records_of(stream):
                         if headers["warc-type"] == "warcinfo":
                             continue
                         held.append(_row(headers, block, with_html))
                         if len(held) >= 2000:
-                            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
+                            yield rows(held)
                             held = []
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
+                    yield rows(held)
 
-    return manifest.repartition(parts).mapInArrow(read, schema)
+    return stored.select("path", "content").mapInArrow(read, schema)
 
 
 def _row(headers: dict[str, str], block: bytes, with_html: bool) -> tuple:

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 
 import pytest
 
@@ -61,3 +62,32 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/e"
     W.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert W.read_warc(spark, path).count() == 0
+
+
+def test_columns_of_any_name_and_a_path_without_a_scheme(spark, pages, tmp_path):
+    clashing = pages.select("*", *[pages["page_id"].cast("string").alias(c) for c in ("size", "digest", "shard", "file", "value", "refers.to")])
+    W.write_warc(clashing, f"{tmp_path}/a", shard_bytes=40_000)
+    W.write_warc(clashing, f"{tmp_path}/a", shard_bytes=40_000)  # once more over it
+    W.write_warc(pages, f"file://{tmp_path}/b", shard_bytes=40_000)
+    a, b = (sorted(map(tuple, W.read_warc(spark, f"{tmp_path}/{n}").fillna("").collect())) for n in "ab")
+    assert a == b and len(a) == len(PAGES)
+    assert {p.name for p in (tmp_path / "a").glob("*.warc.gz")} == {r.file for r in spark.read.parquet(f"{tmp_path}/a/manifest").collect()}
+
+
+def test_files_are_gzip_members_a_record_each(spark, pages, tmp_path):
+    W.write_warc(pages, f"file://{tmp_path}/a", roll_bytes=20_000)
+    for file in (tmp_path / "a").glob("*.warc.gz"):
+        raw, n = file.read_bytes(), 0
+        while raw:
+            member = zlib.decompressobj(31)
+            text = member.decompress(raw)
+            raw, n = member.unused_data, n + 1
+            assert member.eof and (text.startswith(b"WARC/1.1") or not raw and not text)
+        assert n > 2
+
+
+def test_ids_of_text(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{i:03d}", "u", "<p>x</p>" * i) for i in range(90)] + [(None, "u", "y")], "page_id string, url string, html string")
+    W.write_warc(rows, f"file://{tmp_path}/a", shard_bytes=9_000)
+    got = W.read_warc(spark, f"file://{tmp_path}/a").collect()
+    assert sorted(r.page_id or "" for r in got) == sorted([""] + [f"p{i:03d}" for i in range(90)])
