@@ -9,16 +9,18 @@ and replaces the stretch.  The model's counts come from all documents.
 
 Score: a logistic model over words and word stems of the restored text.  Its
 features are those whose labelled documents are toxic too often for chance
-(a likelihood-ratio test), its weights fitted by Newton steps.  Both use the
-``train_limit`` labelled training rows that come first by hash; the training
-rows are those whose crc32(id as text) mod 4 is not 2.
+(a likelihood-ratio test; the ``max_features`` with the most evidence), its
+weights fitted by Newton steps.  Both use the ``train_limit`` labelled
+training rows that come first by hash; the training rows are those whose
+crc32(id as text) mod 4 is not 2.
 
 Defined results: null and wordless texts get the score of no evidence; rows
 that repeat a doc_id are scored each on their own text; without labelled rows
 all scores equal the prior; an empty table gives an empty result.
 
-Scale: three scans, no shuffle of text; the 4-gram table, the features and
-the labelled sample are bounded and broadcast.
+Scale: three scans, no shuffle of text, time linear in a text's length however
+few blanks it has; the 4-gram table, the features and the labelled sample are
+bounded and broadcast.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ship
+from tallyloom.llm.common import named, ship, small_batches, written
 from tallyloom.llm.quality_rules import _texts
 
 TRAIN_LIMIT = 20_000
@@ -70,14 +72,75 @@ _TABLE = bytes(27 if b >= 128 else (b | 32) - 96 if chr(b).isalpha() else 0 for
 
 _leet = re.escape("".join(LEET))
 _gap = re.escape(_SEPARATORS)
-#: What looks disguised in lower-case text; blanks only set single characters apart.
-DISGUISED = re.compile(
-    rf"(?<![^{_gap}\n\t\r])[a-z{_leet}](?:[{_gap}]{{1,3}}[a-z{_leet}]){{2,}}(?=[{_gap}\n\t\r]|\Z)"  # s p a c e d, s.p.a.c.e.d
-    rf"|[^\s.,;:]*[^\W\d_][{_leet}]+[^\W\d_][^\s,;:]*"  # w1thin
-    rf"|(?<!\S)[{_leet}]+[^\W\d_]{{2,}}[^\s,;:]*"  # 1nitial
-    r"|[^\W\d_]{2,}[0-9@$]+(?=[\s.,;:]|$)"  # fina1
-    r"|[^\s]*?([a-z])\1\1+[^\s,;:]*"  # repeeeated
-)
+# What looks disguised in lower-case text.  A stretch begins as far left as its kind allows; kinds come in this order.
+#: s p a c e d, s.p.a.c.e.d: blanks only set single characters apart.
+_SPACED = re.compile(rf"(?<![^{_gap}\n\t\r])[a-z{_leet}](?:[{_gap}]{{1,3}}[a-z{_leet}]){{2,}}(?=[{_gap}\n\t\r]|\Z)")
+#: w1thin: each letter with signs and another letter after it; the stretch is from the segment's start to the next blank or comma.
+_WITHIN = re.compile(rf"[^\W\d_](?=[{_leet}]+[^\W\d_])")
+#: 1nitial, to the next blank or comma.
+_INITIAL = re.compile(rf"(?<!\S)[{_leet}]+[^\W\d_]{{2,}}[^\s,;:]*")
+#: fina1: the signs after two letters or more at the end of a word.
+_FINAL = re.compile(r"(?<=[^\W\d_]{2})[0-9@$]+(?=[\s.,;:]|$)")
+#: repeeeated: three of a letter; the stretch is from the blank before to the next blank or comma.
+_REPEATED = re.compile(r"([a-z])\1\1+")
+_SEGMENT, _PIECE, _TOKEN = re.compile(r"[^\s.,;:]+"), re.compile(r"[^\s,;:]+"), re.compile(r"\S+")
+_LETTERS_BEFORE = re.compile(r"[^\W\d_]+")
+
+
+def _around(marks: list[int], runs: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """(start, end) of the run that holds each mark; both in order, each run looked at once."""
+    out, at = [], 0
+    for run in runs.finditer(text):
+        while at < len(marks) and marks[at] < run.end():
+            out.append(run.span())
+            at += 1
+        if at == len(marks):
+            break
+    return out
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each disguised stretch of lower-case text, in time linear in its length.
+
+    Each kind but the first is a list of (least start, largest start, end): a
+    stretch may start anywhere between, wherever the one before ended.
+    """
+    kinds: list[list[tuple[int, int, int]]] = [[] for _ in range(4)]
+    cores = [m.start() for m in _WITHIN.finditer(text)]
+    if cores:
+        last: dict[tuple[int, int], int] = {}
+        pieces = _around(cores, _PIECE, text)
+        for core, (start, _), (_, end) in zip(cores, _around(cores, _SEGMENT, text), pieces):
+            last[start, end] = core
+        kinds[0] = [(start, core, end) for (start, end), core in last.items()]
+    kinds[1] = [(m.start(), m.start(), m.end()) for m in _INITIAL.finditer(text)]
+    finals = [(m.start(), m.end()) for m in _FINAL.finditer(text)]
+    if finals:
+        letters = _around([a - 1 for a, _ in finals], _LETTERS_BEFORE, text)
+        kinds[2] = [(start, a - 2, end) for (start, _), (a, end) in zip(letters, finals)]
+    repeats = [(m.start(), m.end() - 3) for m in _REPEATED.finditer(text)]
+    if repeats:
+        marks = [a for a, _ in repeats]
+        before = -1
+        for (_, most), (start, _), (_, end) in zip(repeats, _around(marks, _TOKEN, text), _around(marks, _PIECE, text)):
+            kinds[3].append((max(start, before + 1), most, end))
+            before = most
+    at = [0] * 4
+    pos, spaced = 0, _SPACED.search(text)
+    while True:
+        if spaced and spaced.start() < pos:
+            spaced = _SPACED.search(text, pos)
+        found = [(spaced.start(), 0, spaced.end())] if spaced else []
+        for k, own in enumerate(kinds):
+            while at[k] < len(own) and own[at[k]][1] < pos:
+                at[k] += 1
+            if at[k] < len(own):
+                found.append((max(pos, own[at[k]][0]), k + 1, own[at[k]][2]))
+        if not found:
+            return
+        start, _, end = min(found)
+        yield start, end
+        pos = end
 
 
 def _byte_class(chars: str) -> np.ndarray:
@@ -93,7 +156,7 @@ _LOWERED = np.array([b | 32 if 65 <= b <= 90 else b for b in range(256)], dtype=
 
 
 def suspicions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Running count, by byte, of signs that DISGUISED may match: found over all texts at once, so that plain lines skip the pattern."""
+    """Running count, by byte, of signs of a disguised stretch: found over all texts at once, so that plain lines skip the patterns."""
     size = len(data)
     sign = np.zeros(size + 1, dtype=np.int64)
     if size >= 3:
@@ -114,6 +177,21 @@ def suspicions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.cumsum(sign)
 
 
+def grams_of(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The 4-gram that ends at each symbol and at each end of several texts, none across texts; runs of boundaries count once, so that spacing does not drown the words."""
+    before = np.concatenate(([0], symbols[:-1])) if len(symbols) else symbols
+    before[offsets[:-1][offsets[:-1] < len(symbols)]] = 0
+    keep = (symbols != 0) | (before != 0)
+    starts = np.unique(np.concatenate(([0], np.cumsum(keep)))[offsets[:-1]])
+    symbols = symbols[keep]
+    starts = starts[starts < len(symbols)]
+    # Before each text, the end of the one before and three boundaries.
+    s = np.concatenate((np.insert(symbols, np.repeat(starts, 4), 0)[1:], [0])).astype(np.int32)
+    ends = np.ones(len(s), dtype=bool)
+    ends[((starts + 4 * np.arange(len(starts)))[:, None] + np.arange(3)).reshape(-1)] = False
+    return (((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:])[ends[3:]]
+
+
 def model_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of character 4-grams over all documents, SYMBOLS ** 4 numbers."""
     ship(docs.sparkSession)
@@ -124,11 +202,7 @@ def model_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         sums = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for _, data, offsets in _texts(batch.column("text")):
-                s = table[data].astype(np.int32)
-                # Runs of boundaries count once, so that spacing does not drown the words.
-                s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))] if len(s) else s
-                s = np.concatenate(([0, 0, 0], s, [0])).astype(np.int32)
-                grams = ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
+                grams = grams_of(table[data].astype(np.int32), offsets)
                 sums += np.bincount(grams, minlength=size)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["gram", "n"])
@@ -190,7 +264,7 @@ def restore(stretch: str, model: np.ndarray) -> str:
                 if to not in new or total > new[to][0]:
                     new[to] = (total, way)
         best, before = new, ch
-    _, path = max((cost + float(model[state * SYMBOLS]), way) for state, (cost, way) in best.items())
+    _, path = max(((cost + float(model[state * SYMBOLS]), way) for state, (cost, way) in best.items()), key=lambda x: x[0])
     letters = []
     while path:
         path, letter = path
@@ -199,14 +273,15 @@ def restore(stretch: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    """Restores whole texts; readings are remembered up to a bound."""
+    """Restores whole texts; readings of stretches of up to ``longest`` characters are remembered up to a bound."""
 
-    def __init__(self, model: np.ndarray, limit: int = 200_000):
-        self.model, self.limit = model, limit
+    def __init__(self, model: np.ndarray, limit: int = 200_000, longest: int = 100):
+        self.model, self.limit, self.longest = model, limit, longest
         self.known: dict[str, str] = {}
 
-    def _one(self, m: re.Match) -> str:
-        stretch = m[0]
+    def _one(self, stretch: str) -> str:
+        if len(stretch) > self.longest:
+            return restore(stretch, self.model)
         found = self.known.get(stretch)
         if found is None:
             found = restore(stretch, self.model)
@@ -216,7 +291,11 @@ class Restorer:
         return found
 
     def __call__(self, text: str) -> str:
-        return DISGUISED.sub(self._one, text.lower())
+        low, at, out = text.lower(), 0, []
+        for start, end in stretches(low):
+            out += [low[at:start], self._one(low[start:end])]
+            at = end
+        return "".join([*out, low[at:]])
 
     def column(self, texts: pa.Array) -> Iterator[str]:
         """Every text of a column restored, nulls empty."""
@@ -230,7 +309,7 @@ class Restorer:
                 if not found[i]:
                     yield text.lower()
                     continue
-                # No match crosses a line, so only lines with a sign are searched.
+                # No stretch crosses a line, so only lines with a sign are searched.
                 ends = np.concatenate((breaks[lines[i] : lines[i + 1]], [offsets[i + 1]]))
                 starts = np.concatenate(([offsets[i]], ends[:-1]))
                 marked = (upto[ends] > upto[starts]).tolist()
@@ -256,29 +335,32 @@ def labelled_rows(labels: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "do
     return {r[0]: r[1] for r in own.orderBy(F.xxhash64("id"), "id").limit(limit).collect()}
 
 
-def fit(docs: DataFrame, labelled: dict, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
-    """({feature: weight}, intercept) from the labelled documents."""
+def fit(
+    docs: DataFrame, labelled: dict, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", max_features: int = MAX_FEATURES, min_evidence: float = MIN_EVIDENCE
+) -> tuple[dict[str, float], float]:
+    """({feature: weight}, intercept) from the labelled documents; their restored words are written once."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((labelled, model))
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[str]]]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, table = known.value
         restorer = Restorer(table)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column("id").to_pylist()
             mine = [i for i, doc_id in enumerate(ids) if doc_id in rows]
-            for i, clear in zip(mine, restorer.column(batch.column("text").take(pa.array(mine, pa.int64())))):
-                yield rows[ids[i]], set(_WORD.findall(clear))
+            words = [sorted(set(_WORD.findall(clear))) for clear in restorer.column(batch.column("text").take(pa.array(mine, pa.int64())))]
+            yield pa.RecordBatch.from_arrays([pa.array([rows[ids[i]] for i in mine], pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["y", "words"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
         toxic: Counter[str] = Counter()
-        for y, words in chosen(batches):
-            own = {f for w in words for f in features(w)}
-            n.update(own)
-            if y:
-                toxic.update(own)
+        for batch in small_batches(batches):
+            for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist()):
+                own = {f for w in words for f in features(w)}
+                n.update(own)
+                if y:
+                    toxic.update(own)
         names = list(n)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())], names=["f", "n", "t"])
 
@@ -293,23 +375,21 @@ def fit(docs: DataFrame, labelled: dict, model: np.ndarray, id_col: str = "doc_i
 
     n, t = F.col("n"), F.col("t")
     evidence = 2 * (part(t, n * base) + part(n - t, n * (1 - base)))
-    counts = ids.mapInArrow(count, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    strong = counts.filter((F.col("n") >= 3) & (t > n * base)).withColumn("g", evidence).filter(F.col("g") >= MIN_EVIDENCE)
-    names = [r[0] for r in strong.orderBy(F.desc("g"), "f").limit(MAX_FEATURES).collect()]
+    sample = written(ids.mapInArrow(chosen, "y int, words array<string>"), "labelled")
+    counts = sample.mapInArrow(count, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    strong = counts.filter((F.col("n") >= 3) & (t > n * base)).withColumn("g", evidence).filter(F.col("g") >= min_evidence)
+    names = [r[0] for r in strong.orderBy(F.desc("g"), "f").limit(max_features).collect()]
     if not names:
         return {}, float(np.log(base / (1 - base)))
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = number.value
-        ys, xs = [], []
-        for y, words in chosen(batches):
-            ys.append(y)
-            xs.append(sorted({at[f] for w in words for f in features(w) if f in at}))
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.int32()))], names=["y", "x"])
+        for batch in small_batches(batches):
+            xs = [sorted({at[f] for w in words for f in features(w) if f in at}) for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(xs, pa.list_(pa.int32()))], names=["y", "x"])
 
-    sample = ids.mapInArrow(rows, "y int, x array<int>").groupBy("y", "x").count().collect()  # train_limit rows at most
-    return _monotone(sample, names)
+    return _monotone(sample.mapInArrow(rows, "y int, x array<int>").groupBy("y", "x").count().collect(), names)  # train_limit rows at most
 
 
 def _monotone(sample: list, names: list[str]) -> tuple[dict[str, float], float]:
@@ -376,13 +456,14 @@ def score(
     threshold: float = THRESHOLD,
     train_limit: int = TRAIN_LIMIT,
     with_text: bool = False,
+    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted[, restored_text]) for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
     model = log_model(model_counts(docs, text_col))
     labelled = labelled_rows(labels, train_limit, "doc_id", label_col)
-    weights, intercept = fit(docs, labelled, model, id_col, text_col)
+    weights, intercept = fit(docs, labelled, model, id_col, text_col, max_features)
     known = spark.sparkContext.broadcast((model, weights, intercept))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(own.dtypes)['doc_id']}, held_out boolean, score double, predicted int" + (", restored_text string" if with_text else "")
@@ -391,7 +472,7 @@ def score(
         model, weights, intercept = known.value
         restorer = Restorer(model)
         worth: dict[str, float] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             z, restored = [], []
             for clear in restorer.column(batch.column("text")):
                 total = intercept

@@ -1,7 +1,12 @@
 import itertools
+import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tallyloom.llm import language_id as I
 from tallyloom.llm import toxicity as T
@@ -125,6 +130,108 @@ def test_lines_without_signs_are_left_as_they_are():
     assert list(restorer.column(pa.array(odd, pa.string()))) == [restorer(t or "") for t in odd]
 
 
+#: The same stretches as one pattern, whose search is quadratic in an unbroken run.
+_L, _G = T._leet, T._gap
+WHOLE = re.compile(
+    rf"(?<![^{_G}\n\t\r])[a-z{_L}](?:[{_G}]{{1,3}}[a-z{_L}]){{2,}}(?=[{_G}\n\t\r]|\Z)"
+    rf"|[^\s.,;:]*[^\W\d_][{_L}]+[^\W\d_][^\s,;:]*"
+    rf"|(?<!\S)[{_L}]+[^\W\d_]{{2,}}[^\s,;:]*"
+    r"|[^\W\d_]{2,}[0-9@$]+(?=[\s.,;:]|$)"
+    r"|[^\s]*?([a-z])\1\1+[^\s,;:]*"
+)
+
+
+def test_stretches_equal_the_pattern():
+    rng = random.Random(3)
+    alphabets = ["ab1 .", "aab1@, .-", "aaab \n", "abé1$!;:._*~ \t\n", "a1(|+x ", "aabbb11.,: "]
+    for i in range(30_000):
+        text = "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.randint(0, 24)))
+        assert list(T.stretches(text)) == [m.span() for m in WHOLE.finditer(text)], repr(text)
+
+
+def test_grams_do_not_cross_texts():
+    texts, want = ["ab  c", "", "  ", "Ü!", "a", " b. "], Counter()
+    for text in texts:
+        own = T._TABLE[0:0] + bytes(T._TABLE[b] for b in text.encode())
+        kept = [b for i, b in enumerate(own) if b or i and own[i - 1]]
+        if kept:
+            s = [0, 0, 0, *kept, 0]
+            want.update(((s[i] * 28 + s[i + 1]) * 28 + s[i + 2]) * 28 + s[i + 3] for i in range(len(s) - 3))
+    raw = "".join(texts).encode()
+    symbols = np.frombuffer(T._TABLE, dtype=np.uint8)[np.frombuffer(raw, dtype=np.uint8)].astype(np.int32)
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    assert Counter(T.grams_of(symbols, offsets).tolist()) == want
+    assert not len(T.grams_of(np.zeros(0, dtype=np.int32), np.zeros(3, dtype=np.int64)))
+
+
+def test_restoring_finds_the_cheapest_reading():
+    """Every reading of short stretches, with its cost by the channel and the character model."""
+    table, rng = model(), random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice("idot10$.o ") for _ in range(rng.randint(1, 6)))
+        runs = [len(list(g)) for _, own in itertools.groupby(text) for g in [list(own)] for _ in g]
+        best = {}
+        for way in itertools.product(*[T._choices(c, text[i - 1] if i else "", runs[i]) for i, c in enumerate(text)]):
+            cost, state = 0.0, 0
+            for symbol, _, channel in way:
+                cost += channel
+                if symbol >= 0:
+                    cost += float(table[state * T.SYMBOLS + symbol])
+                    state = (state * T.SYMBOLS + symbol) % T.SYMBOLS**3
+            reading = "".join(letter for _, letter, _ in way)
+            best[reading] = max(best.get(reading, -1e9), cost + float(table[state * T.SYMBOLS]))
+        assert best[T.restore(text, table)] == pytest.approx(max(best.values()), abs=1e-6)
+
+
+def test_long_unbroken_text_takes_linear_time():
+    rng = random.Random(1)
+    restorer = T.Restorer(model())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters + "0123456789+/") for _ in range(1_000_000)), "ab" * 500_000, ("ab" * 40 + "/") * 12_000, "a1" * 200_000]
+    for text in texts:
+        began = time.process_time()
+        assert restorer(text)
+        assert time.process_time() - began < 60
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """Every score from the restored words, weight by weight, and features by a count in plain Python."""
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "loser"), (7, "l o s e r"), (7, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (9000, None), (3, 0)], "doc_id long, toxic int")
+    table = T.log_model(T.model_counts(docs))
+    counts = T.model_counts(docs)
+    assert counts.sum() > 0 and np.array_equal(counts, T.model_counts(docs.repartition(7)))
+    labelled = T.labelled_rows(labels)
+    assert labelled == {i: y for i, _, y in rows if T.in_training(i)}
+    weights, intercept = T.fit(docs, labelled, table)
+    restorer = T.Restorer(table)
+    total, positive, n, t = len(labelled), sum(labelled.values()), Counter(), Counter()
+    for i, text, y in rows:
+        if i in labelled:
+            own = {f for w in set(T._WORD.findall(restorer(text))) for f in T.features(w)}
+            n.update(own)
+            t.update(own if y else [])
+    own = [7] if 7 in labelled else []  # the rows that repeat a labelled id count like any other
+    for i, text in ((7, "l o s e r"), (7, "")):
+        if own:
+            found = {f for w in set(T._WORD.findall(restorer(text))) for f in T.features(w)}
+            n.update(found)
+            t.update(found if labelled[7] else [])
+    base = positive / total
+
+    def evidence(f):
+        part = lambda k, e: k * np.log(k / e) if k else 0.0
+        return 2 * (part(t[f], n[f] * base) + part(n[f] - t[f], n[f] * (1 - base)))
+
+    assert set(weights) <= {f for f in n if n[f] >= 3 and t[f] > n[f] * base and evidence(f) >= T.MIN_EVIDENCE}
+    for r in T.score(docs, labels, with_text=True).collect():
+        words = set(T._WORD.findall(r.restored_text))
+        z = intercept + sum(weights.get(f, 0.0) for w in words for f in T.features(w))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+        assert r.predicted == (r.score >= 0.3)
+
+
 def toxic_rows():
     mild, foul = "the river runs along the town and people walk there ", ["idiot", "moron", "loser"]
     texts = [(i, mild * 3 + (foul[i % 3] + " and " if i % 4 == 0 else "") + f"w{i}", int(i % 4 == 0)) for i in range(400)]
