@@ -269,7 +269,8 @@ def _contexts(docs: DataFrame, edges: DataFrame, length: int, seed: int) -> Data
     kind = docs.schema["doc_id"].dataType
     listed = edges.groupBy("doc_id", "copy").agg(F.collect_list(F.struct(F.col("at").alias("p"), "g", "kind")).alias("edges"))
     same = docs["doc_id"].eqNullSafe(listed["doc_id"]) & docs["copy"].eqNullSafe(listed["copy"])
-    joined = docs.join(listed, same).select(docs["doc_id"], docs["copy"], "text", "edges")
+    # All columns, so that this and the last join read one shuffle of the texts.
+    joined = docs.join(listed, same).select(*[docs[c] for c in docs.columns], "edges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -460,10 +461,9 @@ def dedup(
     ship(docs.sparkSession)
     text = named(text_col)
     own = docs.select(named(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("copy"), *carried(docs, keep))
-    narrow = own.select("doc_id", "copy", "text")
-    anchors = _anchors(narrow, length, seed, hot_buckets(narrow, length, seed, hot_rows))
+    anchors = _anchors(own, length, seed, hot_buckets(own, length, seed, hot_rows))
     judged = written(_judged(anchors, hot_contexts), "judged")
-    found = _repeats(_contexts(narrow, judged.filter(F.col("kind") != REPEATED), length, seed), length)
+    found = _repeats(_contexts(own, judged.filter(F.col("kind") != REPEATED), length, seed), length)
     around = judged.filter(F.col("kind") == REPEATED).select("doc_id", "copy", (F.col("at") + (seed - length)).alias("first"), (F.col("at") + length).alias("last"))
     spans = around.union(found).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     same = own["doc_id"].eqNullSafe(spans["doc_id"]) & own["copy"].eqNullSafe(spans["copy"])
