@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ship
+from tallyloom.llm.common import ship, small_batches
 
 TRAIN_LIMIT = 600
 BUCKETS = 1 << 16
@@ -48,7 +48,7 @@ PIECE = 16
 ROUNDS = 30
 #: Characters of all training texts together, to bound the driver's memory.
 TRAIN_CHARS = 4_000_000
-#: Rows labelled at once.
+#: Rows labelled at once, fewer of long texts.
 ROWS = 2_500
 UNKNOWN = "und"
 
@@ -308,18 +308,16 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value)
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
-                ids = batch.column("doc_id")
-                found = labeller(batch.column("text").to_pylist(), with_words)
-                held = [zlib.crc32(("" if x is None else str(x)).encode()) % 4 == 2 for x in ids.to_pylist()]
-                columns = [ids, pa.array(held), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                names = ["doc_id", "held_out", "lang_pred", "score"]
-                if with_words:
-                    columns.append(pa.array([f[2] for f in found], pa.list_(pa.string())))
-                    names.append("word_langs")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in small_batches(batches, ROWS):
+            ids = batch.column("doc_id")
+            found = labeller(batch.column("text").to_pylist(), with_words)
+            held = [zlib.crc32(("" if x is None else str(x)).encode()) % 4 == 2 for x in ids.to_pylist()]
+            columns = [ids, pa.array(held), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            names = ["doc_id", "held_out", "lang_pred", "score"]
+            if with_words:
+                columns.append(pa.array([f[2] for f in found], pa.list_(pa.string())))
+                names.append("word_langs")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return own.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import id_and_text, ship, written
+from tallyloom.llm.common import id_and_text, ship, small_batches, written
 from tallyloom.llm.tokens import encoder as open_encoder
 
 CAPACITY = 2048
@@ -55,27 +55,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = open_encoder(tokenizer)
         width = capacity * 4
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                owner, piece, start, length, crc, kept = [], [], [], [], [], []
-                for row, ids in enumerate(encoder.encode_batch(batch.column("text").to_pylist())):
-                    ids += end
-                    for no, i in enumerate(range(0, len(ids), width)):
-                        part = ids[i : i + width]
-                        owner.append(row)
-                        piece.append(no)
-                        start.append(i // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            kept.append(part)
-                columns = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(kept, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in small_batches(batches, 500):
+            owner, piece, start, length, crc, kept = [], [], [], [], [], []
+            for row, ids in enumerate(encoder.encode_batch(batch.column("text").to_pylist())):
+                ids += end
+                for no, i in enumerate(range(0, len(ids), width)):
+                    part = ids[i : i + width]
+                    owner.append(row)
+                    piece.append(no)
+                    start.append(i // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        kept.append(part)
+            columns = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(kept, pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return own.mapInArrow(run, schema)
 

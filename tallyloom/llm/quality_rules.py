@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import named, schema_of, ship
+from tallyloom.llm.common import named, schema_of, ship, small_batches
 
 N = 3
 BUCKETS = 1 << 16
@@ -172,7 +172,7 @@ def judge(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratios.value
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in small_batches(batches, ROWS):
             column = batch.column("text")
             sums = np.zeros(len(column), dtype=np.int64)
             grams = np.zeros(len(column), dtype=np.int64)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -27,6 +28,30 @@ def test_sizes_near_equal_with_a_hot_text(spark):
     assert len(sizes) == 10 and max(sizes) < 1.02 * sum(sizes) / 10
 
 
+@pytest.mark.parametrize("shards, ranges", [(7, None), (7, 3), (40, 200)])
+def test_groups_and_levels_equal_a_plain_count(spark, shards, ranges):
+    """Copies lie in as few neighbouring shards as their bytes need, and no shard differs from the mean by more than the largest light record."""
+    rng = random.Random(shards)
+    texts = ["one text with very many copies " * 3] * 900 + [f"text {i} " * rng.randint(1, 30) for i in range(900) for _ in range(rng.choice([1, 1, 1, 5]))] + ["big " * 700, None, None, ""]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = S.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards, ranges=ranges).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(b) + 16, zlib.crc32(b)) for i, b in raw.items()} and len(got) == len(rows)
+    filled, group, slots = [0] * shards, {}, {}
+    for r in got:
+        filled[r.shard] += r.size
+        group.setdefault(raw[r.doc_id], []).append(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+    share = sum(filled) / shards
+    light = max(r.size for r in got if r.size < sum(filled) // (shards * S.HEAVY))
+    assert max(abs(x - share) for x in filled) <= light + 1
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    for text, places in group.items():
+        if len(text) + 16 < sum(filled) // (shards * S.HEAVY):
+            assert len(set(places)) <= (len(text) + 16) * len(places) // share + 2
+
+
 def test_same_rows_same_shards(docs):
     one = {(r.doc_id, r.shard, r.slot) for r in S.shard(docs, 6).collect()}
     assert one == {(r.doc_id, r.shard, r.slot) for r in S.shard(docs.repartition(5), 6).collect()}
