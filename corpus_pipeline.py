@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, packing, quality_rules, simhash, suffix_dedup
-from tallyloom.llm.common import free_prefix, named, scratch_path, table
+from tallyloom.llm.common import delete, free_prefix, named, scratch_path, scratch_scope, table
 
 
 def _others(docs: DataFrame, *without: str) -> tuple[str, ...]:
@@ -88,9 +88,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; what a stage has written goes once the next one's rows are stored."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
