@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dictionaries import COMPANY_MARKS, DROPPED_TAGS, EXPERIENCE_LEVELS, RELEVANCE_TERMS, SECTION_HEADERS
-from tallyloom.functions.text import any_of, char_prefix, collapse, count_of, strip
+from tallyloom.functions.text import any_of, bound, char_prefix, collapse, count_of, strip
 
 EMAIL = "[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+"
 PHONE = "\\+?[0-9][0-9 \\t\\n\\r\\f\\x0B\\-().]{7,}[0-9]"
@@ -61,21 +61,27 @@ def section_of(line: Column) -> Column:
 def sections(x: Column) -> Column:
     """map(section, text): header lines drop out, other non-blank lines go to the section above, at first ``other``.
 
-    One pass over the lines with the section carried along, within the row.
+    Headers are found once, and each section is a slice of the lines from one
+    header to the next, so the work is linear in the number of lines.
     """
     names = [*SECTION_HEADERS, "other"]
-    start = F.struct(F.lit("other").alias("now"), *[F.lit("").alias(n) for n in names])
     lines = F.transform(F.split(x, "\n"), lambda s: F.struct(section_of(s).alias("head"), (strip(s) != "").alias("full"), F.concat(s, F.lit("\n")).alias("line")))
 
-    def add(state: Column, line: Column) -> Column:
-        keeps = line["head"].isNull() & line["full"]
-        return F.struct(
-            F.coalesce(line["head"], state["now"]).alias("now"),
-            *[F.when(keeps & (state["now"] == n), F.concat(state[n], line["line"])).otherwise(state[n]).alias(n) for n in names],
-        )
+    def headers(all_lines: Column) -> Column:
+        found = F.filter(F.transform(all_lines, lambda e, i: F.struct(i.alias("at"), e["head"].alias("head"))), lambda h: h["head"].isNotNull())
+        return F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit("other").alias("head"))), found)
 
-    done = F.aggregate(lines, start, add)
-    return F.map_from_arrays(F.array(*map(F.lit, names)), F.transform(F.array(done), lambda d: F.array(*[d[n] for n in names]))[0])
+    def body(all_lines: Column, heads: Column, h: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(heads, k + 1)["at"], F.size(all_lines))
+        own = F.filter(F.slice(all_lines, h["at"] + 2, end - h["at"] - 1), lambda e: e["full"])
+        return F.struct(h["head"].alias("head"), F.array_join(F.transform(own, lambda e: e["line"]), "").alias("text"))
+
+    def together(parts: Column) -> Column:
+        each = [F.array_join(F.transform(F.filter(parts, lambda p: p["head"] == n), lambda p: p["text"]), "") for n in names]
+        return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*each))
+
+    parts = bound(lines, lambda all_lines: bound(headers(all_lines), lambda heads: F.transform(heads, lambda h, k: body(all_lines, heads, h, k))))
+    return F.when(x.isNotNull(), bound(parts, together))
 
 
 def primary_focus(x: Column) -> Column:

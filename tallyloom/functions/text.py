@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 BLANKS = " \\t\\n\\r\\f\\x0B"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row, also where lambdas within ``use`` refer to it: a lambda over an array of one names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tok(x: Column) -> Column:
     """Words between blanks; none for an empty or blank text."""
     return F.array_remove(F.split(x, f"[{BLANKS}]+"), "")
@@ -79,9 +85,12 @@ def count_of(x: Column, terms: list[str]) -> Column:
 
 def word_chunks(x: Column, size: int = 300) -> Column:
     """Non-overlapping chunks of ``size`` words, the last may be shorter; none for a blank text."""
-    words = tok(x)
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    return bound(tok(x), cut)
 
 
 def char_prefix(x: Column, n: int) -> Column:

@@ -11,6 +11,8 @@ from tallyloom.functions.vectors import as_double, cosine, l2_squared, relevance
 
 #: Rows of a broadcast side, checked before the hint is given.
 BROADCAST_ROWS = 50_000
+#: Domains whose centres ride along with each vector.
+DOMAINS = 10_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -101,15 +103,19 @@ def domain_ensemble(vectors: DataFrame, domains: DataFrame, alpha: float = D.EMB
     """(vec_id, domain, confidence): the best blend of cosine and a softmax over distances; the smaller label wins ties.
 
     The softmax stands in for a fine-tuned classifier's probabilities, whose
-    weights do not exist here.
+    weights do not exist here.  The centres, ``DOMAINS`` at most, ride along
+    as one array, so a vector is judged within its row.
     """
-    v = vectors.select("vec_id", as_double(F.col("embedding")).alias("v"))
-    pairs = v.join(small(domains.select(F.col("label").alias("domain"), F.col("centre").alias("c"))))
-    rows = pairs.select("vec_id", "domain", cosine(F.col("v"), F.col("c")).alias("a"), F.exp(-l2_squared(F.col("v"), F.col("c"))).alias("e"))
-    # All domains of a vector come from one task, so these groups are small.
-    total = F.sum("e").over(Window.partitionBy("vec_id"))
-    blend = F.round(alpha * F.round("a", 6) + beta * F.round(F.when(total > 0, F.col("e") / total).otherwise(0.0), 6), 4)
-    best = rows.withColumn("confidence", blend).groupBy("vec_id").agg(F.max(F.struct(F.col("confidence"), (-F.col("domain")).alias("d"))).alias("best"))
+    if domains.limit(DOMAINS + 1).count() > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
+    one = domains.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("domains"))
+    v = F.col("v")
+    each = F.transform("domains", lambda d: F.struct(d["label"].alias("label"), F.round(cosine(v, d["centre"]), 6).alias("a"), F.exp(-l2_squared(v, d["centre"])).alias("e")))
+    rows = vectors.select("vec_id", as_double(F.col("embedding")).alias("v")).join(F.broadcast(one)).select("vec_id", each.alias("each"))
+    rows = rows.withColumn("total", F.aggregate("each", F.lit(0.0), lambda s, d: s + d["e"]))
+    share = lambda d: F.round(F.when(F.col("total") > 0, d["e"] / F.col("total")).otherwise(0.0), 6)
+    blends = F.transform("each", lambda d: F.struct(F.round(alpha * d["a"] + beta * share(d), 4).alias("confidence"), (-d["label"]).alias("d")))
+    best = rows.select("vec_id", F.array_max(blends).alias("best"))
     return best.select("vec_id", (-F.col("best.d")).alias("domain"), F.col("best.confidence").alias("confidence"))
 
 

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from tallyloom.functions.dictionaries import PHRASE_STOP_WORDS
 from tallyloom.functions.text import char_prefix, fold_marks, tok
 
+#: See key_phrases.
+HOT = 1000
+
 
 def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 15, chars: int = 2000) -> DataFrame:
     """(id, phrase, n, weight, place): the ``most`` one- and two-word phrases of the first ``chars`` characters by count times ln(documents / documents with it).
 
     Counts within a document are made before anything is shuffled by phrase.
+    A phrase in more than a ``HOT``th of all documents does not meet its
+    documents by a shuffle: there are at most HOT * chars of those, and they
+    are broadcast.
     """
     stop = F.array(*map(F.lit, PHRASE_STOP_WORDS))
     words = F.filter(tok(fold_marks(char_prefix(F.col(text_col), chars))), lambda w: ~F.array_contains(stop, w))
@@ -23,7 +29,11 @@ def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = rows.select("id", F.explode(both).alias("phrase")).groupBy("id", "phrase").agg(F.count("*").alias("n"))
     seen = counts.groupBy("phrase").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
-    weighed = counts.join(seen, "phrase").join(F.broadcast(total)).withColumn("weight", F.round(F.col("n") * F.log(F.col("docs") / F.col("df")), 6))
+    hot = seen.join(F.broadcast(total)).filter(F.col("df") * HOT > F.col("docs")).select("phrase", F.col("df").alias("hot"))
+    marked = counts.join(F.broadcast(hot), "phrase", "left")
+    cold = marked.filter("hot IS NULL").join(seen, "phrase").select("id", "phrase", "n", "df")
+    known = cold.union(marked.filter("hot IS NOT NULL").select("id", "phrase", "n", F.col("hot").alias("df")))
+    weighed = known.join(F.broadcast(total)).withColumn("weight", F.round(F.col("n") * F.log(F.col("docs") / F.col("df")), 6))
     order = Window.partitionBy("id").orderBy(F.desc("weight"), "phrase")
     ranked = weighed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     return ranked.select("id", "phrase", "n", "weight", "place")

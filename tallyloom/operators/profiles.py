@@ -44,20 +44,28 @@ def rollup(attempts: DataFrame) -> DataFrame:
     )
 
 
-def _exact_sum(window) -> Column:
-    """A running sum in decimals, so that it does not depend on how rows are grouped."""
-    return F.sum(F.col("score").cast("decimal(18,6)")).over(window).cast("double")
+def _counted(attempts: DataFrame) -> DataFrame:
+    """attempts with day, n (attempts so far) and acc (accuracy so far).
+
+    Totals are carried from day to day and rows are ordered within a day only,
+    so no task sorts a learner's whole history.  Sums are of decimals, which
+    do not depend on how rows are grouped.
+    """
+    score = F.col("score").cast("decimal(18,6)")
+    rows = attempts.withColumn("day", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")))
+    days = rows.groupBy("user_id", "day").agg(F.count("*").alias("_n"), F.sum(score).alias("_sum"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col("user_id").alias("_user"), F.col("day").alias("_day"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_sum")])
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("day") == F.col("_day"))
+    today = Window.partitionBy("user_id", "day").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(carried, same).withColumn("n", F.col("_n") + F.count("*").over(today))
+    total = (F.col("_sum") + F.coalesce(F.sum(score).over(today), F.lit(0))).cast("double")
+    return joined.withColumn("acc", F.round(total / F.col("n"), 6)).drop("_user", "_day", "_n", "_sum")
 
 
 def running_level(attempts: DataFrame) -> DataFrame:
     """Attempts so far, accuracy so far and the level, after each attempt."""
-    so_far = Window.partitionBy("user_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return attempts.select(
-        "user_id",
-        "seq",
-        F.count("*").over(so_far).alias("attempted"),
-        F.round(_exact_sum(so_far) / F.count("*").over(so_far), 6).alias("accuracy"),
-    ).withColumn("level", level(F.col("attempted"), F.col("accuracy")))
+    return _counted(attempts).select("user_id", "seq", F.col("n").alias("attempted"), F.col("acc").alias("accuracy")).withColumn("level", level(F.col("attempted"), F.col("accuracy")))
 
 
 def session_stats(attempts: DataFrame) -> DataFrame:
@@ -73,13 +81,9 @@ def target_difficulty(attempts: DataFrame) -> DataFrame:
     history is folded in pieces of PIECE attempts and the pieces' maps are
     then composed; no array grows with a learner's history beyond that.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     day = Window.partitionBy("user_id", "day")
     steps = (
-        attempts.withColumn("day", F.to_date("ts"))
-        .withColumn("n", F.count("*").over(so_far))
-        .withColumn("acc", F.round(_exact_sum(so_far) / F.col("n"), 6))
+        _counted(attempts)
         .withColumn("last", F.row_number().over(Window.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("seq"))) == 1)
         .withColumn("up", F.col("last") & (F.count("*").over(day) >= 5) & (F.round(F.avg("score").over(day), 6) >= 80))
     )
