@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scoring import adaptive_difficulty
+
 BANK_LIMIT = 100_000
 
 
@@ -51,12 +53,18 @@ def next_questions(learners: DataFrame, bank: DataFrame, difficulty: str = "medi
 
 
 def adaptive_choice(learners: DataFrame, bank: DataFrame, step: int = 0) -> DataFrame:
-    """One question a learner (user_id, weak_topics, weak_intents arrays, target) by strategy, topic or intent, and difficulty."""
+    """One question a learner by strategy, topic or intent, and difficulty.
+
+    learners: (user_id, weak_topics, weak_intents arrays, target, accuracy as
+    a map by topic); the target gives way to easy in a topic that goes badly.
+    """
     rows = with_bank(learners, bank).withColumn("strategy", strategy(F.col("user_id"), step))
     turn = (F.col("user_id") + step).cast("int")
     topic = F.get("weak_topics", turn % F.size("weak_topics"))
     intent = F.when(F.size("weak_intents") > 0, F.get("weak_intents", turn % F.greatest(F.size("weak_intents"), F.lit(1))))
     rows = rows.withColumn("about", F.when(F.col("strategy") == "weak_topic", topic).when(F.col("strategy") == "weak_intent", intent))
+    own = F.when(F.col("strategy") == "weak_topic", F.element_at("accuracy", F.col("about")))
+    rows = rows.withColumn("target", adaptive_difficulty(F.col("target"), own))
     wanted = F.filter(
         "bank",
         lambda q: F.when(F.col("strategy") == "weak_topic", q["topic"] == F.col("about"))

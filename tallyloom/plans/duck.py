@@ -119,7 +119,7 @@ ANSWERS = """
 answers AS (
   SELECT conv_id, turn, coalesce(before, '') AS question, text AS answer
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE role = 'assistant'
-), refs AS (SELECT item_id % 40 AS slot, item_id, text AS reference FROM benchmark WHERE item_id < 40)"""
+), dealt AS (SELECT conv_id, turn, question, answer, item_id AS slot, text AS reference FROM answers JOIN benchmark ON item_id = conv_id % (SELECT count(*) FROM benchmark))"""
 
 BANK = """
 bank AS (

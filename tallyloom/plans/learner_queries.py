@@ -60,7 +60,7 @@ def session_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.session_stats(attempts(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
-@register(f"""WITH RECURSIVE {duck.ATTEMPTS}, day AS (SELECT user_id, ts::DATE AS day, count(*) AS c, round(avg(score), 6) AS m FROM attempts GROUP BY ALL),
+_FOLD = f"""WITH RECURSIVE {duck.ATTEMPTS}, day AS (SELECT user_id, ts::DATE AS day, count(*) AS c, round(avg(score), 6) AS m FROM attempts GROUP BY ALL),
 steps AS (
   SELECT a.user_id, row_number() OVER w AS n, round(sum(score::DECIMAL(18, 6)) OVER w::DOUBLE / row_number() OVER w, 6) AS acc,
          row_number() OVER (PARTITION BY a.user_id, a.ts::DATE ORDER BY ts DESC, seq DESC) = 1 AND c >= 5 AND m >= 80 AS up
@@ -72,15 +72,44 @@ steps AS (
     SELECT s.user_id, s.n, up, CASE WHEN s.n < 3 THEN 'easy' WHEN acc < 50 AND target <> 'easy' THEN 'easy'
            WHEN acc >= 85 AND target = 'medium' AND s.n >= 8 THEN 'hard' ELSE target END AS moved
     FROM fold f JOIN steps s ON s.user_id = f.user_id AND s.n = f.n + 1)
-)
-SELECT user_id, max(n) AS attempted, max_by(target, n) AS target FROM fold GROUP BY user_id""")
+), goal AS (SELECT user_id, max(n) AS attempted, max_by(target, n) AS target FROM fold GROUP BY user_id)"""
+
+
+@register(f"{_FOLD} SELECT user_id, attempted, target FROM goal")
 def target_difficulty_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target difficulty after the whole history."""
     return profiles.target_difficulty(attempts(spark, sf_dir))
 
 
-def _listing(name: str, keep: str) -> str:
-    return f"""{_ATT}, s AS (SELECT user_id, {name}, count(*) AS attempted, round(avg(score), 6) AS accuracy,
+@register(f"""{_FOLD}, t AS (SELECT user_id, topic, count(*) AS attempted, round(avg(score), 6) AS accuracy FROM attempts GROUP BY ALL)
+SELECT user_id, topic, accuracy, target, CASE WHEN accuracy < 40 THEN 'easy' ELSE target END AS difficulty,
+  'Focus on ' || topic || ' to improve. You''re at ' || {duck.level("attempted", "accuracy")} || ' level.' AS advice FROM t JOIN goal USING (user_id)""".replace("t JOIN goal", "t JOIN (SELECT user_id, target FROM goal) g"))
+def topic_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difficulty to ask in each topic, from the learner's target and the accuracy there, and advice on that topic alone."""
+    rows = attempts(spark, sf_dir)
+    goal = profiles.target_difficulty(rows).select("user_id", "target")
+    stats = profiles.topic_accuracy(rows).select("user_id", "topic", "attempted", "accuracy").join(goal, "user_id")
+    advice = S.recommendation(F.array("topic"), S.level(F.col("attempted"), F.col("accuracy")))
+    return stats.select("user_id", "topic", "accuracy", "target", S.adaptive_difficulty(F.col("target"), F.col("accuracy")).alias("difficulty"), advice.alias("advice"))
+
+
+_ADVICE = "attempted >= 2 AND " + duck.strength("attempted", "accuracy") + " = 'weak'"
+
+
+@register(f"""{_ATT}, s AS (SELECT user_id, topic, count(*) AS attempted, round(avg(score), 6) AS accuracy, min(struct_pack(ts := ts, seq := seq)) AS since FROM attempts GROUP BY ALL),
+w AS (SELECT user_id, coalesce(string_agg(topic, ', ' ORDER BY since) FILTER ({_ADVICE}), 'DSA, OS') AS weak FROM s GROUP BY user_id),
+o AS (SELECT user_id, count(*) AS attempted, round(avg(score), 6) AS accuracy FROM attempts GROUP BY user_id)
+SELECT user_id, 'Focus on ' || weak || ' to improve. You''re at ' || {duck.level("attempted", "accuracy")} || ' level.' AS advice FROM w JOIN o USING (user_id)""")
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: advice to each learner from weak topics and level; the default topics stand in where none is weak, so nobody is praised."""
+    rows = attempts(spark, sf_dir)
+    weak = profiles.weak_topics(rows).select("user_id", F.split("weak_topics", ",").alias("weak"))
+    own = rows.groupBy("user_id").agg(F.count("*").alias("attempted"), F.round(F.avg("score"), 6).alias("accuracy"))
+    return weak.join(own, "user_id").select("user_id", S.recommendation(F.col("weak"), S.level(F.col("attempted"), F.col("accuracy"))).alias("advice"))
+
+
+def _listing(name: str, keep: str, start: str = _ATT) -> str:
+    return f"""{start}, s AS (SELECT user_id, {name}, count(*) AS attempted, round(avg(score), 6) AS accuracy,
        round(count(*) FILTER (score >= 60) * 100 / count(*), 6) AS share, min(struct_pack(ts := ts, seq := seq)) AS since FROM attempts GROUP BY ALL),
 l AS (SELECT user_id, coalesce(string_agg({name}, ',' ORDER BY since) FILTER ({keep}), '') AS items FROM s GROUP BY user_id)"""
 
@@ -148,27 +177,30 @@ def strategy_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select("user_id", selection.bucket(F.col("user_id")).alias("bucket"), selection.strategy(F.col("user_id")).alias("strategy"))
 
 
-_CHOICE = _listing("topic", _WEAK) + f""", li AS (SELECT user_id, coalesce(string_agg(intent, ',' ORDER BY since) FILTER (attempted >= 2 AND share < 60), '') AS intents FROM (
+_CHOICE = _listing("topic", _WEAK, _FOLD) + f""", li AS (SELECT user_id, coalesce(string_agg(intent, ',' ORDER BY since) FILTER (attempted >= 2 AND share < 60), '') AS intents FROM (
   SELECT user_id, intent, count(*) AS attempted, round(count(*) FILTER (score >= 60) * 100 / count(*), 6) AS share, min(struct_pack(ts := ts, seq := seq)) AS since FROM attempts GROUP BY ALL) GROUP BY user_id),
 {duck.BANK}, u AS (
   SELECT user_id, string_split(CASE WHEN items = '' THEN 'DSA,OS' ELSE items END, ',') AS wt, list_filter(string_split(intents, ','), lambda x: x <> '') AS wi,
          CASE WHEN (user_id * 7919 + 104729) % 100 < 60 THEN 'weak_topic' WHEN (user_id * 7919 + 104729) % 100 < 90 THEN 'weak_intent' ELSE 'random' END AS strategy
   FROM l JOIN li USING (user_id)
 ), v AS (SELECT user_id, strategy, CASE strategy WHEN 'weak_topic' THEN wt[1 + user_id % len(wt)] WHEN 'weak_intent' THEN CASE WHEN len(wi) > 0 THEN wi[1 + user_id % len(wi)] END END AS about FROM u
-), w AS (SELECT v.*, question_id, difficulty = 'easy' AS fits, (question_id * 31 + user_id * 17) % 1009 AS k FROM v JOIN bank ON
+), t AS (SELECT v.*, CASE WHEN strategy = 'weak_topic' AND accuracy < 40 THEN 'easy' ELSE target END AS target FROM v JOIN goal USING (user_id) LEFT JOIN (SELECT user_id, topic AS about, accuracy FROM s) USING (user_id, about)
+), w AS (SELECT t.*, question_id, difficulty = target AS fits, (question_id * 31 + user_id * 17) % 1009 AS k FROM t JOIN bank ON
   CASE WHEN strategy = 'weak_topic' THEN topic = about WHEN strategy = 'weak_intent' AND about IS NOT NULL THEN intent = about ELSE true END
 ), x AS (SELECT *, bool_or(fits) OVER (PARTITION BY user_id) AS any_fit FROM w)
-SELECT user_id, strategy, about, 'easy' AS target, count(*)::INT AS candidates, arg_min(question_id, struct_pack(k := k, q := question_id)) AS question_id
-FROM x WHERE fits OR NOT any_fit GROUP BY user_id, strategy, about"""
+SELECT user_id, strategy, about, target, count(*)::INT AS candidates, arg_min(question_id, struct_pack(k := k, q := question_id)) AS question_id
+FROM x WHERE fits OR NOT any_fit GROUP BY user_id, strategy, about, target"""
 
 
 @register(_CHOICE)
 def adaptive_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question a learner by strategy, with the difficulty given way where none fits."""
+    """One question a learner by strategy, at the learner's target, easy in a topic that goes badly; the difficulty gives way where none fits."""
     rows = attempts(spark, sf_dir)
     topics = profiles.weak_topics(rows).select("user_id", F.split("weak_topics", ",").alias("weak_topics"))
     intents = profiles.weak_intents(rows).select("user_id", F.array_remove(F.split("weak_intents", ","), "").alias("weak_intents"))
-    learners = topics.join(intents, "user_id").withColumn("target", F.lit("easy"))
+    goal = profiles.target_difficulty(rows).select("user_id", "target")
+    accuracy = profiles.topic_accuracy(rows).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "accuracy"))).alias("accuracy"))
+    learners = topics.join(intents, "user_id").join(goal, "user_id").join(accuracy, "user_id")
     return selection.adaptive_choice(learners, bank(spark, sf_dir))
 
 

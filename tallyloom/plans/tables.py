@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.dictionaries import INTENTS
 from tallyloom.functions.scoring import clamp
+from tallyloom.operators.matching import small
 
 #: event_type: topic
 EVENT_TOPICS = {"click": "DSA", "purchase": "OS", "error": "DBMS", "signup": "CN", "view": "OOP"}
@@ -43,9 +44,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("role = 'assistant'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slot, reference): benchmark texts by place, for answers to be dealt to."""
-    return table(spark, sf_dir, "benchmark").select((F.col("item_id") % 40).alias("slot"), F.col("item_id"), F.col("text").alias("reference")).filter("item_id < 40")
+def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the benchmark item they are dealt to: (conv_id, turn, question, answer, slot, reference), items numbered from 0."""
+    items = table(spark, sf_dir, "benchmark")
+    dealt = answers(spark, sf_dir).join(F.broadcast(items.agg(F.count("*").alias("items")))).withColumn("slot", F.col("conv_id") % F.col("items")).drop("items")
+    return dealt.join(small(items.select(F.col("item_id").alias("slot"), F.col("text").alias("reference"))), "slot")
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tallyloom.functions import text as T
 from tallyloom.operators import matching, phrases
 from tallyloom.plans import duck
 from tallyloom.plans.registry import Registry
-from tallyloom.plans.tables import answers, bank, references, table
+from tallyloom.plans.tables import bank, graded_answers, table
 from tallyloom.sources import io
 
 register = Registry()
@@ -38,16 +38,16 @@ def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT doc_id, md5({duck.clean_text("text")}) AS cleaned, md5({duck.clean_lines("text")}) AS lines, md5(array_to_string({duck.tok("text")}[1:400], ' ')) AS head,
   md5({duck.fold_marks("text")}) AS folded, {duck.n_words("text")}::INT AS n_words, len(list_distinct({duck.tok("text")}))::INT AS n_distinct FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal forms, as digests, and word counts."""
+    """Normal forms, as digests, and word counts; a text is split once for the three that go by words."""
     x = F.col("text")
-    return _documents(spark, sf_dir).select(
+    return _documents(spark, sf_dir).withColumn("words", T.tok(x)).select(
         "doc_id",
         F.md5(T.clean_text(x)).alias("cleaned"),
         F.md5(T.clean_lines(x)).alias("lines"),
-        F.md5(T.first_words(x)).alias("head"),
+        F.md5(F.array_join(F.slice("words", 1, 400), " ")).alias("head"),
         F.md5(T.fold_marks(x)).alias("folded"),
-        T.n_words(x).alias("n_words"),
-        F.size(S.token_set(x)).alias("n_distinct"),
+        F.size("words").alias("n_words"),
+        F.size(F.array_distinct("words")).alias("n_distinct"),
     )
 
 
@@ -106,21 +106,12 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each answer against the benchmark text of its conversation's slot; short forms test the gates."""
-    rows = answers(spark, sf_dir).withColumn("slot", F.col("conv_id") % 40).join(matching.small(references(spark, sf_dir)), "slot")
-    cut = (F.col("conv_id") % 3 == 0) & (F.col("turn") % 4 == 1)
-    return rows.select(
-        "conv_id",
-        "turn",
-        S.folded(F.when(cut, T.char_prefix(F.col("answer"), (3))).otherwise(F.col("answer"))).alias("u"),
-        S.folded(F.col("reference")).alias("r"),
-        S.folded(F.col("question")).alias("q"),
-    )
+    """Each whole answer against the benchmark text it is dealt to."""
+    return graded_answers(spark, sf_dir).select("conv_id", "turn", S.folded(F.col("answer")).alias("u"), S.folded(F.col("reference")).alias("r"), S.folded(F.col("question")).alias("q"))
 
 
 _GRADED = f"""WITH {duck.ANSWERS}, g AS (
-  SELECT conv_id, turn, {duck.strip("CASE WHEN conv_id % 3 = 0 AND turn % 4 = 1 THEN substr(answer, 1, 3) ELSE answer END")} AS u, {duck.strip("reference")} AS r, {duck.strip("question")} AS q
-  FROM answers JOIN refs ON conv_id % 40 = slot
+  SELECT conv_id, turn, {duck.strip("answer")} AS u, {duck.strip("reference")} AS r, {duck.strip("question")} AS q FROM dealt
 ), l AS (SELECT conv_id, turn, lower(u) AS u, lower(r) AS r, lower(q) AS q FROM g
 ), o AS (SELECT *, {duck.shared("u", "r")} AS o, {duck.shared("u", "q")} AS p, {duck.n_words("u")} AS n FROM l
 ), m AS (SELECT *, length(u) < 5 OR {duck.has("u", D.GIBBERISH)} AS gibberish,
@@ -189,16 +180,13 @@ _SPICE = {
 
 
 def _spiced(x: F.Column, by: F.Column) -> F.Column:
-    """Some subject words before an invented answer, so that every branch is met."""
-    head = F.coalesce(*[F.when(by % 5 == k, v) for k, v in _SPICE.items()])
-    words = F.when(by % 7 == 0, 2).when(by % 7 == 1, 4).when(by % 7 == 2, 9).when(by % 7 == 3, 14).when(by % 7 == 4, 22).otherwise(400)
-    return F.array_join(F.slice(T.tok(F.concat(head, x)), F.lit(1), words), " ")
+    """Some subject words before a whole invented answer, so that more branches are met; blanks are collapsed."""
+    return T.collapse(F.concat(F.coalesce(*[F.when(by % 5 == k, v) for k, v in _SPICE.items()]), x))
 
 
 def _spiced_sql(x: str, by: str) -> str:
     head = "(CASE " + " ".join(f"WHEN {by} % 5 = {k} THEN {duck.lit(v)}" for k, v in _SPICE.items()) + " END)"
-    n = f"(CASE {by} % 7 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 9 WHEN 3 THEN 14 WHEN 4 THEN 22 ELSE 400 END)"
-    return f"array_to_string(({duck.tok(f'{head} || {x}')})[1:{n}], ' ')"
+    return duck.collapse(f"{head} || {x}")
 
 
 def _session_sql() -> str:
@@ -216,7 +204,7 @@ def _session_sql() -> str:
     coherent = f"NOT (n < 5 AND ({duck.has('low', D.CODE_MARKS)} OR NOT {duck.has('low', D.VERB_STEMS)}))"
     return f"""WITH {duck.ANSWERS}, {duck.BANK}, a AS (
   SELECT conv_id, turn, slot, {_spiced_sql("answer", "(conv_id + turn)")} AS u, reference AS m, b.topic, b.intent, b.difficulty
-  FROM answers JOIN refs ON conv_id % 40 = slot JOIN bank b ON b.question_id = slot
+  FROM dealt JOIN bank b ON b.question_id = slot
 ), b AS (SELECT *, lower(u) AS low, {duck.n_words("u")} AS n, {duck.n_words("m")} AS nm, {words} AS keys,
   list_filter(list_transform({duck.tok("lower(u)")}, lambda w: w), lambda w: NOT list_contains({stop}, w)) AS uk,
   list_filter({duck.tok("lower(m)")}, lambda w: NOT list_contains({stop}, w)) AS mk0,
@@ -243,8 +231,7 @@ SELECT conv_id, turn, round(coverage, 6) AS coverage, intent_score, depth, round
 def session_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded session answers.  Intent and topics of an answer are read as of a question, so plain statements have none."""
     questions = bank(spark, sf_dir).select(F.col("question_id").alias("slot"), "topic", "intent", "difficulty")
-    rows = answers(spark, sf_dir).withColumn("slot", F.col("conv_id") % 40)
-    rows = rows.join(matching.small(references(spark, sf_dir)), "slot").join(matching.small(questions), "slot")
+    rows = graded_answers(spark, sf_dir).join(matching.small(questions), "slot")
     u = F.col("u")
     asks = C.is_question(u)
     rows = rows.select("conv_id", "turn", _spiced(F.col("answer"), F.col("conv_id") + F.col("turn")).alias("u"), F.col("reference").alias("m"), F.array("topic").alias("topics"), "intent")
@@ -482,6 +469,36 @@ def reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(S.reference_answer(x)).alias("reference"), S.fallback_question(x).alias("fallback"), S.rejects_question(x).alias("rejected"))
 
 
+_MADE = ["What is based on this context ", "material: ", "", "Explain based on the context why "]
+
+
+@register(f"""WITH m AS (SELECT conv_id, turn, text, {duck.strings(_MADE)}[1 + (conv_id + turn) % 4] || text || CASE WHEN turn % 3 = 0 THEN '' ELSE ' works?' END || CASE WHEN turn % 5 = 0 THEN '..' ELSE '' END AS made FROM conversations),
+c AS (SELECT *, {duck.strip("replace(replace(replace(made, 'based on this context', ''), 'based on the context', ''), 'material:', '')")} AS q FROM m),
+r AS (SELECT *, {duck.n_words("q")} < 5 OR {duck.has("lower(q)", D.RANK_BAD_WORDS)} OR NOT contains(q, '?') AS rejected FROM c)
+SELECT conv_id, turn, rejected, md5(CASE WHEN length({duck.strip("text")}) < 30 THEN 'Unable to generate question - insufficient context' WHEN NOT rejected THEN CASE WHEN right(q, 1) = '?' THEN q ELSE regexp_replace(q, '\\.+$', '') || '?' END
+  WHEN len({_FALL}) > 0 THEN 'Explain how ' || array_to_string({_FALL}, ' ') || ' works and why it is important in computer networks.' ELSE 'What are the key characteristics of this concept and how is it applied?' END) AS kept FROM r""")
+def question_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated questions (made from turns) without stock phrases, or the fallback where they are rejected."""
+    by, x = (F.col("conv_id") + F.col("turn")).cast("int"), F.col("text")
+    made = F.concat(F.get(F.array(*map(F.lit, _MADE)), by % 4), x, F.when(F.col("turn") % 3 == 0, "").otherwise(" works?"), F.when(F.col("turn") % 5 == 0, "..").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.rejects_question(S.cleaned_question(made)).alias("rejected"), F.md5(S.kept_question(made, x)).alias("kept"))
+
+
+@register(f"""WITH {duck.BANK} SELECT sink, question_id, md5(text || '|' || topic || '|' || difficulty || '|' || intent) AS digest FROM bank, (SELECT unnest(['csv', 'json']) AS sink)
+UNION ALL SELECT 'metadata', i - 1, md5(t) FROM (SELECT unnest(range(1, {len(D.INTENTS) + 1})) AS i, unnest({duck.strings(D.INTENTS)}) AS t)""")
+def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question bank and the labels written as CSV and JSON, and read back."""
+    rows, path = bank(spark, sf_dir), io.scratch(spark, "sinks")
+    io.write_csv(rows, f"{path}/csv")
+    io.write_json(rows, f"{path}/json")
+    io.write_json(io.label_metadata(spark, D.INTENTS), f"{path}/labels")
+    digest = F.md5(F.concat_ws("|", "text", "topic", "difficulty", "intent")).alias("digest")
+    csv = io.read_csv(spark, f"{path}/csv", rows.schema).select(F.lit("csv").alias("sink"), "question_id", digest)
+    json = spark.read.schema(rows.schema).json(f"{path}/json").select(F.lit("json").alias("sink"), "question_id", digest)
+    labels = spark.read.schema("id int, label string").json(f"{path}/labels").select(F.lit("metadata").alias("sink"), F.col("id").cast("long").alias("question_id"), F.md5("label").alias("digest"))
+    return csv.union(json).union(labels)
+
+
 @register(f"""WITH w AS (SELECT doc_id, text, {duck.tok("substr(text, 1, 300)")} AS w FROM documents), r AS (SELECT doc_id, substr(text, 1, 300) AS x, w, len(list_filter(list_distinct(w), lambda v: len(list_filter(w, lambda u: u = v)) >= 3)) > 0 AS often FROM w)
 SELECT doc_id, often, md5(CASE WHEN often THEN {duck.strip("array_to_string(string_split(x, '.')[1:2], '. ')")} || '.' ELSE x END) AS kept,
   'What is ' || coalesce(w[1], '') || ' and how does it work in computer systems?' AS web FROM r""")
@@ -515,26 +532,47 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section", (F.size(F.split("body", "\n")) - 1).alias("lines"), F.md5("body").alias("digest"))
 
 
-@register("""WITH s AS (SELECT s_suppkey, 1990 + s_suppkey % 20 AS y, s_suppkey % 9 AS d FROM supplier)
-SELECT s_suppkey, CASE WHEN d > 0 THEN 1 ELSE 0 END + 1 AS jobs, (CASE WHEN d > 0 THEN greatest(y + d, 2020) - least(y, 2010) ELSE 10 END)::INT AS years,
-  CASE WHEN d > 0 THEN 'Engineer' ELSE 'Analyst' END AS first_title, CASE WHEN d > 0 THEN 'Built the parser - Ran the store' ELSE 'Wrote many reports on sales. 2001 - 2009' END AS focus FROM s""")
+_TITLES = ["Engineer", "Data Analyst", "Corp Advisor", "Team Lead", "Ops", "QA"]
+_COMPANIES = ["North Works, Co", "South & Sons", "West-End Ltd.", "Blue Hill"]
+_TASKS = ["- Built the parser", "* Ran 3 stores", "Wrote 12 reports on sales.", "ok.", "- Led (small) teams"]
+
+
+@register(f"""WITH p AS (SELECT s_suppkey AS s, i, s_suppkey + i AS k FROM supplier, unnest(range(0, s_suppkey % 4)) r(i)),
+j AS (SELECT *, {duck.strings(_TITLES)}[1 + k % 6] AS title, {duck.strings(_COMPANIES)}[1 + (s // 6 + i) % 4] AS company, 1990 + (s * 7 + i * 5) % 28 AS y, (s + 2 * i) % 5 AS d, k % 7 = 0 AS open,
+  array_to_string(list_transform(range(0, k % 3 + 1), lambda m: {duck.strings(_TASKS)}[1 + (k + m) % 5]), chr(10)) AS done FROM p),
+t AS (SELECT *, CASE WHEN open THEN 'March ' || y || ' - Present' WHEN d > 0 THEN y || ' - ' || (y + d) ELSE y::VARCHAR END AS dates FROM j),
+w AS (SELECT *, string_agg(title || chr(10) || company || chr(10) || dates || chr(10) || done, chr(10) || chr(10)) OVER (PARTITION BY s ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rest FROM t),
+c AS (SELECT *, CASE WHEN open THEN {AS_OF_YEAR} ELSE y + d END AS z, list_filter(list_transform(string_split(substr(chr(10) || done || coalesce(chr(10) || chr(10) || rest, ''), 1, 400), chr(10)), lambda x: {duck.strip("x")}), lambda x: x <> '') AS lines FROM w),
+f AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '^[-•*]')) AS bullets, list_filter(lines, lambda x: length(x) > 10) AS long FROM c),
+g AS (SELECT *, CASE WHEN len(bullets) > 0 THEN bullets ELSE long END AS chosen FROM f WHERE length(title) >= 3 AND NOT {duck.has("lower(title)", D.COMPANY_MARKS)} AND (open OR d > 0)),
+a AS (SELECT s, count(*)::INT AS jobs, (max(z) - min(y))::INT AS years, arg_min(title || ' at ' || company, i) AS first_job,
+  string_agg(CASE WHEN len(chosen) > 0 THEN substr(regexp_replace(array_to_string(chosen[1:2], ' '), '^[-•*]\\s*', ''), 1, 150) ELSE 'Not specified' END, ';' ORDER BY i) AS focus FROM g GROUP BY s)
+SELECT s_suppkey, coalesce(jobs, 0) AS jobs, coalesce(years, 0) AS years, first_job, coalesce(focus, '') AS focus FROM supplier LEFT JOIN a ON s = s_suppkey""")
 def job_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of made-up résumés; the second job is the same for all, the first one's years vary and zero years drop it."""
-    y, d = 1990 + F.col("s_suppkey") % 20, F.col("s_suppkey") % 9
-    cv = F.concat(
-        F.lit("Name\nEXPERIENCE\nEngineer\nNorth Works, Co\n"),
-        y.cast("string"),
-        F.lit(" - "),
-        (y + d).cast("string"),
-        F.lit("\n- Built the parser\n- Ran the store\n\nAnalyst\nSouth & Sons\nJune 2010 - May 2020\nWrote many reports on sales.\n\nPrincipal\nWest\n2001 - 2009\nsome long line here\n\nEDUCATION\nx"),
-    )
+    """Jobs of made-up résumés of up to three jobs, some of them not kept; what follows a job reaches into the next one."""
+
+    def picked(values: list[str], at: F.Column) -> F.Column:
+        return F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+
+    def tasks(k: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda m: picked(_TASKS, k + m))
+
+    s, jobs = F.col("s_suppkey"), []
+    for i in range(3):
+        k, y, d = s + i, 1990 + (s * 7 + i * 5) % 28, (s + 2 * i) % 5
+        dates = F.when(k % 7 == 0, F.concat(F.lit("March "), y, F.lit(" - Present"))).when(d > 0, F.concat(y, F.lit(" - "), y + d)).otherwise(y.cast("string"))
+        done = tasks(k)
+        job = F.concat_ws("\n", picked(_TITLES, k), picked(_COMPANIES, F.floor(s / 6) + i), dates, F.array_join(done, "\n"))
+        jobs.append(F.when(s % 4 > i, job))
+    cv = F.concat(F.lit("Name\nEXPERIENCE\n"), F.array_join(F.array_compact(F.array(*jobs)), "\n\n"), F.lit("\n\nEDUCATION\nx"))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", X.job_experiences(cv, AS_OF_YEAR).alias("jobs"))
+    first = F.get("jobs", 0)
     return rows.select(
         "s_suppkey",
         F.size("jobs").alias("jobs"),
         X.total_experience(F.col("jobs"))["years"].alias("years"),
-        F.get("jobs", 0)["title"].alias("first_title"),
-        F.get("jobs", 0)["primary_focus"].alias("focus"),
+        F.concat(first["title"], F.lit(" at "), first["company"]).alias("first_job"),
+        F.array_join(F.transform("jobs", lambda j: j["primary_focus"]), ";").alias("focus"),
     )
 
 

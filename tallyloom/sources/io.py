@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import uuid
+import zipfile
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from tallyloom.functions.extract import email, entities, phone, sections
 from tallyloom.functions.text import clean_lines, clean_text, extension, strip
@@ -43,15 +52,34 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("topic")).filter("topic <> ''")
 
 
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_MARKS = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+
+
+def _paragraphs(content: bytes) -> str:
+    """The body's paragraphs of a Word file, joined by blanks; paragraphs within tables are no part of the body."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_WORD}body")
+    return " ".join("".join(e.text or "" if e.tag == f"{_WORD}t" else _MARKS.get(e.tag, "") for e in p.iter()) for p in body.findall(f"{_WORD}p"))
+
+
+@F.pandas_udf(StringType())
+def docx_text(content: pd.Series) -> pd.Series:
+    """Text of Word files; bytes that are none are an error."""
+    return content.map(_paragraphs)
+
+
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, raw_text, email, phone, entities, sections) of text and ATS files.
+    """(path, format, raw_text, email, phone, entities, sections) of text, ATS and Word (docx) files.
 
-    Bytes that are no UTF-8 are replaced.  PDF and Word files need a reader
-    library that is not part of this package; see ``parse_resumes`` for
-    text that was extracted elsewhere.
+    Bytes that are no UTF-8 are replaced.  PDF files need a reader library
+    that is not part of this package; see ``parse_resumes`` for text that was
+    extracted elsewhere.
     """
-    files = spark.read.format("binaryFile").load(path).filter(extension(F.col("path")).isin("txt", "ats"))
-    return parse_resumes(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
+    files = spark.read.format("binaryFile").load(path)
+    ext = extension(F.col("path"))
+    plain = files.filter(ext.isin("txt", "ats")).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return parse_resumes(plain.union(files.filter(ext == "docx").select("path", docx_text("content").alias("text"))))
 
 
 def parse_resumes(rows: DataFrame) -> DataFrame:
@@ -113,8 +141,17 @@ def cached_questions(cache: DataFrame, topic: str, subject: str) -> DataFrame:
     return cache.filter((F.col("topic") == topic) & (F.col("subject") == subject)).select("questions")
 
 
+#: Fields keep their blanks and line ends, and a quote within is doubled.
+_CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(**_CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What ``write_csv`` wrote."""
+    return spark.read.schema(schema).options(**_CSV).csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -154,3 +191,13 @@ def subjects(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "subject string")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.index").load(path).select("path")
     return files.select(F.regexp_extract("path", "([^/]+)\\.index$", 1).alias("subject"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, and for a local master only, under the system's temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"tallyloom-{spark.sparkContext.applicationId}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
