@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def blocks(df: DataFrame, key: str, limit: int | None = None) -> list[DataFrame]:
+    """df as one or more parts of about ``limit`` rows (``BROADCAST_ROWS``), each with the broadcast hint, for joins without an equal key."""
+    limit = limit or BROADCAST_ROWS
+    n = -(-df.count() // limit)
+    if n <= 1:
+        return [F.broadcast(df)]
+    return [F.broadcast(df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
 def bank_words(x: Column) -> Column:
     """Distinct content words of a normal form, synonyms folded."""
     words = F.array_except(F.array_distinct(tok(x)), F.array(*map(F.lit, D.BANK_STOP_WORDS)))
@@ -42,8 +53,10 @@ def bank_match(questions: DataFrame, bank: DataFrame, least: float = 0.18) -> Da
     equal = q.join(small(b), F.col("q") == F.col("p")).groupBy("question_id").agg(F.min("pos").alias("pos")).withColumn("how", F.lit("equal"))
     inside = F.contains("q", F.col("p")) | F.contains("p", F.col("q"))
     longest = Window.partitionBy("question_id").orderBy(F.size(tok(F.col("p"))).desc(), "pos")
+    # No equal key: the patterns ride along a block at a time.
+    held = [q.join(part, inside & (F.size(tok(F.col("p"))) > 0)).select("question_id", "pos", "p") for part in blocks(b, "pos")]
     within = (
-        q.join(small(b), inside & (F.size(tok(F.col("p"))) > 0))
+        reduce(DataFrame.union, held)
         .withColumn("no", F.row_number().over(longest))
         .filter("no = 1")
         .select("question_id", "pos", F.lit("contains").alias("how"))
@@ -81,12 +94,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, by: str = "l2")
 
     queries and vectors: (vec_id, embedding).  Each task keeps k rows a query
     (a rank limit before the shuffle), so what moves is k rows a query and
-    task.  Queries ride along while they are few; else both sides are dealt.
+    task.  Queries ride along, a block at a time if they are many.
     """
-    q = small(queries.select(F.col("vec_id").alias("query_id"), as_double(F.col("embedding")).alias("q")))
+    q = queries.select(F.col("vec_id").alias("query_id"), as_double(F.col("embedding")).alias("q"))
     v = vectors.select("vec_id", as_double(F.col("embedding")).alias("v"))
     score = l2_squared(F.col("q"), F.col("v")) if by == "l2" else cosine(F.col("q"), F.col("v"))
-    pairs = v.join(q).select("query_id", "vec_id", F.round(score, 6).alias("score"))
+    pairs = reduce(DataFrame.union, [v.join(part).select("query_id", "vec_id", F.round(score, 6).alias("score")) for part in blocks(q, "query_id")])
     order = Window.partitionBy("query_id").orderBy(F.col("score") if by == "l2" else F.desc("score"), "vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", F.round(relevance(F.col("score")), 6).alias("relevance"))

@@ -130,3 +130,19 @@ def test_report_and_labels(spark, tmp_path):
     rows = [(1, 'says "no", twice'), (2, "two\nlines  "), (3, None), (4, "a\\b")]
     io.write_csv(spark.createDataFrame(rows, "id int, text string"), str(tmp_path / "c"))
     assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "c"), "id int, text string").collect())) == rows
+
+
+def test_sides_without_an_equal_key_go_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    vectors = spark.createDataFrame([(i, [rng.random(), rng.random()]) for i in range(60)], "vec_id long, embedding array<float>")
+    words = "tree graph stack queue heap node edge path root leaf".split()
+    bank = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(1, 3)))) for i in range(40)], "pos long, pattern string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(30)], "question_id long, text string")
+
+    def results():
+        return sorted(map(str, matching.nearest(vectors.filter("vec_id < 20"), vectors, 4).collect())), sorted(map(str, matching.bank_match(asked, bank).collect()))
+
+    whole = results()
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 7)
+    assert len(matching.blocks(bank, "pos")) == 6 and results() == whole
+    assert "CartesianProduct" not in matching.nearest(vectors, vectors, 2)._jdf.queryExecution().executedPlan().toString()
