@@ -26,7 +26,8 @@ Scale: text is read once and not shuffled; 33 numbers a document are.
 few words in a hundred.  Copies collapse to one text.  The fingerprint is over
 the different words of a text, as an edit changes one of those where it
 changes five shingles; keys are exact for ``WIDE`` bits, with as many blocks
-as the number of fingerprints asks for.  What is linked so is a candidate
+as the number of fingerprints asks for (28 keys a fingerprint up to some 300
+million of them, 84 up to 10 billion).  What is linked so is a candidate
 only: within each closure of such links, texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more are linked, and the
 components of these links are the groups.  Keys over ``bucket_limit`` and
@@ -221,8 +222,8 @@ class Forest:
 
 
 def blocks_for(count: int, distance: int) -> int:
-    """The least number of blocks whose keys have about as many values as there are fingerprints."""
-    wanted = math.log2(max(count, 2)) - 2
+    """The least number of blocks for which a key holds some thousand fingerprints or fewer, which are compared at once; more blocks mean many more keys."""
+    wanted = math.log2(max(count, 2)) - 12
     return next((b for b in range(distance + 2, 2 * distance) if 64 * (b - distance) / b >= wanted), 2 * distance)
 
 
