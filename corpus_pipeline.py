@@ -13,7 +13,8 @@ Defined results: null and empty texts and those under 50 words go in the first
 stage; texts of any length are taken whole; rows that repeat a doc_id and its
 text are one document from the second stage on, rows that share only a doc_id
 are documents of their own; null ids come last among the ids of a group; an
-empty table gives an empty result.  Other columns of ``documents`` are carried
+empty table gives an empty result.  The stages set two settings of the session,
+``BATCH``, to bound what goes to Python workers at once.  Other columns of ``documents`` are carried
 along whatever their names, also those of the stages' own results, up to the
 last stage, which reads doc_id and text only.
 """
@@ -27,6 +28,16 @@ from tallyloom.llm import decontamination, packing, quality_rules, simhash, suff
 from tallyloom.llm.common import delete, free_prefix, named, scratch_path, scratch_scope, table
 
 
+#: Rows and bytes of an Arrow batch, so that an executor of 3 GB has room for two tasks' batches on both sides whatever the length of texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Set the session's Arrow batches, which hold for whatever runs after the stage is planned."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
+
 def _others(docs: DataFrame, *without: str) -> tuple[str, ...]:
     return tuple(c for c in docs.columns if c not in without)
 
@@ -39,6 +50,7 @@ def _with_text(rows: DataFrame, docs: DataFrame, prefix: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
     prefix = free_prefix(docs.columns)
     judged = quality_rules.judge(docs, trusted, keep=_others(docs, "doc_id"), prefix=prefix)
@@ -46,6 +58,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     groups = simhash.similar_groups(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     p = free_prefix(docs.columns)
@@ -59,11 +72,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     prefix = free_prefix(docs.columns)
     return _with_text(suffix_dedup.dedup(docs, keep=_others(docs, "doc_id", "text", "n_chars"), prefix=prefix), docs, prefix)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     items, prefix = table(spark, sf_dir, "benchmark"), free_prefix(docs.columns)
     found = decontamination.scan(docs, items, keep=_others(docs, "doc_id", "text", "n_chars"), remove_spans=True, prefix=prefix)
     return _with_text(found, docs, prefix)
@@ -72,6 +87,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    _bounded(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
