@@ -93,3 +93,8 @@ def test_wide_links_of_large_keys(spark, distance):
 def test_similar_groups_of_nothing(nothing, repeated):
     assert S.similar_groups(nothing).count() == 0
     assert len({r.component for r in S.similar_groups(repeated).collect()}) in (3, 4)
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [S.blocks_for(n, 6) for n in (0, 10**5, 10**8, 10**10, 10**12)] == [8, 8, 8, 9, 11]
+    assert S.blocks_for(10**18, 6) == 12
