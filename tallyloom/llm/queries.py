@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, language_id, license_scan, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from tallyloom.llm import decontamination, language_id, license_scan, manifest, packing, pieces, quality_rules, resampling, sharding, simhash, suffix_dedup, toxicity, warc
 from tallyloom.llm.common import scratch_path, table
 
 
@@ -83,6 +83,66 @@ FROM k
 """
 
 
+#: CRC-32 of a list of bytes in hex digits, by the table that its polynomial gives.
+_CRC = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(256) r(i)))"""
+
+
+def _crc(x: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH {_CRC},
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i:i + k], ' ') AS f FROM d, unnest(range(1, len(w) + 1)) r(i), unnest(range(3)) q(k) WHERE i + k <= len(w)),
+h AS (SELECT array_to_string(w[i:i + k], ' ') AS f FROM (SELECT {_WORDS} AS w FROM benchmark), unnest(range(1, len(w) + 1)) r(i), unnest(range(3)) q(k) WHERE i + k <= len(w)),
+e AS (SELECT f, {_crc("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM (SELECT f FROM g UNION ALL SELECT f FROM h)), crc_table),
+s AS (SELECT b, count(*) AS n FROM g JOIN e USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM h JOIN e USING (f) GROUP BY b),
+v AS (SELECT r.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM h) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM range(10000) r(b) LEFT JOIN s ON s.b = r.b LEFT JOIN t ON t.b = r.b),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM g JOIN e USING (f) JOIN v USING (b) GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM y)
+SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * able // 100 THEN place END AS rank FROM z
+"""
+
+
+def _op13_sql(heights: int = 7) -> str:
+    """Levels are written out: a level's nodes by group, with what stands before and after each in its run; ``heights`` of them are enough for 8 ** heights leaves."""
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fields = lambda x: " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", x))
+
+    def levels(name: str) -> tuple[str, str]:
+        out, joins = [], []
+        for i in range(heights):
+            out.append(f"""{name}r{i} AS (SELECT k, i // 8 AS run, list(d ORDER BY i) AS l, any_value(n) AS n FROM {name}{i} GROUP BY k, i // 8),
+{name}{i + 1} AS (SELECT k, run AS i, CASE WHEN n > 1 THEN sha256(array_to_string(l, '')) ELSE l[1] END AS d, (n + 7) // 8 AS n FROM {name}r{i})""")
+            joins.append(f"JOIN {name}r{i} AS {name}j{i} ON {name}j{i}.k = {{k}} AND {name}j{i}.run = {{i}} // {8 ** (i + 1)}")
+        return ",\n".join(out), " ".join(joins)
+
+    own, own_joins = levels("a")
+    all_, all_joins = levels("b")
+    steps = [(f"aj{i}", f"p.i // {8**i}") for i in range(heights)] + [(f"bj{i}", f"s.i // {8**i}") for i in range(heights)]
+    before = [f"CASE WHEN {j}.n > 1 THEN array_to_string({j}.l[1:({at}) % 8], '') ELSE '' END" for j, at in steps]
+    after = [f"CASE WHEN {j}.n > 1 THEN array_to_string({j}.l[({at}) % 8 + 2:], '') ELSE '' END" for j, at in steps]
+    many = [f"{j}.n > 1" for j, _ in steps]
+    path = "[" + ", ".join(f"struct_pack(b := {b}, a := {a}, m := {m}, d := '')" for b, a, m in zip(before, after, many)) + "]"
+    return f"""
+WITH {_CRC},
+f AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS k, sha256({fields("text")}) AS leaf, sha256({fields(text)}) AS changed, coalesce({_crc("doc_id::VARCHAR")} % 3 = 0, false) AS touched FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS LAST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM f),
+a0 AS (SELECT k, i, leaf AS d, n FROM p), {own},
+s AS (SELECT k, d, row_number() OVER (ORDER BY encode(k)) - 1 AS i, count(*) OVER () AS n FROM a{heights}),
+b0 AS (SELECT 0 AS k, i, d, n FROM s), {all_},
+w AS (SELECT p.*, s.d AS subroot, b{heights}.d AS root, {path} AS path FROM p JOIN s USING (k) JOIN b{heights} ON true {own_joins.format(k="p.k", i="p.i")} {all_joins.format(k="0", i="s.i")}),
+y AS (SELECT *, list_reduce(list_prepend(struct_pack(b := '', a := '', m := false, d := CASE WHEN touched THEN changed ELSE leaf END), path),
+  lambda x, e: struct_pack(b := '', a := '', m := false, d := CASE WHEN e.m THEN sha256(e.b || x.d || e.a) ELSE x.d END)).d AS folded FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda e: e.b || e.a), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM y
+"""
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -138,6 +198,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).cast("long").alias("n_bytes"),
+        F.xxhash64("starts", "ends").alias("spans_xxhash64"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -150,8 +233,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op6_warc": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_license_scan": _op1_sql(), "op6_warc": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_merkle_manifest": _op13_sql()}

@@ -129,4 +129,4 @@ def test_run_on_empty_tables(spark, odd, tmp_path):
 
 
 def test_queries_are_named_by_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
