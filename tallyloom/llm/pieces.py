@@ -7,20 +7,15 @@ which is a range of normalised characters, is projected to the range of
 source bytes it came from.  A model without a map keeps all characters, and
 the record is the places of the characters.
 
-Pieces: pairs of neighbours that are a piece are joined, best score first and
-leftmost on ties; characters that are no piece become their bytes.  No piece
-has a blank mark after another character, so a run of marks with what
-follows, up to the next one, is encoded alone and cached, likewise around
-characters that stand in no longer piece (such as line ends), and before commas
-and full stops if no piece has one behind a letter.
+Pieces: a copy of the model without rules of normalisation joins normal text
+into pieces; characters that are no piece become their bytes.
 
 Spans: [start, end) bytes of the text.  Of the byte pieces of one character
 the last has its bytes, the others are empty where it begins; the end id is
 empty behind the text.  Otherwise spans follow each other without a gap.
 
-Scale: a scan; texts are cut nowhere and shuffled never.  A worker caches
-``limit`` runs.  Memory follows the longest text (some tens of bytes a token)
-and the longest run without a blank (some hundreds of bytes a character).
+Scale: a scan; texts are cut nowhere and shuffled never.  Memory follows the
+longest text, some tens of bytes a token.
 
 Defined results: null and empty texts give the end id alone; texts of any
 length are encoded whole; repeated rows give equal rows; an empty table gives
@@ -31,11 +26,8 @@ dropped unless in ``keep``, and results take ``prefix`` before their names.
 
 from __future__ import annotations
 
-import heapq
-import math
-import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +38,7 @@ from tallyloom.llm.common import carried, named, schema_of, ship, small_batches
 #: What stands for a blank in pieces.
 MARK = "▁"
 #: Fixed values of the model file: kinds of pieces.
-NORMAL, USER, UNUSED, BYTE = 1, 4, 5, 6
-#: Characters of a run up to which all pairs are looked over at each step.
-SHORT = 48
-_NONE = math.inf
+USER, UNUSED, BYTE = 4, 5, 6
 
 
 class CharMap:
@@ -142,25 +131,10 @@ class Normaliser:
         return "".join(out).replace(" ", MARK), np.array([*source, at])
 
 
-class _Cache(dict):
-    """What ``learn`` gives for a key, made when it is first asked for."""
-
-    def __init__(self, learn: Callable):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.learn(key)
-        return value
-
-
 class PieceEncoder:
-    """encode_batch(texts) gives ids, and the source bytes of each.
+    """encode_batch(texts) gives ids, and the source bytes of each."""
 
-    The first ``limit`` runs stay cached; later ones last for a batch.
-    """
-
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -173,98 +147,33 @@ class PieceEncoder:
         self.end = self.library.eos_id()
         rule = model.normalizer_spec
         self.normaliser = Normaliser(rule.precompiled_charsmap, rule.add_dummy_prefix, rule.remove_extra_whitespaces)
-        self.costs = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.bytes = [i for _, i in sorted((int(p.piece[1:-1], 16), i) for i, p in enumerate(model.pieces) if p.type == BYTE)]
+        # Runs are normal already: the same model without rules of its own joins their pieces.
+        rule.precompiled_charsmap, rule.normalization_rule_tsv = b"", ""
+        rule.add_dummy_prefix, rule.remove_extra_whitespaces, rule.escape_whitespaces = False, False, True
+        self.merger = SentencePieceProcessor()
+        self.merger.LoadFromSerializedProto(model.SerializeToString())
+        byte_ids = [i for _, i in sorted((int(p.piece[1:-1], 16), i) for i, p in enumerate(model.pieces) if p.type == BYTE)]
         #: Characters of each id's piece, and whether it is a byte, and one that goes on a character.
         self.length = np.array([len(p.piece) for p in model.pieces], dtype=np.int64)
         self.is_byte, self.goes_on = np.zeros((2, len(self.length)), dtype=bool)
-        self.is_byte[self.bytes] = True
-        self.goes_on[self.bytes[0x80:0xC0]] = True
-        joined = set().union(*[p for p in self.costs if len(p) > 1])
-        if any(MARK in p.lstrip(MARK) for p in self.costs):
-            self.runs = re.compile("(?s).+")
-        else:
-            alone = "" if "\n" in joined else "\n"
-            pairs = {p[i : i + 2] for p in self.costs for i in range(len(p) - 1)}
-            breaks = [c for c in ",." if not any(x[1] == c and x[0].isalpha() for x in pairs)]
-            letters = f"{MARK}*+[^\\W\\d_]++(?=[{''.join(breaks)}])|" if breaks else ""
-            self.runs = re.compile(f"{letters}{MARK}*[^{MARK}{alone}]+|{MARK}+|{alone or '(?!)'}")
-        self.limit = limit
-        self.cache = _Cache(self._learn)
-
-    def _joined(self, run: str) -> list[str]:
-        """The pieces of a run, from its characters."""
-        parts, cost = list(run), self.costs.get
-        costs = [cost(a + b, _NONE) for a, b in zip(parts, parts[1:])]
-        while costs:
-            least = min(costs)
-            if least == _NONE:
-                break
-            i = costs.index(least)
-            parts[i] += parts.pop(i + 1)
-            del costs[i]
-            if i < len(costs):
-                costs[i] = cost(parts[i] + parts[i + 1], _NONE)
-            if i:
-                costs[i - 1] = cost(parts[i - 1] + parts[i], _NONE)
-        return parts
-
-    def _joined_long(self, run: str) -> list[str]:
-        """The same with a heap, for which the work is in proportion to the length but for a logarithm."""
-        parts: list[str | None] = list(run)
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        costs, heap = self.costs, []
-
-        def offer(i: int, j: int) -> None:
-            both = parts[i] + parts[j]
-            if both in costs:
-                heapq.heappush(heap, (costs[both], i, j, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            left, right = parts[i], parts[j]
-            if left is None or right is None or after[i] != j or left + right != both:
-                continue
-            parts[i], parts[j] = both, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                offer(i, k)
-            if before[i] >= 0:
-                offer(before[i], i)
-        return [p for p in parts if p is not None]
-
-    def _learn(self, run: str) -> bytes:
-        """Ids of a run."""
-        ids: list[int] = []
-        for part in self._joined(run) if len(run) <= SHORT else self._joined_long(run):
-            own = self.ids.get(part)
-            if own is None:
-                ids += [self.bytes[b] for b in part.encode()]
-            else:
-                ids.append(own)
-        return struct.pack(f"<{len(ids)}i", *ids)
+        self.is_byte[byte_ids] = True
+        self.goes_on[byte_ids[0x80:0xC0]] = True
+        self.length[self.is_byte] = 0
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, starts, ends) of each text, the end id last."""
         normal = [self.normaliser.run(t or "") for t in texts]
-        runs = [self.runs.findall(n) for n, _ in normal]
-        ids_of, out = self.cache.__getitem__, []
-        for text, own, (_, source) in zip(texts, runs, normal):
-            ids = np.frombuffer(b"".join(map(ids_of, own)), dtype="<i4")
+        joined = self.merger.encode([n for n, _ in normal], return_type="numpy", num_threads=1)
+        out = []
+        for text, ids, (_, source) in zip(texts, joined, normal):
+            size = self.length[ids]
             is_byte = self.is_byte[ids]
-            size = np.where(is_byte, 0, self.length[ids])
-            # Of a character's bytes the last has it: the one that no byte goes on.
-            size[is_byte & ~np.append(self.goes_on[ids[1:]], False)[: len(ids)]] = 1
+            if is_byte.any():
+                # Of a character's bytes the last has it: the one that no byte goes on.
+                size[is_byte] = ~np.append(self.goes_on[ids[1:]], False)[is_byte]
             ends = np.cumsum(size)
             behind = len((text or "").encode())
             out.append((np.append(ids, self.end), np.append(source[ends - size], behind), np.append(source[ends], behind)))
-        while len(self.cache) > self.limit:
-            self.cache.popitem()
         return out
 
 
@@ -272,7 +181,7 @@ _open: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder a worker process, so that its cache serves all tasks there."""
+    """One encoder a worker process."""
     if path not in _open:
         _open[path] = PieceEncoder(path)
     return _open[path]
@@ -316,7 +225,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decode
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                texts = [None if ids is None else library.decode(ids) for ids in part.column(at).to_pylist()]
+                texts = [None if ids is None else library.decode(ids.values.to_numpy()) for ids in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return rows.mapInArrow(run, schema)

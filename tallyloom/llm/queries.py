@@ -206,15 +206,18 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
-    return rows.select(
+    rows = pieces.encode(table(spark, sf_dir, "documents"), model)
+    # Digests of what is not decoded come first, so that the second worker gets ids only.
+    rows = rows.select(
         "doc_id",
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
         F.element_at("ends", -1).cast("long").alias("n_bytes"),
         F.xxhash64("starts", "ends").alias("spans_xxhash64"),
     )
+    rows = pieces.decode(rows, model)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes", "spans_xxhash64")
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
