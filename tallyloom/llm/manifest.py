@@ -199,7 +199,9 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", f
     group = F.coalesce(F.concat(F.lit("="), named(group_col).cast("string")), F.lit("")).alias("grp")
     own = docs.select(named(id_col).alias("doc_id"), group, leaf.alias("leaf"), F.when(touched, changed).alias("changed"), *carried(docs, keep))
     kept = [f"_k{i}" for i in range(len(keep))]
-    placed = written(_placed(own.withColumn("row", F.monotonically_increasing_id()), "grp", ["doc_id", "leaf", "row"], "leaves"), "placed")
+    # Written before they are dealt out by range, which reads its input twice.
+    hashed = written(own.withColumn("row", F.monotonically_increasing_id()), "hashed")
+    placed = written(_placed(hashed, "grp", ["doc_id", "leaf", "row"], "leaves"), "placed")
     blocks = _blocks(placed, "grp", ["doc_id", "leaf", "changed", *kept], levels)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
