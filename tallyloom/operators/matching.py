@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.functions import dictionaries as D
 from tallyloom.functions.text import fold_marks, tok
@@ -38,51 +39,91 @@ def bank_words(x: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.element_at(same, w), w)))
 
 
+#: Characters of the substrings by which containment is joined.
+GRAM = 6
+
+
+def _grams(x: Column, size: int) -> Column:
+    """The different substrings of ``size`` characters."""
+    each = F.transform(F.sequence(F.lit(1), F.length(x) - (size - 1)), lambda i: F.substring(x, i, size))
+    return F.when(F.length(x) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+
+def containment(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(text_id, part_id) for every text that contains a part.
+
+    texts: (text_id, text); parts: (part_id, part), none of them empty.  A
+    part is known by one of its substrings of ``GRAM`` characters (of its
+    whole length if it is shorter), the one that the fewest texts have, so a
+    text meets only the parts whose rarest substring it has.  Those are then
+    compared in full.  Parts with a substring that no text has go at once.
+
+    Work is linear in the characters of the texts plus the pairs compared;
+    there is no pair of a text and a part without a common substring, no
+    bound on either side, and the text itself is shuffled once, by text_id.
+    """
+    sizes = [r[0] for r in parts.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect()]  # GRAM rows at most
+    if not sizes:
+        return texts.sparkSession.createDataFrame([], StructType([texts.schema["text_id"], parts.schema["part_id"]]))
+    every = F.flatten(F.array(*[_grams(F.col("text"), s) for s in sorted(sizes)]))
+    held = texts.select("text_id", F.explode(every).alias("gram"))
+    known = held.groupBy("gram").agg(F.count("*").alias("texts"))
+    size = F.least(F.length("part"), F.lit(GRAM))
+    own = F.coalesce(*[F.when(size == s, _grams(F.col("part"), s)) for s in sorted(sizes)])
+    asked = parts.select("part_id", F.explode(own).alias("gram")).join(known, "gram", "left")
+    rarest = asked.groupBy("part_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("least")).filter("least.texts > 0")
+    chosen = rarest.select("part_id", F.col("least.gram").alias("gram")).join(parts, "part_id")
+    met = held.join(chosen, "gram").select("text_id", "part_id", "part")
+    return met.join(texts, "text_id").filter(F.contains("text", F.col("part"))).select("text_id", "part_id")
+
+
 def bank_match(questions: DataFrame, bank: DataFrame, least: float = 0.18) -> DataFrame:
     """(question_id, pos, how, score): the bank pattern of each question.
 
     questions: (question_id, text); bank: (pos, pattern).  In turn: equal
     normal forms; a pattern that contains or is contained, longest first; the
     best weighted word overlap above ``least``.  Earlier patterns win ties.
+    A question without a word is contained in every pattern.
 
-    Overlaps come from an equi-join on words.  A pattern that shares no word
-    scores by its length alone, so the best such pattern is one row for all.
+    Each different normal form is matched once.  Containment is joined on
+    rare substrings, both ways; overlaps are an equi-join on words.  A
+    pattern that shares no word scores by its length alone, so the best such
+    pattern is one row for all; there is no join without an equal key.
     """
-    q = questions.select("question_id", fold_marks(F.col("text")).alias("q")).withColumn("qw", bank_words(F.col("q")))
-    b = bank.select("pos", fold_marks(F.col("pattern")).alias("p")).withColumn("pw", bank_words(F.col("p")))
-    equal = q.join(small(b), F.col("q") == F.col("p")).groupBy("question_id").agg(F.min("pos").alias("pos")).withColumn("how", F.lit("equal"))
-    inside = F.contains("q", F.col("p")) | F.contains("p", F.col("q"))
-    longest = Window.partitionBy("question_id").orderBy(F.size(tok(F.col("p"))).desc(), "pos")
-    # No equal key: the patterns ride along a block at a time.
-    held = [q.join(part, inside & (F.size(tok(F.col("p"))) > 0)).select("question_id", "pos", "p") for part in blocks(b, "pos")]
-    within = (
-        reduce(DataFrame.union, held)
-        .withColumn("no", F.row_number().over(longest))
-        .filter("no = 1")
-        .select("question_id", "pos", F.lit("contains").alias("how"))
-    )
+    named = questions.select("question_id", fold_marks(F.col("text")).alias("q"))
+    q = named.select("q").distinct().withColumn("qw", bank_words(F.col("q")))
+    b = bank.select("pos", fold_marks(F.col("pattern")).alias("p")).withColumn("pw", bank_words(F.col("p"))).withColumn("n", F.size(tok(F.col("p"))))
+    equal = q.join(small(b), F.col("q") == F.col("p")).groupBy("q").agg(F.min("pos").alias("e_pos"))
+    full, asked = b.filter("p <> ''"), q.filter("q <> ''")
+    around = containment(asked.select(F.col("q").alias("text_id"), F.col("q").alias("text")), full.select(F.col("pos").alias("part_id"), F.col("p").alias("part")))
+    within = containment(full.select(F.col("pos").alias("text_id"), F.col("p").alias("text")), asked.select(F.col("q").alias("part_id"), F.col("q").alias("part")))
+    pairs = around.select(F.col("text_id").alias("q"), F.col("part_id").alias("pos")).union(within.select(F.col("part_id").alias("q"), F.col("text_id").alias("pos")))
+    longest = F.min(F.struct((-F.col("n")).alias("n"), "pos"))
+    held = pairs.join(b.select("pos", "n"), "pos").groupBy("q").agg(longest["pos"].alias("c_pos"))
+    first = full.agg(longest["pos"]).first()[0]  # one row
     per_word = b.select("pos", F.size("pw").alias("np"), F.explode("pw").alias("w"))
     overlap = (
-        q.select("question_id", F.size("qw").alias("nq"), _boosted(F.col("qw")).alias("boost"), F.explode("qw").alias("w"))
+        q.select("q", F.size("qw").alias("nq"), _boosted(F.col("qw")).alias("boost"), F.explode("qw").alias("w"))
         .join(small(per_word), "w")
-        .groupBy("question_id", "nq", "boost", "pos", "np")
+        .groupBy("q", "nq", "boost", "pos", "np")
         .agg(F.count("*").alias("o"))
     )
     score = F.col("o") / (F.col("np") + F.col("nq") - F.col("o")) * 0.7 + F.least(F.lit(1.0), F.col("np") / 6) * 0.3 + F.col("o") * 0.1 + F.when(F.col("boost"), 0.25).otherwise(0.0)
-    shared = overlap.select("question_id", "pos", F.round(score, 9).alias("score"))
-    bare = b.select("pos", F.round(F.least(F.lit(1.0), F.size("pw") / 6) * 0.3, 9).alias("score")).orderBy(F.desc("score"), "pos").limit(1)
-    every = shared.union(q.select("question_id").join(F.broadcast(bare)))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "pos")
-    words = every.withColumn("no", F.row_number().over(best)).filter((F.col("no") == 1) & (F.col("score") > least)).select("question_id", "pos", F.lit("words").alias("how"), "score")
-    out = q.select("question_id")
-    for name, found in (("e", equal), ("c", within), ("w", words)):
-        out = out.join(found.select("question_id", *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != "question_id"]), "question_id", "left")
-    return out.select(
-        "question_id",
-        F.coalesce("e_pos", "c_pos", "w_pos").alias("pos"),
-        F.coalesce("e_how", "c_how", "w_how", F.lit("none")).alias("how"),
-        F.when(F.coalesce("e_pos", "c_pos").isNull(), F.col("w_score")).alias("score"),
+    ranked = F.struct((-F.round(score, 9)).alias("s"), "pos")
+    shared = overlap.groupBy("q").agg(F.min(ranked).alias("own"))
+    bare = b.agg(F.min(F.struct((-F.round(F.least(F.lit(1.0), F.size("pw") / 6) * 0.3, 9)).alias("s"), "pos"))).first()[0]
+    out = q.select("q").join(equal, "q", "left").join(held, "q", "left").join(shared, "q", "left")
+    if bare is not None:
+        out = out.withColumn("own", F.least("own", F.struct(F.lit(bare.s).alias("s"), F.lit(bare.pos).cast(b.schema["pos"].dataType).alias("pos"))))
+    out = out.withColumn("c_pos", F.coalesce("c_pos", F.when(F.col("q") == "", F.lit(first))))
+    own = F.when(-F.col("own.s") > least, F.col("own"))
+    out = out.select(
+        "q",
+        F.coalesce("e_pos", "c_pos", own["pos"]).alias("pos"),
+        F.when(F.col("e_pos").isNotNull(), "equal").when(F.col("c_pos").isNotNull(), "contains").when(own.isNotNull(), "words").otherwise("none").alias("how"),
+        F.when(F.coalesce("e_pos", "c_pos").isNull(), -own["s"]).alias("score"),
     )
+    return named.join(out, "q", "left").select("question_id", "pos", F.coalesce("how", F.lit("none")).alias("how"), "score")
 
 
 def _boosted(words: Column) -> Column:

@@ -36,6 +36,23 @@ def topic_accuracy(attempts: DataFrame) -> DataFrame:
     return stats.withColumn("strength", strength(F.col("attempted"), F.col("accuracy")))
 
 
+def topic_counts(attempts: DataFrame) -> DataFrame:
+    """(user_id, topic, attempted, total, passed, since): what can be added up from batch to batch."""
+    return attempts.groupBy("user_id", "topic").agg(
+        F.count("*").alias("attempted"),
+        F.sum(F.col("score").cast("decimal(18,6)")).cast("decimal(38,6)").alias("total"),
+        F.count_if(F.col("score") >= PASS).alias("passed"),
+        F.min(F.struct("ts", "seq")).alias("since"),
+    )
+
+
+def topic_profile(counts: DataFrame) -> DataFrame:
+    """Accuracy and strength from added counts."""
+    accuracy = F.round(F.col("total").cast("double") / F.col("attempted"), 6)
+    rows = counts.withColumn("accuracy", accuracy)
+    return rows.select("user_id", "topic", "attempted", "passed", "accuracy", strength(F.col("attempted"), F.col("accuracy")).alias("strength"))
+
+
 def rollup(attempts: DataFrame) -> DataFrame:
     """Overall, by topic, by topic and difficulty, and by intent, in one pass."""
     sets = [["user_id"], ["user_id", "topic"], ["user_id", "topic", "difficulty"], ["user_id", "intent"]]

@@ -119,7 +119,8 @@ ANSWERS = """
 answers AS (
   SELECT conv_id, turn, coalesce(before, '') AS question, text AS answer
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE role = 'assistant'
-), dealt AS (SELECT conv_id, turn, question, answer, item_id AS slot, text AS reference FROM answers JOIN benchmark ON item_id = conv_id % (SELECT count(*) FROM benchmark))"""
+), dealt AS (SELECT conv_id, turn, question, answer, item_id AS slot, text AS reference FROM answers
+  JOIN (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) ON place = conv_id % n)"""
 
 BANK = """
 bank AS (

@@ -10,10 +10,12 @@ from tallyloom.functions import scoring as S
 from tallyloom.functions.classify import by_score, label_index, multi_hot, top_label
 from tallyloom.functions.extract import experience_level
 from tallyloom.functions.vectors import as_double, cosine, sigmoid, softmax
-from tallyloom.operators import matching, metrics, profiles, selection
+from tallyloom.operators import matching, metrics, profiles, selection, vector_index
 from tallyloom.plans import duck
 from tallyloom.plans.registry import Registry
-from tallyloom.plans.tables import attempts, bank, table
+from tallyloom.plans.tables import attempts, bank, numbered, table
+from tallyloom.sources import io, snapshots
+from tallyloom.streaming import targets
 
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -81,6 +83,43 @@ def target_difficulty_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.target_difficulty(attempts(spark, sf_dir))
 
 
+@register(f"{_FOLD} SELECT user_id, attempted, target FROM goal")
+def stateful_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 W4 and the stateful update of section 2.11: attempts replayed as a stream in three parts, the second of them given twice, with a restart from the checkpoint before each."""
+    rows = attempts(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "score")
+    path = io.scratch(spark, "replay")
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - F.lit(low)) * 3 / (F.lit(high) - F.lit(low) + 1))
+    for i in (0, 1, 1, 2):
+        rows.filter(part == i).write.mode("append").parquet(f"{path}/attempts")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/attempts")
+        targets.run_targets(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return snapshots.read(spark, f"{path}/table").select("user_id", "attempted", "target")
+
+
+@register(f"""{_ATT}, s AS (SELECT user_id, topic, count(*) AS attempted, count(*) FILTER (score >= 60) AS passed, round(sum(score::DECIMAL(18, 6))::DOUBLE / count(*), 6) AS accuracy FROM attempts GROUP BY ALL)
+SELECT *, {duck.strength("attempted", "accuracy")} AS strength, 3 AS version FROM s""")
+def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 K2 A1: profiles kept by merging three batches of attempts, the second given twice, and read back with the table's version."""
+    counts = [profiles.topic_counts(attempts(spark, sf_dir).filter(F.col("seq") % 3 == i)) for i in range(3)]
+    path = io.scratch(spark, "profiles")
+    added = snapshots.add_up(["user_id", "topic"], ["attempted", "total", "passed"], ("since",))
+    for i in (0, 1, 1, 2):
+        version = snapshots.merge(counts[i], path, ["user_id", "topic"], added, i, "attempts")
+    return profiles.topic_profile(snapshots.read(spark, path)).withColumn("version", F.lit(version))
+
+
+@register("""SELECT user_id, event_type, event_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache to which three batches of entries are written in any order of time; the latest entry of each key stays."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    path, keys = io.scratch(spark, "cache"), ["user_id", "event_type"]
+    for i in range(3):
+        snapshots.merge(rows.filter(F.col("event_id") % 3 == i), path, keys, snapshots.keep_latest(keys, ["ts", "event_id"]), i)
+    return snapshots.read(spark, path).select("user_id", "event_type", "event_id", "value")
+
+
 @register(f"""{_FOLD}, t AS (SELECT user_id, topic, count(*) AS attempted, round(avg(score), 6) AS accuracy FROM attempts GROUP BY ALL)
 SELECT user_id, topic, accuracy, target, CASE WHEN accuracy < 40 THEN 'easy' ELSE target END AS difficulty,
   'Focus on ' || topic || ' to improve. You''re at ' || {duck.level("attempted", "accuracy")} || ' level.' AS advice FROM t JOIN goal USING (user_id)""".replace("t JOIN goal", "t JOIN (SELECT user_id, target FROM goal) g"))
@@ -149,12 +188,13 @@ def profile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learners with the bank items their attempts stand for."""
-    rows = attempts(spark, sf_dir).withColumn("item", (F.col("k") % 40).cast("long"))
-    return rows.groupBy("user_id").agg(F.collect_set("item").alias("asked"))
+    """Learners with the bank items their attempts stand for: events are dealt over the whole bank."""
+    items = numbered(bank(spark, sf_dir).select("question_id"), "question_id")
+    rows = attempts(spark, sf_dir).withColumn("place", F.col("seq") % F.lit(items.count()))
+    return rows.join(matching.small(items), "place").groupBy("user_id").agg(F.collect_set("question_id").alias("asked"))
 
 
-_ASKED = f"{_ATT}, {duck.BANK}, asked AS (SELECT DISTINCT user_id, (k % 40)::BIGINT AS item FROM attempts), users AS (SELECT DISTINCT user_id FROM attempts)"
+_ASKED = f"{_ATT}, {duck.BANK}, items AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS place, count(*) OVER () AS n FROM bank), asked AS (SELECT DISTINCT user_id, question_id AS item FROM attempts JOIN items ON place = seq % n), users AS (SELECT DISTINCT user_id FROM attempts)"
 
 
 @register(f"""{_ASKED}, o AS (
@@ -237,6 +277,30 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest(rows.filter("vec_id % 100 = 0"), rows, 5, "cosine")
 
 
+_INDEXED = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, v.label, round({}, 6) AS score FROM v q, v WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {}, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score, round(1 / (1 + score), 6) AS relevance, label FROM r WHERE rank <= 5"""
+
+
+def _indexed(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    rows, path = table(spark, sf_dir, "embeddings"), io.scratch(spark, "index")
+    vector_index.write_index(rows, path, by, keep=("label",))
+    return vector_index.search(spark, path, rows.filter("vec_id % 100 = 0"), 5, exact=True)
+
+
+@register(_INDEXED.format("list_distance(q.e, v.e) * list_distance(q.e, v.e)", "ASC"))
+def index_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored inverted file, searched until nothing nearer can be elsewhere, with what stands beside the vectors."""
+    return _indexed(spark, sf_dir, "l2")
+
+
+@register(_INDEXED.format("list_cosine_similarity(q.e, v.e)", "DESC"))
+def index_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by cosine."""
+    return _indexed(spark, sf_dir, "cosine")
+
+
 @register(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
   SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, similarity, round(similarity * 100, 2) AS percent, {duck.banded("round(similarity * 100, 2)", [(80, "A"), (70, "B"), (60, "C"), (50, "D")], "F")} AS grade FROM p""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dictionaries import INTENTS
@@ -37,18 +37,21 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, question, answer): each assistant turn answers the turn before it."""
-    from pyspark.sql import Window
-
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, sf_dir, "conversations").withColumn("question", F.coalesce(before, F.lit("")))
     return rows.filter("role = 'assistant'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
 def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with the benchmark item they are dealt to: (conv_id, turn, question, answer, slot, reference), items numbered from 0."""
-    items = table(spark, sf_dir, "benchmark")
-    dealt = answers(spark, sf_dir).join(F.broadcast(items.agg(F.count("*").alias("items")))).withColumn("slot", F.col("conv_id") % F.col("items")).drop("items")
-    return dealt.join(small(items.select(F.col("item_id").alias("slot"), F.col("text").alias("reference"))), "slot")
+    """Answers with the benchmark item they are dealt to, by its place among the ids: (conv_id, turn, question, answer, slot, reference), slot being the item's id."""
+    items = numbered(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("slot"), F.col("text").alias("reference")), "slot")
+    dealt = answers(spark, sf_dir).withColumn("place", F.col("conv_id") % F.lit(items.count()))
+    return dealt.join(small(items), "place").drop("place")
+
+
+def numbered(items: DataFrame, key: str) -> DataFrame:
+    """items with ``place``, from 0 in order of their key; for a bank, which one task orders."""
+    return items.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:

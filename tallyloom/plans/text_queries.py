@@ -145,27 +145,31 @@ def _fill_sql() -> str:
 _ACRONYM_LIST = [x for kv in D.ACRONYMS.items() for x in kv]
 
 
-@register(f"""{_GRADED}, f AS (SELECT conv_id, turn, main, CASE turn % 4 WHEN 1 THEN array_to_string({duck.tok("u")}[1:2], ' ') ELSE {duck.strings(_ACRONYM_LIST)}[1 + (conv_id + turn) % {len(_ACRONYM_LIST)}] END AS uf,
-  CASE turn % 4 WHEN 1 THEN array_to_string({duck.tok("u")}[2:3], ' ') ELSE {duck.strings(_ACRONYM_LIST)}[1 + (conv_id + turn + 1) % {len(_ACRONYM_LIST)}] END AS rf FROM s
+@register(f"""{_GRADED}, f AS (SELECT conv_id, turn, main, CASE turn % 4 WHEN 1 THEN array_to_string({duck.tok("u")}[1:2], ' ') WHEN 3 THEN u ELSE {duck.strings(_ACRONYM_LIST)}[1 + (conv_id + turn) % {len(_ACRONYM_LIST)}] END AS uf,
+  CASE WHEN turn % 4 IN (1, 3) THEN r ELSE {duck.strings(_ACRONYM_LIST)}[1 + (conv_id + turn + 1) % {len(_ACRONYM_LIST)}] END AS rf FROM s
 ), h AS (SELECT *, {_fill_sql()} AS fill FROM f), c AS (SELECT *, main * 0.7 + fill * 0.3 AS combined FROM h)
-SELECT conv_id, turn, uf, rf, fill, round(combined, 6) AS combined,
+SELECT conv_id, turn, md5(uf) AS uf, md5(rf) AS rf, fill, round(combined, 6) AS combined,
   (CASE WHEN fill > 0 AND main >= 0.7 THEN least(10, round_even(combined * 10, 0) + 1) ELSE round_even(combined * 10, 0) END)::INT AS marks FROM c""")
 def combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fill-ins, the blend with the main score, and marks."""
+    """Fill-ins, the blend with the main score, and marks.
+
+    A fill-in is the answer's first two words or the whole answer, against
+    the whole reference, or one of the abbreviations and their full forms.
+    """
     u, r, q = (F.col(c) for c in "urq")
     names = F.array(*map(F.lit, _ACRONYM_LIST))
-    own = F.col("turn") % 4 == 1
+    kind = F.col("turn") % 4
     at = (F.col("conv_id") + F.col("turn")).cast("int")
     rows = _graded(spark, sf_dir).select(
         "conv_id",
         "turn",
         S.main_score(u, r, q).alias("main"),
-        F.when(own, F.array_join(F.slice(T.tok(u), 1, 2), " ")).otherwise(F.get(names, at % len(_ACRONYM_LIST))).alias("uf"),
-        F.when(own, F.array_join(F.slice(T.tok(u), 2, 2), " ")).otherwise(F.get(names, (at + 1) % len(_ACRONYM_LIST))).alias("rf"),
+        F.when(kind == 1, F.array_join(F.slice(T.tok(u), 1, 2), " ")).when(kind == 3, u).otherwise(F.get(names, at % len(_ACRONYM_LIST))).alias("uf"),
+        F.when(kind.isin(1, 3), r).otherwise(F.get(names, (at + 1) % len(_ACRONYM_LIST))).alias("rf"),
     )
     rows = rows.withColumn("fill", S.fill_score(F.col("uf"), F.col("rf")))
     combined = S.combined_score(F.col("main"), F.col("fill"))
-    return rows.select("conv_id", "turn", "uf", "rf", "fill", F.round(combined, 6).alias("combined"), S.marks(F.col("main"), F.col("fill")).alias("marks"))
+    return rows.select("conv_id", "turn", F.md5("uf").alias("uf"), F.md5("rf").alias("rf"), "fill", F.round(combined, 6).alias("combined"), S.marks(F.col("main"), F.col("fill")).alias("marks"))
 
 
 # Session scores.
