@@ -14,7 +14,7 @@ stage; texts of any length are taken whole; rows that repeat a doc_id and its
 text are one document from the second stage on, rows that share only a doc_id
 are documents of their own; null ids come last among the ids of a group; an
 empty table gives an empty result.  The stages set two settings of the session,
-``BATCH``, to bound what goes to Python workers at once.  Other columns of ``documents`` are carried
+``BATCH``, to bound what goes to Python workers at once; ``run`` sets them back.  Other columns of ``documents`` are carried
 along whatever their names, also those of the stages' own results, up to the
 last stage, which reads doc_id and text only.
 """
@@ -106,12 +106,20 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; what a stage has written goes once the next one's rows are stored."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        with scratch_scope(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            delete(spark, before)
-        before = path
+    settings = {name: spark.conf.get(name, None) for name in BATCH}
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"stage-{name}")
+            with scratch_scope(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            before = path
+    finally:
+        for name, value in settings.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return docs

@@ -40,12 +40,12 @@ square of its different fingerprints or texts, spread over tasks.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,7 +237,7 @@ def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
-    names = np.array([zlib.crc32(w) << 32 | zlib.crc32(w, 0x5BD1E995) for w in number], dtype=np.uint64)[ids]
+    names = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)[ids]
     size = min(size, len(words))
     out = np.zeros(len(words) - size + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):

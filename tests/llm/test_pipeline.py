@@ -76,7 +76,9 @@ def brute_run(rows, trusted, items):
 
 def test_run_equals_brute_force(spark, corpus):
     path, texts, bench = corpus
+    settings = {name: spark.conf.get(name, None) for name in C.BATCH}
     got = C.run(spark, path).collect()
+    assert {name: spark.conf.get(name, None) for name in C.BATCH} == settings
     want = brute_run(list(texts.items()), set(range(0, 30, 2)), [(0, bench)])
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     filled = {}

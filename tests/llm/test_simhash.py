@@ -90,6 +90,14 @@ def test_wide_links_of_large_keys(spark, distance):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_words_that_a_short_checksum_confuses_are_apart(spark):
+    one, two = (" ".join([*(f"w{i}" for i in range(20)), word, *(f"v{i}" for i in range(20))]) for word in ("hhtscvbpu", "jnwusqgpc"))
+    assert len(set(S.shingle_set(one)) & set(S.shingle_set(two))) == 32
+    assert not set(S.shingle_set("hhtscvbpu")) & set(S.shingle_set("jnwusqgpc"))
+    rows = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert len({r.component for r in S.similar_groups(rows).collect()}) == 2
+
+
 def test_similar_groups_of_nothing(nothing, repeated):
     assert S.similar_groups(nothing).count() == 0
     assert len({r.component for r in S.similar_groups(repeated).collect()}) in (3, 4)
