@@ -85,6 +85,8 @@ ALLOWED_DOMAINS = ["wikipedia.org", "geeksforgeeks.org", "tutorialspoint.com", "
 BLOCKED_URL_WORDS = ["quiz", "mcq", "practice", "test", "question", "exam"]
 RELEVANCE_TERMS = ["process", "algorithm", "memory", "cpu", "thread", "database", "network", "operating system", "data structure", "synchronization", "deadlock"]
 DROPPED_TAGS = ["script", "style", "nav", "footer", "header"]
+#: Those of them whose content is no markup.
+RAW_TAGS = ["script", "style"]
 
 GATE_STARTERS = ["what", "how", "why", "describe", "explain", "compare", "discuss"]
 GATE_BAD_WORDS = ["generate", "create", "context", "material", "explain this"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.dictionaries import COMPANY_MARKS, DROPPED_TAGS, EXPERIENCE_LEVELS, RELEVANCE_TERMS, SECTION_HEADERS
+from tallyloom.functions.dictionaries import COMPANY_MARKS, DROPPED_TAGS, EXPERIENCE_LEVELS, RAW_TAGS, RELEVANCE_TERMS, SECTION_HEADERS
 from tallyloom.functions.text import any_of, bound, char_prefix, collapse, count_of, strip
 
 EMAIL = "[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+"
@@ -58,13 +58,38 @@ def section_of(line: Column) -> Column:
     return out
 
 
+_HEADS = "|".join(p for heads in SECTION_HEADERS.values() for p in heads).replace("\\s", "[^\\S\\n]")
+#: The start of a line that heads a section.
+HEADER_LINE = f"(?imd)^(?=[^\\n]*?(?:{_HEADS}))"
+#: Letters whose upper case holds ASCII letters; texts with these are looked at line by line.
+ODD_CASE = "[\u0131\u017f\u0149\u01f0\u1e96-\u1e9a\ufb00-\ufb06\x01]"
+_CUT = "\x01"
+
+
 def sections(x: Column) -> Column:
     """map(section, text): header lines drop out, other non-blank lines go to the section above, at first ``other``.
 
-    Headers are found once, and each section is a slice of the lines from one
-    header to the next, so the work is linear in the number of lines.
+    The text is cut before its header lines by one pattern, and only those
+    lines are asked which section they head.
     """
+    parts = F.split(F.regexp_replace(x, HEADER_LINE, _CUT), _CUT)
+    fast = F.transform(parts, lambda p, i: F.struct(F.when(i == 0, "other").otherwise(section_of(F.substring_index(p, "\n", 1))).alias("head"), _full_lines(F.when(i == 0, p).otherwise(F.regexp_replace(p, "^[^\n]*\n?", ""))).alias("text")))
+    return F.when(x.isNotNull(), bound(F.when(x.rlike(ODD_CASE), _parts_by_line(x)).otherwise(fast), _together))
+
+
+def _full_lines(x: Column) -> Column:
+    """Lines that are not blank, each with its end."""
+    return F.regexp_replace(F.concat(x, F.lit("\n")), "(?:^|(?<=\n))[ \t\r\f\x0B]*\n", "")
+
+
+def _together(parts: Column) -> Column:
     names = [*SECTION_HEADERS, "other"]
+    each = [F.array_join(F.transform(F.filter(parts, lambda p: p["head"] == n), lambda p: p["text"]), "") for n in names]
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*each))
+
+
+def _parts_by_line(x: Column) -> Column:
+    """array(struct(head, text)), every line asked; the work is linear in the number of lines."""
     lines = F.transform(F.split(x, "\n"), lambda s: F.struct(section_of(s).alias("head"), (strip(s) != "").alias("full"), F.concat(s, F.lit("\n")).alias("line")))
 
     def headers(all_lines: Column) -> Column:
@@ -76,12 +101,7 @@ def sections(x: Column) -> Column:
         own = F.filter(F.slice(all_lines, h["at"] + 2, end - h["at"] - 1), lambda e: e["full"])
         return F.struct(h["head"].alias("head"), F.array_join(F.transform(own, lambda e: e["line"]), "").alias("text"))
 
-    def together(parts: Column) -> Column:
-        each = [F.array_join(F.transform(F.filter(parts, lambda p: p["head"] == n), lambda p: p["text"]), "") for n in names]
-        return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*each))
-
-    parts = bound(lines, lambda all_lines: bound(headers(all_lines), lambda heads: F.transform(heads, lambda h, k: body(all_lines, heads, h, k))))
-    return F.when(x.isNotNull(), bound(parts, together))
+    return bound(lines, lambda all_lines: bound(headers(all_lines), lambda heads: F.transform(heads, lambda h, k: body(all_lines, heads, h, k))))
 
 
 def primary_focus(x: Column) -> Column:
@@ -148,16 +168,41 @@ def total_experience(jobs: Column) -> Column:
     return F.struct(years.alias("years"), F.when(known, experience_level(years)).otherwise("Unknown").alias("level"))
 
 
+def without_furniture(html: Column) -> Column:
+    """A page without comments, scripts, styles and page furniture.
+
+    What comes first counts: a comment in a script is script, a tag in a
+    comment is comment; unclosed ones reach to the end.  Furniture elements
+    nest: one ends with the end tag that balances the tags of its own name
+    since its start, or with the page.  The page is cut at furniture tags and
+    the pieces are folded, so the work follows the number of such tags.
+    """
+    raw = "|".join(["<!--.*?(?:-->|\\z)", *[f"<{t}(?:\\s[^>]*)?>.*?(?:</{t}\\s*>|\\z)" for t in RAW_TAGS]])
+    names = "|".join(t for t in DROPPED_TAGS if t not in RAW_TAGS)
+    bare = F.regexp_replace(F.translate(html, _CUT, ""), f"(?is){raw}", "")
+    pieces = F.split(F.regexp_replace(bare, f"(?i)(</?(?:{names})[\\s/>])", f"{_CUT}$1"), _CUT)
+    start = F.struct(F.lit("").alias("inside"), F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(state: Column, piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, f"(?i)^</?({names})[\\s/>]", 1))
+        ends = F.startswith(piece, F.lit("</"))
+        opens = (name != "") & ~ends & ~piece.rlike("^<[^>]*/>")
+        outside = state["depth"] == 0
+        depth = F.when(outside, F.when(opens, 1).otherwise(0)).when(name != state["inside"], state["depth"]).when(ends, state["depth"] - 1).when(opens, state["depth"] + 1).otherwise(state["depth"])
+        inside = F.when(outside, name).otherwise(state["inside"])
+        # Behind the tag that ends the furniture the page goes on.
+        text = F.when(depth > 0, state["text"]).otherwise(F.concat(state["text"], F.when(name != "", F.regexp_replace(piece, "^<[^>]*>?", " ")).otherwise(piece)))
+        return F.struct(inside.alias("inside"), depth.alias("depth"), text.alias("text"))
+
+    return F.aggregate(pieces, start, step)["text"]
+
+
 def html_paragraphs(html: Column) -> Column:
     """Text of the paragraphs outside scripts, styles and page furniture, as one line.
 
     A paragraph runs to its end tag or to the next start tag of one.
     """
-    x = html
-    for tag in DROPPED_TAGS:
-        x = F.regexp_replace(x, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", "")
-    x = F.regexp_replace(x, "(?s)<!--.*?-->", "")
-    parts = F.slice(F.split(x, "(?i)<p(?:\\s[^>]*)?>"), 2, 100_000_000)
+    parts = F.slice(F.split(without_furniture(html), "(?i)<p(?:\\s[^>]*)?>"), 2, 100_000_000)
     bodies = F.transform(parts, lambda p: F.element_at(F.split(p, "(?i)</p>", 2), 1))
     text = F.regexp_replace(F.array_join(bodies, " "), "<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -10,7 +10,7 @@ from tallyloom.functions import dictionaries as D
 from tallyloom.functions import extract as X
 from tallyloom.functions import scoring as S
 from tallyloom.functions import text as T
-from tallyloom.operators import matching, phrases
+from tallyloom.operators import matching, phrases, selection, training
 from tallyloom.plans import duck
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import bank, graded_answers, table
@@ -69,10 +69,17 @@ def date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paragraphs_sql() -> str:
-    x = "html"
-    for tag in D.DROPPED_TAGS:
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    raw = "|".join(["<!--.*?(?:-->|\\z)", *[f"<{t}(?:\\s[^>]*)?>.*?(?:</{t}\\s*>|\\z)" for t in D.RAW_TAGS]])
+    names = "|".join(t for t in D.DROPPED_TAGS if t not in D.RAW_TAGS)
+    bare = f"regexp_replace(replace(html, chr(1), ''), '(?is){raw}', '', 'g')"
+    pieces = f"string_split(regexp_replace({bare}, '(?i)(</?(?:{names})[\\s/>])', chr(1) || '\\1', 'g'), chr(1))"
+    name = f"lower(regexp_extract(e.piece, '(?i)^</?({names})[\\s/>]', 1))"
+    opens = f"({name} <> '' AND NOT starts_with(e.piece, '</') AND NOT regexp_matches(e.piece, '^<[^>]*/>'))"
+    depth = f"(CASE WHEN s.depth = 0 THEN {opens}::INT WHEN {name} <> s.inside THEN s.depth WHEN starts_with(e.piece, '</') THEN s.depth - 1 ELSE s.depth + {opens}::INT END)"
+    new = f"CASE WHEN {depth} > 0 THEN s.piece ELSE s.piece || CASE WHEN {name} <> '' THEN regexp_replace(e.piece, '^<[^>]*>?', ' ') ELSE e.piece END END"
+    part = "struct_pack(inside := '', depth := 0, piece := {})"
+    folded = f"list_reduce(list_prepend({part.format(repr(''))}, list_transform({pieces}, lambda q: {part.format('q')})), lambda s, e: struct_pack(inside := CASE WHEN s.depth = 0 THEN {name} ELSE s.inside END, depth := {depth}, piece := {new}))"
+    x = f"({folded}).piece"
     parts = f"string_split_regex({x}, '(?i)<p(?:\\s[^>]*)?>')[2:]"
     bodies = f"list_transform({parts}, lambda p: string_split_regex(p, '(?i)</p>')[1])"
     text = f"regexp_replace(array_to_string({bodies}, ' '), '<[^>]*>', '', 'g')"
@@ -408,6 +415,49 @@ def topic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", *[F.round(F.element_at("s", t), 6).alias(t) for t in D.TOPICS], chosen)
 
 
+# Trained classifiers.
+
+
+def _intent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, text, label, fold): questions with the intent that the rules give."""
+    rows = _questions(spark, sf_dir).withColumn("label", C.rule_intent(F.col("text")))
+    return selection.stratified_split(rows, "question_id", "label")
+
+
+def _first_step_sql() -> str:
+    labels = f"(SELECT unnest({duck.strings(D.INTENTS)}) AS label)"
+    return f"""WITH {_Q}, l AS (SELECT question_id, text, {duck.rule_intent('q')} AS label FROM folded),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (question_id * 7919 + 42) % 10007, question_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM l),
+t AS (SELECT question_id, label, {duck.tok("lower(text)")} AS w FROM k WHERE r > floor(n * 0.2)),
+n AS (SELECT label, greatest(count(question_id), 1) AS n FROM {labels} LEFT JOIN t USING (label) GROUP BY label),
+c AS (SELECT label, (SELECT sum(n) FROM n) / ({len(D.INTENTS)} * n) AS weight FROM n),
+e AS (SELECT question_id, label, weight, 1 / sqrt(len(w)) AS v, unnest(w) AS word FROM t JOIN c USING (label)),
+b AS (SELECT label, ('0x' || substr(md5(word), 1, 8))::BIGINT % {training.BUCKETS} AS bucket, sum(weight * v) AS s FROM e GROUP BY ALL
+  UNION ALL SELECT label, {training.BUCKETS}, sum(weight) FROM t JOIN c USING (label) GROUP BY label),
+g AS (SELECT o.label, bucket, sum(s * (1 / {len(D.INTENTS)} - (b.label = o.label)::INT)) / (SELECT sum(weight) FROM t JOIN c USING (label)) AS gradient FROM b, {labels} o GROUP BY ALL)
+SELECT label, bucket, round(gradient, 9) AS gradient FROM g WHERE abs(gradient) > 1e-9"""
+
+
+@register(_first_step_sql())
+def classifier_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted gradient that the first training step sums, by label and feature (the last one is the bias)."""
+    stored = io.kept(training.prepared(_intent_rows(spark, sf_dir), D.INTENTS, False), "hashed")
+    weights = training.class_weights(stored, D.INTENTS, False)
+    gradient, sums = training.summed(stored, training.np.zeros((len(D.INTENTS), training.BUCKETS + 1)), weights, False)
+    gradient = gradient / sums[training.WEIGHT]
+    cells = [(D.INTENTS[k], b, float(gradient[k, b])) for k, b in zip(*map(training.np.ndarray.tolist, abs(gradient).__gt__(1e-9).nonzero()))]
+    return spark.createDataFrame(cells, "label string, bucket long, gradient double").withColumn("gradient", F.round("gradient", 9))
+
+
+@register()
+def intent_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents of the held-out fold by a classifier trained on the other one."""
+    rows = _intent_rows(spark, sf_dir)
+    model = training.train(rows, D.INTENTS, lambda r: io.kept(r, "hashed"))
+    held = training.predict(model, rows.filter("fold = 'test'"))
+    return held.select("question_id", F.col("label").alias("intent"), "predicted", F.round("confidence", 6).alias("confidence"))
+
+
 # Answer bank.
 
 
