@@ -201,3 +201,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"tallyloom-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str = "kept") -> DataFrame:
+    """rows, stored in a folder of ``scratch`` and read back: for what is read many times."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
