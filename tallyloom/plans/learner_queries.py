@@ -10,7 +10,7 @@ from tallyloom.functions import scoring as S
 from tallyloom.functions.classify import by_score, label_index, multi_hot, top_label
 from tallyloom.functions.extract import experience_level
 from tallyloom.functions.vectors import as_double, cosine, sigmoid, softmax
-from tallyloom.operators import matching, metrics, profiles, selection, vector_index
+from tallyloom.operators import grading, matching, metrics, profiles, selection, vector_index
 from tallyloom.plans import duck
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import attempts, bank, numbered, table
@@ -438,6 +438,17 @@ def grader_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
 
 
+@register()
+def meta_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest trained on four fifths of the labelled grading rows, and its score of the others."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, (k * 37 % 101 / 100).alias("similarity"), (k * 53 % 101 / 100).alias("contradiction"), (k * 71 % 101 / 100).alias("entailment"), (k % 60).alias("n_words"))
+    rows = rows.withColumn("label", S.grader_label(F.col("n_words"), F.col("contradiction"), F.col("entailment"), F.col("similarity"), F.lit(0.5)))
+    rows = selection.random_split(rows, "o_orderkey")
+    model = grading.train_grader(rows.filter("fold = 'train'"))
+    return grading.grade(model, rows.filter("fold = 'test'")).select("o_orderkey", "label", "predicted")
+
+
 @register()
 def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 seeded rows (Spark's generator; rows only)."""

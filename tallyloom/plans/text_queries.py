@@ -10,7 +10,7 @@ from tallyloom.functions import dictionaries as D
 from tallyloom.functions import extract as X
 from tallyloom.functions import scoring as S
 from tallyloom.functions import text as T
-from tallyloom.operators import matching, phrases, selection, training
+from tallyloom.operators import matching, phrases, selection, semantics, training
 from tallyloom.plans import duck
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import bank, graded_answers, table
@@ -458,6 +458,59 @@ def intent_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("question_id", F.col("label").alias("intent"), "predicted", F.round("confidence", 6).alias("confidence"))
 
 
+# Vectors of text.
+
+#: Characters of a reference that an answer is compared with, which is the rule's length.
+_REFERENCE = 300
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, answer, reference): answers and the start of what they are graded against."""
+    return graded_answers(spark, sf_dir).select("conv_id", "turn", "answer", T.char_prefix(F.col("reference"), _REFERENCE).alias("reference"))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(F.array("answer", "reference")).alias("text"))
+
+
+@register()
+def semantic_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers against the first 300 characters of their reference, by latent semantic vectors of both texts."""
+    rows = _compared(spark, sf_dir)
+    model = semantics.fit(_texts(rows), io.kept, size=48)
+    found = semantics.similarity(model, rows, "answer", "reference").withColumn("similarity", F.round("similarity", 4))
+    return found.select("conv_id", "turn", "similarity", S.letter_grade(F.round(F.col("similarity") * 100, 2)).alias("grade"))
+
+
+_PLAIN = 256
+
+
+@register(f"""WITH {duck.ANSWERS}, t AS (SELECT conv_id, turn, side, {duck.tok("lower(x)")} AS w FROM (
+  SELECT conv_id, turn, 0 AS side, answer AS x FROM dealt UNION ALL SELECT conv_id, turn, 1, substr(reference, 1, {_REFERENCE}) FROM dealt)),
+e AS (SELECT conv_id, turn, side, ('0x' || substr(md5(word), 1, 8))::BIGINT % {_PLAIN} AS b FROM (SELECT conv_id, turn, side, unnest(w) AS word FROM t)),
+c AS (SELECT conv_id, turn, side, b, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT b, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY b),
+v AS (SELECT conv_id, turn, side, b, n * idf AS x FROM c JOIN i USING (b)), m AS (SELECT conv_id, turn, side, sqrt(sum(x * x)) AS size FROM v GROUP BY ALL),
+d AS (SELECT p.conv_id, p.turn, sum(p.x * q.x) AS dot FROM v p JOIN v q ON p.conv_id = q.conv_id AND p.turn = q.turn AND p.b = q.b AND p.side = 0 AND q.side = 1 GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(dot / (p.size * q.size), 0), 6) AS similarity FROM dealt LEFT JOIN d USING (conv_id, turn)
+  LEFT JOIN (SELECT * FROM m WHERE side = 0) p USING (conv_id, turn) LEFT JOIN (SELECT * FROM m WHERE side = 1) q USING (conv_id, turn)""")
+def tfidf_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same comparison in all directions of 256 hashed words, which is plain tf-idf."""
+    rows = _compared(spark, sf_dir)
+    model = semantics.fit(_texts(rows), io.kept, size=_PLAIN, buckets=_PLAIN, rounds=1)
+    whole = semantics.Model(model.idf, semantics.np.eye(_PLAIN), semantics.np.ones(_PLAIN))
+    return semantics.similarity(whole, rows, "answer", "reference").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+
+
+@register()
+def domain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The description (a benchmark text) nearest to the first 400 words of each document, by latent semantic vectors."""
+    rows = _documents(spark, sf_dir).withColumn("text", T.first_words(F.col("text"), 400))
+    targets = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), "text")
+    model = semantics.fit(rows.select("text").unionByName(targets.select("text")), io.kept, size=48)
+    found = semantics.best_targets(model, rows, targets)
+    return found.select("doc_id", F.col("target").alias("item_id"), F.round("cosine", 4).alias("cosine"))
+
+
 # Answer bank.
 
 
