@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructType
 from tallyloom.functions.extract import email, entities, phone, sections
 from tallyloom.functions.text import clean_lines, clean_text, extension, strip
 from tallyloom.operators.profiles import latest
+from tallyloom.sources import pdf
 
 QUESTIONS = "text string, intent string, difficulty string, topics array<string>"
 DOMAINS = "map<string,string>"
@@ -70,16 +71,23 @@ def docx_text(content: pd.Series) -> pd.Series:
 
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, raw_text, email, phone, entities, sections) of text, ATS and Word (docx) files.
+    """(path, format, raw_text, email, phone, entities, sections) of text, ATS, Word (docx) and PDF files.
 
-    Bytes that are no UTF-8 are replaced.  PDF files need a reader library
-    that is not part of this package; see ``parse_resumes`` for text that was
-    extracted elsewhere.
+    Bytes that are no UTF-8 are replaced; a PDF file that cannot be read has
+    no text.  See ``parse_resumes`` for text that was extracted elsewhere.
     """
     files = spark.read.format("binaryFile").load(path)
     ext = extension(F.col("path"))
     plain = files.filter(ext.isin("txt", "ats")).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return parse_resumes(plain.union(files.filter(ext == "docx").select("path", docx_text("content").alias("text"))))
+    word = files.filter(ext == "docx").select("path", docx_text("content").alias("text"))
+    pages = pdf.whole_texts(pdf.parse_pdf(files.filter(ext == "pdf"))).select("path", "text")
+    return parse_resumes(plain.union(word).union(pages))
+
+
+def pdf_chunks(spark: SparkSession, path: str, least: int = 20) -> DataFrame:
+    """(path, id, page, text): stripped pages of PDF files that are longer than ``least``; ids count the others too."""
+    rows = pdf.read_pdf(spark, path).filter("page IS NOT NULL").withColumn("text", strip(F.col("text")))
+    return rows.filter(F.length("text") > least).select("path", (F.col("page") - 1).alias("id"), "page", "text")
 
 
 def parse_resumes(rows: DataFrame) -> DataFrame:
