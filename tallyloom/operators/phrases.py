@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dictionaries import PHRASE_STOP_WORDS
 from tallyloom.functions.text import char_prefix, fold_marks, tok
+from tallyloom.operators import semantics
 
 #: See key_phrases.
 HOT = 1000
 
 
+def content_words(text: Column, chars: int = 2000) -> Column:
+    """The words of the first ``chars`` characters without stop words."""
+    stop = F.array(*map(F.lit, PHRASE_STOP_WORDS))
+    return F.filter(tok(fold_marks(char_prefix(text, chars))), lambda w: ~F.array_contains(stop, w))
+
+
 def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 15, chars: int = 2000) -> DataFrame:
     """(id, phrase, n, weight, place): the ``most`` one- and two-word phrases of the first ``chars`` characters by count times ln(documents / documents with it).
 
@@ -20,9 +33,7 @@ def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents by a shuffle: there are at most HOT * chars of those, and they
     are broadcast.
     """
-    stop = F.array(*map(F.lit, PHRASE_STOP_WORDS))
-    words = F.filter(tok(fold_marks(char_prefix(F.col(text_col), chars))), lambda w: ~F.array_contains(stop, w))
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    rows = docs.select(F.col(id_col).alias("id"), content_words(F.col(text_col), chars).alias("w"))
     less = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), less), F.slice("w", F.lit(2), less), lambda a, b: F.concat_ws(" ", a, b))
     both = F.concat("w", pairs)
@@ -37,3 +48,52 @@ def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = Window.partitionBy("id").orderBy(F.desc("weight"), "phrase")
     ranked = weighed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     return ranked.select("id", "phrase", "n", "weight", "place")
+
+
+def picked(relevance: np.ndarray, alike: np.ndarray, most: int, diversity: float) -> list[int]:
+    """Places by maximal marginal relevance: the most relevant first, then the best of relevance less likeness to what is picked; earlier places win ties."""
+    chosen: list[int] = []
+    nearest = np.full(len(relevance), -np.inf)
+    score = np.round(relevance, 9)
+    while len(chosen) < min(most, len(relevance)):
+        at = int(score.argmax())
+        chosen.append(at)
+        nearest = np.maximum(nearest, alike[at])
+        score = np.round((1 - diversity) * relevance - diversity * nearest, 9)
+        score[chosen] = -np.inf
+    return chosen
+
+
+def diverse_phrases(docs: DataFrame, model: semantics.Model, id_col: str = "doc_id", text_col: str = "text", most: int = 15, diversity: float = 0.5, chars: int = 2000) -> DataFrame:
+    """(id, phrase, relevance, place): up to ``most`` one- and two-word phrases near to the document's vector and far from each other.
+
+    Each row is worked out by itself; its phrases are bounded by ``chars``.
+    """
+    buckets, weighed = len(model.idf), model.idf[:, None] * model.directions
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((rows * rows).sum(axis=-1, keepdims=True))
+        return np.where(norm > 1e-9, rows / np.where(norm > 1e-9, norm, 1), 0.0)
+
+    def bucket(word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % buckets
+
+    @F.pandas_udf("array<struct<phrase:string,relevance:double>>")
+    def extract(words: pd.Series) -> pd.Series:
+        out = []
+        for own in words:
+            own = [] if own is None else list(own)
+            phrases = sorted({*own, *(f"{a} {b}" for a, b in zip(own, own[1:]))})
+            of = {w: weighed[bucket(w)] for w in set(own)}
+            v = unit(np.array([sum(of[w] for w in p.split()) for p in phrases]).reshape(len(phrases), weighed.shape[1]))
+            relevance = v @ unit(sum((of[w] for w in own), np.zeros(weighed.shape[1])))
+            chosen = picked(relevance, v @ v.T, most, diversity)
+            out.append([{"phrase": phrases[i], "relevance": round(float(relevance[i]), 6)} for i in chosen])
+        return pd.Series(out)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(extract(content_words(F.col(text_col), chars))).alias("place", "p"))
+    return rows.select("id", "p.phrase", "p.relevance", (F.col("place") + 1).alias("place"))
+
+
+# Tasks get these functions by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

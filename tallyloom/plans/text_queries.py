@@ -11,10 +11,10 @@ from tallyloom.functions import extract as X
 from tallyloom.functions import scoring as S
 from tallyloom.functions import text as T
 from tallyloom.operators import matching, phrases, selection, semantics, training
-from tallyloom.plans import duck
+from tallyloom.plans import duck, stages
 from tallyloom.plans.registry import Registry
-from tallyloom.plans.tables import bank, graded_answers, table
-from tallyloom.sources import io
+from tallyloom.plans.tables import BANK_TOPICS, bank, graded_answers, table
+from tallyloom.sources import io, pdf
 
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -117,13 +117,14 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded_answers(spark, sf_dir).select("conv_id", "turn", S.folded(F.col("answer")).alias("u"), S.folded(F.col("reference")).alias("r"), S.folded(F.col("question")).alias("q"))
 
 
-_GRADED = f"""WITH {duck.ANSWERS}, g AS (
+_GRADED_OF = f"""g AS (
   SELECT conv_id, turn, {duck.strip("answer")} AS u, {duck.strip("reference")} AS r, {duck.strip("question")} AS q FROM dealt
 ), l AS (SELECT conv_id, turn, lower(u) AS u, lower(r) AS r, lower(q) AS q FROM g
 ), o AS (SELECT *, {duck.shared("u", "r")} AS o, {duck.shared("u", "q")} AS p, {duck.n_words("u")} AS n FROM l
 ), m AS (SELECT *, length(u) < 5 OR {duck.has("u", D.GIBBERISH)} AS gibberish,
   least(0.99, (CASE WHEN o >= 3 THEN 0.85 + o * 0.05 WHEN o = 2 THEN 0.7 WHEN o = 1 THEN 0.5 WHEN p >= 2 AND n > 10 THEN 0.65 ELSE 0.2 END)::DOUBLE * (CASE WHEN n < 5 THEN 0.6 WHEN n > 50 THEN 1.05 ELSE 1.0 END)::DOUBLE) AS lexical FROM o
 ), s AS (SELECT *, (CASE WHEN gibberish THEN 0 WHEN length(u) < 8 THEN 0.25 ELSE lexical END)::DOUBLE AS main FROM m)"""
+_GRADED = f"WITH {duck.ANSWERS}, {_GRADED_OF}"
 
 
 @register(f"""{_GRADED} SELECT conv_id, turn, gibberish, round(lexical, 6) AS lexical, round(main, 6) AS main_score,
@@ -625,6 +626,37 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.page_chunks(rows).select("doc_id", "id", "page", F.md5("text").alias("digest"))
 
 
+_PDF_MAP = "begincodespacerange <0000> <FFFF> endcodespacerange beginbfrange <0020> <FFFD> <0020> endbfrange"
+_PDF_START = f"""%PDF-1.4
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+3 0 obj << /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >> endobj
+4 0 obj << /Length {len(_PDF_MAP)} >>
+stream
+{_PDF_MAP}
+endstream endobj
+"""
+
+
+@register(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, i AS id, {duck.strip("l[i + 1]")} AS t FROM l, unnest(range(0, len(l))) AS r(i))
+SELECT doc_id, id::INT AS id, (id + 1)::INT AS page, md5(t) AS digest FROM p WHERE length(t) > 20""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, a line a page, and their pages read back; short ones drop out but count."""
+    number = lambda i, k: (10 + 2 * i + k).cast("string")
+
+    def page(line: F.Column, i: F.Column) -> F.Column:
+        shown = F.concat(F.lit("BT /F1 1 Tf <"), F.hex(F.encode(F.translate(line, "\t\r", "  "), "UTF-16BE")), F.lit("> Tj ET"))
+        head = F.concat(number(i, 0), F.lit(" 0 obj << /Type /Page /Parent 2 0 R /Contents "), number(i, 1), F.lit(" 0 R >> endobj\n"))
+        return F.concat(head, number(i, 1), F.lit(" 0 obj << /Length "), F.length(shown).cast("string"), F.lit(" >>\nstream\n"), shown, F.lit("\nendstream endobj\n"))
+
+    lines = F.split("text", "\n")
+    kids = F.array_join(F.transform(lines, lambda _, i: F.concat(number(i, 0), F.lit(" 0 R"))), " ")
+    tree = F.concat(F.lit("2 0 obj << /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids ["), kids, F.lit("] >> endobj\n"))
+    content = F.concat(F.lit(_PDF_START), tree, F.array_join(F.transform(lines, page), ""))
+    files = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.encode(content, "UTF-8").alias("content"))
+    rows = pdf.parse_pdf(files).withColumn("text", T.strip(F.col("text"))).filter(F.length("text") > 20)
+    return rows.select(F.col("path").cast("long").alias("doc_id"), (F.col("page") - 1).alias("id"), "page", F.md5("text").alias("digest"))
+
+
 _HEADS = ["SUMMARY\n", "Work Experience:\n", "Technical  Skills\n", "EDUCATION\n", ""]
 
 
@@ -745,3 +777,64 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, phrase)
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C16 (a substitute): fifteen phrases of each document by term weight."""
     return phrases.key_phrases(table(spark, sf_dir, "documents"))
+
+
+@register()
+def diverse_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen phrases of each document by maximal marginal relevance over latent semantic vectors."""
+    rows = _documents(spark, sf_dir)
+    return phrases.diverse_phrases(rows, semantics.fit(rows, io.kept, size=48))
+
+
+# The whole way from a résumé to its session.
+
+_QUESTIONS_EACH = 3
+
+
+def workflow_stages(spark: SparkSession, sf_dir: str) -> list[stages.Stage]:
+    """Profiles of documents, questions of their topic, graded answers, sessions."""
+    known = F.array(*map(F.lit, BANK_TOPICS))
+
+    def profiles(_: dict) -> DataFrame:
+        x = F.col("text")
+        topic = F.get(F.filter(C.rule_topics(x), lambda t: F.array_contains(known, t)), 0)
+        dealt = F.get(known, (F.col("doc_id") % len(BANK_TOPICS)).cast("int"))
+        return _documents(spark, sf_dir).select("doc_id", F.coalesce(topic, dealt).alias("topic"), X.email(x).alias("email"), "text")
+
+    def questions(rows: dict) -> DataFrame:
+        items = bank(spark, sf_dir).select("question_id", "topic", F.col("text").alias("reference"))
+        order = Window.partitionBy("doc_id").orderBy(selection.draw_key(F.col("doc_id"), F.col("question_id")), "question_id")
+        asked = rows["profiles"].select("doc_id", "topic").join(matching.small(items), "topic")
+        return asked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _QUESTIONS_EACH)
+
+    def answers(rows: dict) -> DataFrame:
+        both = rows["questions"].join(rows["profiles"].select("doc_id", "text"), "doc_id")
+        u, r = S.folded(F.col("text")), S.folded(F.col("reference"))
+        return both.select("doc_id", "question_id", S.main_score(u, r, F.lit("")).alias("score"))
+
+    def sessions(rows: dict) -> DataFrame:
+        means = rows["answers"].groupBy("doc_id").agg(F.count("*").alias("answers"), F.round(F.avg("score"), 6).alias("mean_score"))
+        found = rows["profiles"].select("doc_id", "topic", "email").join(means, "doc_id", "left")
+        return found.select("doc_id", "topic", "email", F.coalesce("answers", F.lit(0)).alias("answers"), "mean_score", S.score_feedback(F.col("mean_score")).alias("feedback"))
+
+    Stage = stages.Stage
+    return [
+        Stage("profiles", profiles, metrics={"with_email": F.count("email")}),
+        Stage("questions", questions),
+        Stage("answers", answers, metrics={"best": F.max("score")}),
+        Stage("sessions", sessions),
+    ]
+
+
+@register(f"""WITH {duck.BANK}, p AS (SELECT doc_id, text, nullif(regexp_extract(text, {duck.lit(X.EMAIL)}), '') AS email,
+  coalesce(list_filter({duck.rule_topics(duck.fold_case("text"))}, lambda t: list_contains({duck.strings(BANK_TOPICS)}, t))[1], {duck.strings(BANK_TOPICS)}[1 + doc_id % {len(BANK_TOPICS)}]) AS topic FROM documents),
+k AS (SELECT doc_id, question_id, p.text AS answer, b.text AS reference, row_number() OVER (PARTITION BY doc_id ORDER BY (question_id * 31 + doc_id * 17) % 1009, question_id) AS place FROM p JOIN bank b USING (topic)),
+dealt AS (SELECT doc_id AS conv_id, question_id AS turn, '' AS question, answer, reference FROM k WHERE place <= {_QUESTIONS_EACH}), {_GRADED_OF},
+a AS (SELECT conv_id AS doc_id, count(*) AS answers, round(avg(main), 6) AS mean_score FROM s GROUP BY conv_id)
+SELECT doc_id, topic, email, coalesce(answers, 0) AS answers, mean_score,
+  {duck.banded("mean_score", [(0.85, "excellent"), (0.70, "good"), (0.50, "partially correct"), (0.25, "weak")], "incorrect")} AS feedback FROM p LEFT JOIN a USING (doc_id)""")
+def interview_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """résumé to topic to questions to session, broken off after two stages and taken up again."""
+    path, steps = io.scratch(spark, "workflow"), workflow_stages(spark, sf_dir)
+    stages.run(spark, path, steps[:2])
+    return stages.run(spark, path, steps)["sessions"]

@@ -44,6 +44,9 @@ _GLYPHS = dict(
 )
 
 
+_NO_FONT: dict = {}
+
+
 class Name(str):
     pass
 
@@ -124,6 +127,7 @@ class Reader:
 class Document:
     def __init__(self, data: bytes):
         self.objects: dict[int, object] = {}
+        self.fonts: dict[int, Font] = {}
         head, at = re.compile(rb"(\d+)\s+\d+\s+obj\b"), 0
         while m := head.search(data, at):
             reader = Reader(data, m.end())
@@ -205,6 +209,12 @@ class Document:
             found = [(o, self.dict_of(o.get("Resources"))) for _, o in sorted(self.objects.items(), key=lambda x: x[0]) if isinstance(o, dict) and o.get("Type") == "Page"]
         return found
 
+    def font(self, head: dict) -> Font:
+        """The decoder of a font, made once."""
+        if id(head) not in self.fonts:
+            self.fonts[id(head)] = Font(self, head)
+        return self.fonts[id(head)]
+
     def page_text(self, page: dict, resources: dict) -> str:
         contents = self.get(page.get("Contents"))
         parts = contents if isinstance(contents, list) else [contents]
@@ -214,7 +224,7 @@ class Document:
 
     def _run(self, content: bytes, resources: dict, lines: list[str], depth: int) -> None:
         fonts, forms = self.dict_of(resources.get("Font")), self.dict_of(resources.get("XObject"))
-        decode, reader, stack, y = Font(self, {}), Reader(content), [], None
+        decode, reader, stack, y = self.font(_NO_FONT), Reader(content), [], None
 
         def newline() -> None:
             if lines[-1]:
@@ -231,7 +241,7 @@ class Document:
             op = bytes(v)
             numbers = [x for x in stack if isinstance(x, (int, float))]
             if op == b"Tf" and stack:
-                decode = Font(self, self.dict_of(fonts.get(next((x for x in stack if isinstance(x, Name)), ""))))
+                decode = self.font(self.dict_of(fonts.get(next((x for x in stack if isinstance(x, Name)), ""))) or _NO_FONT)
             elif op == b"Tj" and stack:
                 show(stack[-1])
             elif op == b"TJ" and stack and isinstance(stack[-1], list):
@@ -268,6 +278,8 @@ class Font:
 
     def __init__(self, document: Document, font: dict):
         self.map: dict[bytes, str] = {}
+        #: (first code, last code, what the first one stands for)
+        self.ranges: list[tuple[bytes, bytes, bytes]] = []
         self.size = 2 if font.get("Subtype") == "Type0" else 1
         unicode_map = document.decoded(document.get(font.get("ToUnicode")))
         if unicode_map:
@@ -295,21 +307,28 @@ class Font:
         for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
             values = _values(block)
             for low, high, to in zip(values[::3], values[1::3], values[2::3]):
-                first, n = int.from_bytes(low, "big"), int.from_bytes(high, "big") - int.from_bytes(low, "big") + 1
-                for k in range(min(n, 65536)):
-                    if isinstance(to, list):
-                        new = text(to[k]) if k < len(to) else ""
-                    else:
-                        new = text((int.from_bytes(to, "big") + k).to_bytes(len(to), "big"))
-                    self.map[(first + k).to_bytes(len(low), "big")] = new
+                if isinstance(to, list):
+                    first = int.from_bytes(low, "big")
+                    self.map.update({(first + k).to_bytes(len(low), "big"): text(t) for k, t in enumerate(to[: int.from_bytes(high, "big") - first + 1])})
+                else:
+                    self.ranges.append((low, high, to))
+
+    def _of(self, code: bytes) -> str:
+        """What a code stands for; asked once."""
+        for low, high, to in self.ranges:
+            if len(low) == len(code) and low <= code <= high:
+                return (int.from_bytes(to, "big") + int.from_bytes(code, "big") - int.from_bytes(low, "big")).to_bytes(len(to), "big").decode("utf-16-be", "replace")
+        return code.decode(self.codec, "replace") if self.size == 1 else ""
 
     def __call__(self, s: bytes) -> str:
-        if not self.map and self.size == 1:
+        if not self.map and not self.ranges and self.size == 1:
             return s.decode(self.codec, "replace")
-        out = []
+        known, out = self.map, []
         for i in range(0, len(s), self.size):
             code = s[i : i + self.size]
-            out.append(self.map[code] if code in self.map else code.decode(self.codec, "replace") if self.size == 1 else "")
+            if code not in known:
+                known[code] = self._of(code)
+            out.append(known[code])
         return "".join(out)
 
 

@@ -59,7 +59,7 @@ def add_up(keys: list[str], sums: list[str], least: tuple[str, ...] = ()) -> Com
     return combine
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
+def files_of(spark: SparkSession, path: str) -> tuple:
     """(file system, maker of paths, file context) for a path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     make = jvm.org.apache.hadoop.fs.Path
@@ -67,7 +67,7 @@ def _files(spark: SparkSession, path: str) -> tuple:
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    fs, make, _ = _files(spark, path)
+    fs, make, _ = files_of(spark, path)
     folder = make(f"{path}/manifest")
     if not fs.exists(folder):
         return []
@@ -86,7 +86,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
 
 
 def _commit(spark: SparkSession, path: str, state: dict) -> None:
-    fs, make, context = _files(spark, path)
+    fs, make, context = files_of(spark, path)
     part = make(f"{path}/manifest/.{uuid.uuid4().hex}")
     out = fs.create(part, False)
     out.write(bytearray(json.dumps(state).encode()))
@@ -160,7 +160,7 @@ def merge(rows: DataFrame, path: str, keys: list[str], combine: Combine, batch:
         both = _stored(spark, path, state, touched).unionByName(rows.select(*columns))
         merged = combine(both).select(*columns).withColumn("bucket", place)
         merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
-        fs, make, _ = _files(spark, path)
+        fs, make, _ = files_of(spark, path)
         left = {s.getPath().getName() for s in fs.listStatus(make(f"{path}/data/{folder}"))}
         for b in touched:
             folders.pop(str(b), None)
@@ -177,7 +177,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     if not known:
         return []
     used = {f for v in known[-keep:] for f in manifest(spark, path, v)["buckets"].values()}
-    fs, make, _ = _files(spark, path)
+    fs, make, _ = files_of(spark, path)
     for v in known[:-keep]:
         fs.delete(make(f"{path}/manifest/{v:09d}.json"), False)
     data = make(f"{path}/data")

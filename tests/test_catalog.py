@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, duck, tiny, name):
 
 
 def test_only_random_rows_lack_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"synthetic_rows"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"synthetic_rows", "intent_classifier", "semantic_grade", "domain_match", "diverse_phrases", "meta_grader"}
 
 
 def test_synthetic_rows_are_seeded(spark, tiny):
