@@ -58,7 +58,9 @@ def section_of(line: Column) -> Column:
     return out
 
 
-_HEADS = "|".join(p for heads in SECTION_HEADERS.values() for p in heads).replace("\\s", "[^\\S\\n]")
+_EVERY_HEAD = [p for heads in SECTION_HEADERS.values() for p in heads]
+#: Those that hold no other one: a line that has any of all has one of these.
+_HEADS = "|".join(p for p in _EVERY_HEAD if not any(q in p for q in _EVERY_HEAD if q != p)).replace("\\s", "[^\\S\\n]")
 #: The start of a line that heads a section.
 HEADER_LINE = f"(?imd)^(?=[^\\n]*?(?:{_HEADS}))"
 #: Letters whose upper case holds ASCII letters; texts with these are looked at line by line.

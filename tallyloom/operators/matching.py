@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,7 +49,14 @@ def _grams(x: Column, size: int) -> Column:
     return F.when(F.length(x) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
-def containment(texts: DataFrame, parts: DataFrame) -> DataFrame:
+def lengths(rows: DataFrame, x: str, *others: Column) -> Row:
+    """One row about a text column: ``longest``, ``total`` characters, ``sizes`` of the substrings that stand for its rows, and other aggregates."""
+    n = F.length(x)
+    found = F.collect_set(F.when(n > 0, F.least(n, F.lit(GRAM))))  # GRAM values at most
+    return rows.agg(F.coalesce(F.max(n), F.lit(0)).alias("longest"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), found.alias("sizes"), *others).first()
+
+
+def containment(texts: DataFrame, parts: DataFrame, about_texts: Row | None = None, about_parts: Row | None = None) -> DataFrame:
     """(text_id, part_id) for every text that contains a part.
 
     texts: (text_id, text); parts: (part_id, part), none of them empty.  A
@@ -61,16 +68,20 @@ def containment(texts: DataFrame, parts: DataFrame) -> DataFrame:
     Work is linear in the characters of the texts plus the pairs compared;
     there is no pair of a text and a part without a common substring, no
     bound on either side, and the text itself is shuffled once, by text_id.
+    What ``lengths`` says of both sides may be given if it is known.
     """
-    sizes = [r[0] for r in parts.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect()]  # GRAM rows at most
+    about_texts, about_parts = about_texts or lengths(texts, "text"), about_parts or lengths(parts, "part")
+    parts = parts.filter(F.length("part") <= about_texts.longest)
+    size, sizes = F.least(F.length("part"), F.lit(GRAM)), sorted(about_parts.sizes)
     if not sizes:
         return texts.sparkSession.createDataFrame([], StructType([texts.schema["text_id"], parts.schema["part_id"]]))
-    every = F.flatten(F.array(*[_grams(F.col("text"), s) for s in sorted(sizes)]))
-    held = texts.select("text_id", F.explode(every).alias("gram"))
+    own = parts.select("part_id", F.explode(F.coalesce(*[F.when(size == s, _grams(F.col("part"), s)) for s in sizes])).alias("gram"))
+    every = F.flatten(F.array(*[_grams(F.col("text"), s) for s in sizes]))
+    grams = own.select("gram").distinct()
+    # Only what some part has goes on, before anything of the texts is shuffled if that is little.
+    held = texts.select("text_id", F.explode(every).alias("gram")).join(F.broadcast(grams) if about_parts.total <= BROADCAST_ROWS else grams, "gram")
     known = held.groupBy("gram").agg(F.count("*").alias("texts"))
-    size = F.least(F.length("part"), F.lit(GRAM))
-    own = F.coalesce(*[F.when(size == s, _grams(F.col("part"), s)) for s in sorted(sizes)])
-    asked = parts.select("part_id", F.explode(own).alias("gram")).join(known, "gram", "left")
+    asked = own.join(known, "gram", "left")
     rarest = asked.groupBy("part_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("least")).filter("least.texts > 0")
     chosen = rarest.select("part_id", F.col("least.gram").alias("gram")).join(parts, "part_id")
     met = held.join(chosen, "gram").select("text_id", "part_id", "part")
@@ -93,25 +104,28 @@ def bank_match(questions: DataFrame, bank: DataFrame, least: float = 0.18) -> Da
     named = questions.select("question_id", fold_marks(F.col("text")).alias("q"))
     q = named.select("q").distinct().withColumn("qw", bank_words(F.col("q")))
     b = bank.select("pos", fold_marks(F.col("pattern")).alias("p")).withColumn("pw", bank_words(F.col("p"))).withColumn("n", F.size(tok(F.col("p"))))
-    equal = q.join(small(b), F.col("q") == F.col("p")).groupBy("q").agg(F.min("pos").alias("e_pos"))
+    longest = F.min(F.struct((-F.col("n")).alias("n"), "pos"))
+    alone = F.min(F.struct((-F.round(F.least(F.lit(1.0), F.size("pw") / 6) * 0.3, 9)).alias("s"), "pos"))
+    counts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("pw")), F.lit(0)).alias("words")]
+    about = lengths(b, "p", *counts, F.min(F.when(F.col("p") != "", F.struct((-F.col("n")).alias("n"), "pos"))).alias("first"), alone.alias("bare"))
+    about_q = lengths(q, "q")
+    equal = q.join(F.broadcast(b) if about.rows <= BROADCAST_ROWS else b, F.col("q") == F.col("p")).groupBy("q").agg(F.min("pos").alias("e_pos"))
     full, asked = b.filter("p <> ''"), q.filter("q <> ''")
-    around = containment(asked.select(F.col("q").alias("text_id"), F.col("q").alias("text")), full.select(F.col("pos").alias("part_id"), F.col("p").alias("part")))
-    within = containment(full.select(F.col("pos").alias("text_id"), F.col("p").alias("text")), asked.select(F.col("q").alias("part_id"), F.col("q").alias("part")))
+    around = containment(asked.select(F.col("q").alias("text_id"), F.col("q").alias("text")), full.select(F.col("pos").alias("part_id"), F.col("p").alias("part")), about_q, about)
+    within = containment(full.select(F.col("pos").alias("text_id"), F.col("p").alias("text")), asked.select(F.col("q").alias("part_id"), F.col("q").alias("part")), about, about_q)
     pairs = around.select(F.col("text_id").alias("q"), F.col("part_id").alias("pos")).union(within.select(F.col("part_id").alias("q"), F.col("text_id").alias("pos")))
-    longest = F.min(F.struct((-F.col("n")).alias("n"), "pos"))
     held = pairs.join(b.select("pos", "n"), "pos").groupBy("q").agg(longest["pos"].alias("c_pos"))
-    first = full.agg(longest["pos"]).first()[0]  # one row
+    first, bare = about.first and about.first.pos, about.bare
     per_word = b.select("pos", F.size("pw").alias("np"), F.explode("pw").alias("w"))
     overlap = (
         q.select("q", F.size("qw").alias("nq"), _boosted(F.col("qw")).alias("boost"), F.explode("qw").alias("w"))
-        .join(small(per_word), "w")
+        .join(F.broadcast(per_word) if about.words <= BROADCAST_ROWS else per_word, "w")
         .groupBy("q", "nq", "boost", "pos", "np")
         .agg(F.count("*").alias("o"))
     )
     score = F.col("o") / (F.col("np") + F.col("nq") - F.col("o")) * 0.7 + F.least(F.lit(1.0), F.col("np") / 6) * 0.3 + F.col("o") * 0.1 + F.when(F.col("boost"), 0.25).otherwise(0.0)
     ranked = F.struct((-F.round(score, 9)).alias("s"), "pos")
     shared = overlap.groupBy("q").agg(F.min(ranked).alias("own"))
-    bare = b.agg(F.min(F.struct((-F.round(F.least(F.lit(1.0), F.size("pw") / 6) * 0.3, 9)).alias("s"), "pos"))).first()[0]
     out = q.select("q").join(equal, "q", "left").join(held, "q", "left").join(shared, "q", "left")
     if bare is not None:
         out = out.withColumn("own", F.least("own", F.struct(F.lit(bare.s).alias("s"), F.lit(bare.pos).cast(b.schema["pos"].dataType).alias("pos"))))
