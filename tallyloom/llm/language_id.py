@@ -21,7 +21,8 @@ and its language stay.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without any labelled row that has a word all texts are; rows that repeat a doc_id are
-labelled each on their own text; an empty table gives an empty result.
+labelled each on their own text; texts of any length are labelled whole;
+other columns are dropped; an empty table gives an empty result.
 
 Scale: three scans for the sample, which shuffle keys only, and one for the
 labels; the model has a fixed size.

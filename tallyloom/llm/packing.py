@@ -19,7 +19,9 @@ of offsets give.  A length has as many salts as its count asks for, so no
 group has many more than ``RANKED`` pieces, or a ``MOST_GROUPS``th of all.
 
 Defined results: null and empty texts are one id long; rows that repeat a
-doc_id are packed each on their own; an empty table gives an empty result.
+doc_id are packed each on their own; texts of any length are encoded whole
+and cut into pieces; other columns are dropped; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Law ``bytes``: shard sizes are near equal.  Slots count from 0 in key order
 within each shard.
 
 Defined results: null text has no bytes and the checksum of an empty one;
-rows that repeat a doc_id are records of their own; an empty table gives an
+rows that repeat a doc_id are records of their own; texts of any length are
+one record; other columns are dropped; an empty table gives an
 empty result; all sizes are at least ``overhead``, so empty texts spread too.
 
 Scale: text is read once for size and checksums; what is sorted and summed is

@@ -18,7 +18,9 @@ members, so the work is linear in the size of the key.
 
 Defined results: null and wordless texts have fingerprint zero and are
 linked like any other; rows that repeat a doc_id give a row each with the
-fingerprint of their own text; an empty table gives an empty result.
+fingerprint of their own text; a row without an id takes the least id of its
+group, and a group without any id has none; texts of any length are taken
+whole; other columns are dropped; an empty table gives an empty result.
 
 Scale: text is read once and not shuffled; 33 numbers a document are.
 

@@ -15,7 +15,8 @@ training rows that come first by hash; the training rows are those whose
 crc32(id as text) mod 4 is not 2.
 
 Defined results: null and wordless texts get the score of no evidence; rows
-that repeat a doc_id are scored each on their own text; without labelled rows
+that repeat a doc_id are scored each on their own text; texts of any length
+are scored whole; other columns are dropped; without labelled rows
 all scores equal the prior; an empty table gives an empty result.
 
 Scale: three scans, no shuffle of text, time linear in a text's length however
