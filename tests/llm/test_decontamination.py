@@ -1,4 +1,7 @@
+import pickle
+
 import brute
+import numpy as np
 import pytest
 
 from tallyloom.llm import decontamination as D
@@ -32,6 +35,36 @@ def test_both_ways_agree(docs, rows, spark):
     assert one == {tuple(map(str, r)) for r in D.scan(docs, bench, max_words=0).select(columns).collect()}
 
 
+def test_the_set_is_small_and_flat():
+    rng = np.random.default_rng(3)
+    words = [b"w%07x" % i for i in rng.integers(0, 1 << 28, 200_000)]
+    table = D.WindowSet(((str(i), words[i : i + 50]) for i in range(0, len(words), 50)), 10)
+    assert table.nbytes < 100 * len(words) and len(pickle.dumps(table)) < 100 * len(words)
+    short = D.WindowSet(((str(i), words[i : i + 1]) for i in range(len(words))), 10)
+    assert short.nbytes < 100 * len(words)
+    places, items = table.hits([b"x", *words[100:115], b"x", *words[110:118]])
+    assert (places, items) == ([(i, 10) for i in range(1, 7)], ["100"])
+
+
+def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
+    monkeypatch.setattr(D, "_rolled", lambda ids, size: np.zeros(len(ids) - size + 1, dtype=np.uint64))
+    items = [("a", b"one two three".split()), ("b", b"four five six".split()), ("c", b"one two three".split()), (None, b"six five four".split())]
+    table = D.WindowSet(items, 3)
+    assert table.hits(b"one two three four five six".split()) == ([(0, 3), (3, 3)], ["a", "b", "c"])
+    assert table.hits(b"two three four".split()) == ([], [])
+    assert table.hits(b"six five four".split()) == ([(0, 3)], [])
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_bytes": 1000}, {"max_words": 0}])
+def test_a_window_of_very_many_items_and_documents(spark, bounds):
+    hot = "one two three four five six seven eight nine ten"
+    items = [(i, hot) for i in range(300)] + [(300, "eleven twelve")]
+    docs = spark.createDataFrame([(i, f"{hot} and {hot} x{i}") for i in range(200)] + [(200, "eleven twelve")], SCHEMA)
+    got = D.scan(docs, spark.createDataFrame(items, "item_id long, text string"), **bounds)
+    counts = {(r.n_hit, r.n_items): r["count"] for r in got.groupBy("n_hit", "n_items").count().collect()}
+    assert counts == {(20, 300): 200, (2, 1): 1}
+
+
 def test_spans_go_and_the_rest_stays(spark):
     docs = spark.createDataFrame([(1, "É bon: (one two three four five six seven eight nine ten) fin"), (2, "clean text")], SCHEMA)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
