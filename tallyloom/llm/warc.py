@@ -24,10 +24,12 @@ a null page_id is written without an id and revisits like any other, in a
 shard by its digest; other columns are left out whatever their names; an
 empty table gives an archive without files.
 
-Scale: html is shuffled once; a revisit's html is not shuffled at all.  Sizes
-and digests are written once and all that is counted comes from them.  The
-table of repeated payloads is broadcast while it has at most
-``MAX_BROADCAST_GROUPS`` rows and joined by shuffle beyond.
+Scale: html is shuffled once.  Sizes and digests are written once and all that
+is counted or decided comes from them.  While the repeated payloads are
+``max_broadcast_groups`` or fewer they are broadcast, and a revisit's html is
+not shuffled at all; beyond, what is decided on the keys goes to the shards
+beside the pages and meets them in the sorted writer, so that html takes part
+in no join.
 """
 
 from __future__ import annotations
@@ -60,34 +62,39 @@ END = gzip.compress(b"", mtime=0)
 #: A fixed date, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
+PAGE = ["page_id", "url", "html", "size", "digest"]
+
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha1 string, first_id string, last_id string"
 
 
-def classified(pages: DataFrame, keys: DataFrame, revisit_bytes: int = REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, size, digest, refers_to): refers_to is set for revisits, whose html is dropped.  keys: page_id, size and digest of all pages."""
-    rows = pages.select(
-        named(id_col).alias("page_id"),
-        named(url_col).alias("url"),
-        F.coalesce(named(html_col), F.lit("")).alias("html"),
-    ).withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
-    groups = (
-        keys.filter(F.col("size") >= revisit_bytes)
-        .groupBy("digest", "size")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-        .filter("n > 1 AND keeper IS NOT NULL")
-        .drop("n")
-    )
-    groups = written(groups, "groups")
-    if groups.count() <= MAX_BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
+def repeated(keys: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """(digest, size, keeper) of each payload that more than one page has; keeper is the page that is its response."""
+    groups = keys.filter(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    return written(groups.filter("n > 1 AND keeper IS NOT NULL").drop("n"), "groups")
+
+
+def classified(pages: DataFrame, keys: DataFrame, groups: DataFrame, broadcast: bool) -> DataFrame:
+    """(page_id, url, html, size, digest, refers_to, decision) in no order.
+
+    With ``broadcast`` a page gets its refers_to here, and a revisit's html is
+    dropped.  Without, what is decided on the keys is a row of its own,
+    marked ``decision``, to be met by its pages in ``_in_order``: so html takes part in no join.
+    """
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return (
-        rows.join(groups, ["digest", "size"], "left")
-        .withColumn("refers_to", F.when(other, F.col("keeper")))
-        .withColumn("html", F.when(~other, F.col("html")))
-        .select("page_id", "url", "html", "size", "digest", "refers_to")
-    )
+    if broadcast:
+        told = pages.join(F.broadcast(groups), ["digest", "size"], "left").withColumn("refers_to", F.when(other, F.col("keeper")))
+        return told.withColumn("html", F.when(~other, F.col("html"))).select(*PAGE, "refers_to", F.lit(False).alias("decision"))
+    kinds = dict(pages.dtypes)
+    none = F.lit(None).cast(kinds["page_id"]).alias("refers_to")
+    decided = keys.join(groups, ["digest", "size"]).filter(other).select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "digest", F.col("keeper").alias("refers_to"), F.lit(True).alias("decision"))
+    # Repeated rows may give a decision more than once, which changes nothing.
+    return pages.select(*PAGE, none, F.lit(False).alias("decision")).unionByName(decided)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """By id within a shard, a decision right before its pages; a decision has a url only for pages without an id."""
+    return rows.sortWithinPartitions("page_id", "digest", F.when(F.col("page_id").isNull(), F.col("url")), F.col("decision").desc(), "url")
 
 
 def _base32(digest: str) -> str:
@@ -163,13 +170,16 @@ def write_warc(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
+    max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
 ) -> DataFrame:
     """Write pages under ``path``, a folder URI that driver and executors share; gives the manifest."""
     spark = pages.sparkSession
     ship(spark)
-    html = F.coalesce(named(html_col), F.lit(""))
-    keys = written(pages.select(named(id_col).alias("page_id"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest")), "page-keys")
-    rows = classified(pages, keys, revisit_bytes, id_col, url_col, html_col)
+    own = pages.select(named(id_col).alias("page_id"), named(url_col).alias("url"), F.coalesce(named(html_col), F.lit("")).alias("html"))
+    own = own.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
+    keys = written(own.select("page_id", F.when(F.col("page_id").isNull(), F.col("url")).alias("url"), "size", "digest"), "page-keys")
+    groups = repeated(keys, revisit_bytes)
+    rows = classified(own, keys, groups, groups.count() <= max_broadcast_groups)
     total, count = keys.agg(F.sum("size"), F.count("*")).first()
     shards = min(MAX_DRAWN // 4, max(1, -(-((total or 0) + 500 * count) // shard_bytes)))
     ids = keys.filter("page_id IS NOT NULL").select("page_id")
@@ -185,13 +195,20 @@ def write_warc(
     shard = F.pmod(F.xxhash64("digest", "url"), F.lit(shards)).cast("int")  # of pages without an id
     if drawn:
         shard = F.when(F.col("page_id").isNull(), shard).otherwise(shard_of(F.coalesce("page_id", F.lit(drawn[0]))))
-    dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("page_id", "digest", "url")
+    dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _File | None = None
+        told: tuple = ()  # of the last decision: what it is about, and the response
         for batch in batches:
-            for shard, page_id, *rest in zip(*[batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers_to")]):
-                member = gzip.compress(record(page_id, *rest), 6, mtime=0)
+            for shard, page_id, url, html, size, digest, refers_to, decision in zip(*[batch.column(c).to_pylist() for c in ("shard", *PAGE, "refers_to", "decision")]):
+                about = page_id, digest, url if page_id is None else None
+                if decision:
+                    told = about, refers_to
+                    continue
+                if told and told[0] == about:
+                    html, refers_to = None, told[1]
+                member = gzip.compress(record(page_id, url, html, size, digest, refers_to), 6, mtime=0)
                 if now and (now.shard != shard or now.bytes + len(member) > roll_bytes):
                     yield now.rows()
                     now = _File(shard, now.seq + 1 if now.shard == shard else 0)
@@ -202,7 +219,7 @@ def write_warc(
 
     # A row of the text writer is any bytes; with this charset its end is, too.
     data = f"{path}/_temporary-{uuid.uuid4().hex}"
-    files = dealt.mapInArrow(make, "file string, content binary").select("file", F.col("content").cast("string").alias("value"))
+    files = _in_order(dealt).mapInArrow(make, "file string, content binary").select("file", F.col("content").cast("string").alias("value"))
     files.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", END.decode("latin-1")).text(data)
     return _commit(spark, path, data)
 

@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import warc as W
 
@@ -47,6 +48,25 @@ def test_same_rows_same_bytes(spark, pages, tmp_path):
     assert head == [b"WARC/1.1", b"WARC-Type: warcinfo"]
 
 
+def test_decisions_that_outgrow_a_broadcast(spark, pages, tmp_path):
+    more = pages.union(spark.createDataFrame([(402, "again", "é" * 700), (403, "again", "é" * 700), (None, None, "é" * 700), (None, "n", "<p>the same</p>" * 100)], pages.schema))
+    for name, own in (("a", {}), ("b", {"max_broadcast_groups": 0})):
+        W.write_warc(more, f"file://{tmp_path}/{name}", roll_bytes=5000, shard_bytes=40_000, **own)
+    a, b = ({p.name: p.read_bytes() for p in (tmp_path / n).glob("*.warc.gz")} for n in "ab")
+    assert a == b and len(a) > 1
+    assert sum(r.record_type == "revisit" for r in W.read_warc(spark, f"file://{tmp_path}/b").collect()) == 39 + 5
+
+
+def test_html_takes_part_in_no_join(spark):
+    own = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
+    keys = W.written(own.select("page_id", F.lit(None).cast("string").alias("url"), "size", "digest"), "keys")
+    rows = W.classified(own, keys, W.repeated(keys), broadcast=False).repartitionById(4, F.lit(0))
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    exchanges = [block.split("Arguments:")[0] for block in plan.split("\n\n") if ") Exchange" in block.split("\n")[0]]
+    assert sum("html" in e for e in exchanges) == 1
+    assert not any("html" in block for block in plan.split("\n\n") if "Join" in block.split("\n")[0])
+
+
 def test_changed_files_are_found_out(spark, pages, tmp_path):
     path = f"file://{tmp_path}/a"
     W.write_warc(pages, path)
