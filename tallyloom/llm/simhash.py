@@ -33,10 +33,13 @@ million of them, 84 up to 10 billion).  What is linked so is a candidate
 only: within each closure of such links, texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more are linked, and the
 components of these links are the groups.  Keys over ``bucket_limit`` and
-closures of any size are compared in blocks of bounded size, all against all,
-and a pair of blocks gives no more links than join its members; so no link is
-lost and no pairs are emitted.  Work on a key or a closure grows with the
-square of its different fingerprints or texts, spread over tasks.
+closures of any size are compared in blocks of bounded size, and a pair of
+blocks gives no more links than join its members; so no link is lost and no
+pairs are emitted.  A closure of more than one block is cut into bands by the
+size of a text's set first, and a band is compared with itself and the next
+only, as sets further apart cannot be that similar.  Work on a key or a band
+grows with the square of its different fingerprints or texts, spread over
+tasks.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import BLANK_GAP, LOWER, UPPER, ascii_lower, id_and_text, ship, small_batches, split_words, written
@@ -292,9 +295,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("closure"), batch.column("node"), pa.array(sets, pa.binary())], names=["closure", "node", "shingles"])
 
     sets = written(chosen.mapInArrow(shingles, "closure long, node long, shingles binary"), "shingles")
-    sizes = sets.groupBy("closure").agg(F.ceil(F.sum(F.octet_length("shingles") + 16) / BLOCK_BYTES).cast("int").alias("blocks"))
-    placed = sets.join(sizes, "closure").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = placed.groupBy("closure", "blocks", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("texts"))
+    layout = _layout(sets, similarity)
+    placed = sets.withColumn("size", _size_class(similarity)).join(layout, ["closure", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = placed.groupBy("closure", "band", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("texts"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 20):
@@ -306,13 +309,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 links += [(names[i], others[j]) for i, j in similar_pairs(a, b, similarity) if forest.joins(names[i], others[j])]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    across = _pairs_of_blocks(blocks, ["closure"], "texts")
+    one, two = (blocks.select("closure", F.col("band").alias(n), F.col("block").alias(i), F.col("texts").alias(m)) for n, i, m in (("p", "i", "a"), ("q", "j", "b")))
+    across = _block_pairs(layout).join(one, ["closure", "p", "i"]).join(two, ["closure", "q", "j"]).select("a", "b")
     links = blocks.select("texts").mapInArrow(verify, "a long, b long").union(across.mapInArrow(verify, "a long, b long"))
     groups = connected_components(links)
     least = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
     return least.join(groups, "node", "left").select(F.col("node").alias("text_hash"), F.col("least.doc_id").alias("doc_id"), F.coalesce("root", "node").alias("component"))
 
 
+def _size_class(similarity: float) -> Column:
+    """The logarithm of a set's size in steps of a little over 1 / similarity: sets that similar are of one class or of neighbouring ones.  Empty sets are of class 0."""
+    n = F.octet_length("shingles") / 8
+    return F.when(n > 0, F.floor(F.log(n) / math.log(1.01 / similarity)).cast("int") + 1).otherwise(0)
+
+
+def _layout(sets: DataFrame, similarity: float) -> DataFrame:
+    """(closure, size, band, blocks): the size classes of a closure of more than one block are its bands, each cut into blocks; any other closure is one block in band -1."""
+    sizes = sets.groupBy("closure", _size_class(similarity).alias("size")).agg(F.sum(F.octet_length("shingles") + 16).alias("bytes"))
+    large = F.sum("bytes").over(Window.partitionBy("closure")) > BLOCK_BYTES
+    blocks = F.when(F.col("large"), F.ceil(F.col("bytes") / BLOCK_BYTES)).otherwise(1).cast("int").alias("blocks")
+    return sizes.withColumn("large", large).select("closure", "size", F.when(F.col("large"), F.col("size")).otherwise(-1).alias("band"), blocks)
+
+
+def _block_pairs(layout: DataFrame) -> DataFrame:
+    """(closure, p, i, q, j): block i of band p is to be compared with block j of band q, which is p or the next; each pair of different blocks once."""
+    bands = layout.filter("band >= 0").select("closure", F.col("band").alias("p"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    within = bands.select("closure", "p", "i", F.col("p").alias("q"), "blocks", F.explode(F.sequence(F.col("i") + 1, F.col("blocks"))).alias("j")).filter("j < blocks").drop("blocks")
+    following = layout.filter("band >= 0").select("closure", (F.col("band") - 1).alias("p"), F.col("blocks").alias("others"))
+    between = bands.join(following, ["closure", "p"]).select("closure", "p", "i", (F.col("p") + 1).alias("q"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
+    return within.unionByName(between)
+
+
 def _sifted(rows: DataFrame, members: DataFrame) -> DataFrame:
     """rows without most of those whose node is no member, by a bitmap of ``BITMAP_WORDS`` words at most, so that their texts are not shuffled."""
     word = lambda: F.pmod(F.shiftright("node", 6), F.lit(BITMAP_WORDS))

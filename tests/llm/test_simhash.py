@@ -77,6 +77,33 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, limit, block):
     assert sum(want[i] == want[j] for i, j in near) >= 0.95 * len(near) > 100
 
 
+def test_texts_of_many_sizes_in_one_closure(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 3000)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(7)) for _ in range(700)]
+    texts = [" ".join(words[:n]) for n in [*range(20, 700, 15), *range(500, 700, 7)]]
+    got = {r.text_hash: r.component for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [got[(brute.xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)] for t in texts]
+    want = brute.similar_groups(texts)
+    assert all((found[i] == found[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+    assert 1 < len(set(want)) < len(set(texts))
+
+
+def test_sets_as_similar_are_in_neighbouring_bands(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 4000)
+    sizes = [0, 0, *range(1, 400, 3)]
+    sets = spark.createDataFrame([(1, k, bytes(8 * n)) for k, n in enumerate(sizes)] + [(2, k, bytes(80)) for k in range(3)], "closure long, node long, shingles binary")
+    layout = S._layout(sets, 0.8)
+    rows = {(r.closure, r["size"]): r for r in layout.collect()}
+    assert [(r.band, r.blocks) for k, r in rows.items() if k[0] == 2] == [(-1, 1)]
+    classes = {r.node: r["size"] for r in sets.filter("closure = 1").select("node", S._size_class(0.8).alias("size")).collect()}
+    assert all(abs(classes[i] - classes[j]) <= 1 for i, a in enumerate(sizes) for j, b in enumerate(sizes) if a and b and min(a, b) >= 0.8 * max(a, b))
+    blocks = [(r.band, i) for (c, _), r in rows.items() if c == 1 for i in range(r.blocks)]
+    want = sorted((*x, *y) for x in blocks for y in blocks if x < y and y[0] - x[0] <= 1)
+    assert sorted((r.p, r.i, r.q, r.j) for r in S._block_pairs(layout).collect()) == want
+    assert len(want) < len(blocks) * (len(blocks) - 1) / 4
+
+
 @pytest.mark.parametrize("distance", [3, 4])
 def test_wide_links_of_large_keys(spark, distance):
     rng = random.Random(2)
