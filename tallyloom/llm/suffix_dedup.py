@@ -21,12 +21,13 @@ rank of a longer string, until ``length`` is reached:
     is a repeat.
 
 Hot seeds, such as a line that stands in a third of all documents, are never
-kept in one group.  A first scan counts seeds in ``BUCKETS`` buckets; those of
-a bucket far above the mean are grouped by seed and context in step 2, and
-theirs and others with more than ``HOT_CONTEXTS`` contexts have their
-positions dealt out by the name of their string in step 3, where those that
-repeat another of the same batch are settled before the shuffle.  Both ways
-give the same result.
+kept in one group.  A first scan finds them by lossy counting (``hot_seeds``);
+they are grouped by seed and context in step 2, and they and others with more
+than ``HOT_CONTEXTS`` contexts have their positions dealt out by the name of
+their string in step 3, where those that repeat another of the same batch are
+settled before the shuffle.  Both ways give the same result.  So no group of
+step 2 has more rows than ``HOT_ROWS``, a ``SHARE``-th of all positions, or two
+a batch of ``BUFFER`` bytes, whichever is most.
 
 Names are pairs of 64-bit hashes, 128 bits in all: seed and context, half
 string and seed, or two names of one string.
@@ -61,10 +62,9 @@ SEED = 32
 HOT_CONTEXTS = 1024
 #: Contexts whose positions are ranked at once; a seed is never parted.
 CONTEXTS_AT_ONCE = 3_000
-#: Seeds are counted in so many buckets; one with more than HOT_ROWS and OVER times the mean is hot.
-BUCKETS = 1 << 16
+#: A seed is hot with more positions than HOT_ROWS and than a SHARE-th of all.
 HOT_ROWS = 4096
-OVER = 8
+SHARE = 1 << 17
 #: What is known of a winnowed position: nothing, that it repeats another of its task, or that its seed is hot.
 OPEN, DONE, HOT = 0, 1, 2
 #: What judged positions and the rows around them are.
@@ -196,30 +196,48 @@ class Winnowed:
         self.done[order] = (self.at[order] != self.at[first]) | (own_id[order] != own_id[first]) | (copy[order] != copy[first])
 
 
-def _bucket(g: np.ndarray) -> np.ndarray:
-    """By the low bits: winnowed seeds are the least of many, so their high bits are alike."""
-    return (g % np.uint64(BUCKETS)).astype(np.int64)
+def hot_seeds(docs: DataFrame, length: int, seed: int, hot_rows: int, share: int = SHARE) -> np.ndarray:
+    """Names of the seeds that stand far more often than others, sorted: lossy counting.
 
+    Of a batch of N positions only seeds with ``N / (2 * share)`` places, two at
+    least, are sent on, so little is shuffled and a sum falls short by less than
+    that a batch (``missed`` in all).  Every seed with more places than T, the most
+    of ``hot_rows``, a ``share``-th of all and twice ``missed``, is found; what is
+    found has more than half of T, so there are ``2 * share`` seeds at most.
+    """
 
-def hot_buckets(docs: DataFrame, length: int, seed: int, hot_rows: int) -> np.ndarray:
-    """For each bucket of seeds whether it holds far more winnowed positions than others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS, dtype=np.int64)
+    def count(rows: list[tuple], _: pa.DataType) -> Iterator[pa.RecordBatch]:
+        some = Winnowed(rows, length, seed)
+        g, n = np.unique(some.g[~some.done], return_counts=True)
+        total = int(n.sum())
+        least = max(2, -(-total // (2 * share)))
+        often = n >= least
+        yield from _sliced(
+            pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(g[often].view(np.int64)), pa.nulls(1, pa.int64())]),
+                    pa.array(np.append(n[often], total)),
+                    pa.array(np.append(np.zeros(often.sum(), dtype=np.int64), least - 1)),
+                ],
+                names=["g", "n", "missed"],
+            )
+        )
 
-        def count(rows: list[tuple], _: pa.DataType) -> Iterator[pa.RecordBatch]:
-            some = Winnowed(rows, length, seed)
-            sums[:] += np.bincount(_bucket(some.g[~some.done]), minlength=BUCKETS)
-            yield from ()
+    sent = docs.select("doc_id", "copy", "text").mapInArrow(_texts_of(length, count), "g long, n long, missed long")
+    sums = written(sent.groupBy("g").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed")), "seeds")
+    every = sums.filter("g IS NULL").first()
+    if every is None:
+        return np.zeros(0, dtype=np.uint64)
+    line = max(hot_rows, every.n // share, 2 * every.missed) - every.missed
+    found = sums.filter(F.col("g").isNotNull() & (F.col("n") > line)).select("g").toArrow()  # 2 * share rows at most
+    return np.sort(found["g"].to_numpy().view(np.uint64))
 
-        yield from _texts_of(length, count)(batches)
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["bucket", "n"])
 
-    counts = docs.select("doc_id", "copy", "text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    sums = np.zeros(BUCKETS, dtype=np.int64)
-    sums[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    return sums > max(hot_rows, OVER * sums.mean())
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _anchors(docs: DataFrame, length: int, seed: int, hot: np.ndarray) -> DataFrame:
@@ -229,7 +247,7 @@ def _anchors(docs: DataFrame, length: int, seed: int, hot: np.ndarray) -> DataFr
 
     def anchors(rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         some = Winnowed(rows, length, seed)
-        is_hot = known.value[_bucket(some.g)] & ~some.done
+        is_hot = _among(some.g, known.value) & ~some.done
         with np.errstate(over="ignore"):
             spread = _mixed(some.at.astype(np.uint64) + some.owner.astype(np.uint64) * np.uint64(_STEP))
             g = np.where(some.done, spread, np.where(is_hot, _mixed(some.g + some.c * np.uint64(_STEP)), some.g))
@@ -461,7 +479,7 @@ def dedup(
     ship(docs.sparkSession)
     text = named(text_col)
     own = docs.select(named(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("copy"), *carried(docs, keep))
-    anchors = _anchors(own, length, seed, hot_buckets(own, length, seed, hot_rows))
+    anchors = _anchors(own, length, seed, hot_seeds(own, length, seed, hot_rows))
     judged = written(_judged(anchors, hot_contexts), "judged")
     found = _repeats(_contexts(own, judged.filter(F.col("kind") != REPEATED), length, seed), length)
     around = judged.filter(F.col("kind") == REPEATED).select("doc_id", "copy", (F.col("at") + (seed - length)).alias("first"), (F.col("at") + length).alias("last"))

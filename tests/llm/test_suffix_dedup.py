@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 
 from tallyloom.llm import suffix_dedup as S
@@ -38,6 +40,28 @@ def test_one_line_in_all_documents(spark, hot_rows):
     assert got == brute.repeated_bytes(rows)
 
 
+@pytest.mark.parametrize("hot_rows, share", [(40, 1 << 17), (0, 1 << 17), (0, 16)])
+def test_hot_seeds(spark, hot_rows, share):
+    """All seeds above the line are found and nothing below half of it, of lines that stand 3 to 800 times."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    texts = [word(150) + line + word(150) for line in [word(100) for _ in range(6)] for _ in range(3 * 3 ** rng.randint(0, 5))]
+    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy long").repartition(5)
+    parts = docs.rdd.glom().collect()
+    true, total = Counter(), 0
+    for part in parts:
+        known = S.Winnowed([(r.doc_id, 0, np.frombuffer(r.text.encode(), dtype=np.uint8)) for r in sorted(part)], 100, 32)
+        true.update(known.g[~known.done].tolist())
+        total += int((~known.done).sum())
+    missed = sum(max(2, -(-n // (2 * share))) - 1 for n in [total // 5] * 5)
+    line = max(hot_rows, total // share, 2 * missed)
+    got = S.hot_seeds(docs, 100, 32, hot_rows, share).tolist()
+    assert got == sorted(set(got)) and len(got) <= 2 * share
+    assert {g for g, n in true.items() if n > line * 1.2} <= set(got) <= {g for g, n in true.items() if n > line * 0.4}
+    assert S.hot_seeds(docs.limit(0), 100, 32, hot_rows, share).tolist() == []
+
+
 def test_texts_under_one_id_are_told_apart(spark):
     """Texts whose hashes agree in their low 16 bits."""
     rng = random.Random(8)
