@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from tallyloom.functions import dictionaries as D
 from tallyloom.functions.text import fold_marks, tok
 from tallyloom.functions.vectors import as_double, cosine, l2_squared, relevance
+from tallyloom.operators import neighbours
 
 #: Rows of a broadcast side, checked before the hint is given.
 BROADCAST_ROWS = 50_000
@@ -147,16 +148,21 @@ def _boosted(words: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, by: str = "l2") -> DataFrame:
     """(query_id, rank, vec_id, score, relevance): exact k nearest; ties by vec_id.
 
-    queries and vectors: (vec_id, embedding).  Each task keeps k rows a query
-    (a rank limit before the shuffle), so what moves is k rows a query and
-    task.  Queries ride along, a block at a time if they are many.
+    queries and vectors: (vec_id, embedding).  Queries ride along in blocks,
+    and tasks find their k best by matrix products (``neighbours``), so what
+    moves is k rows a query and task.  A pair without both vectors has no
+    score and comes last, by vec_id.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), as_double(F.col("embedding")).alias("q"))
-    v = vectors.select("vec_id", as_double(F.col("embedding")).alias("v"))
-    score = l2_squared(F.col("q"), F.col("v")) if by == "l2" else cosine(F.col("q"), F.col("v"))
-    pairs = reduce(DataFrame.union, [v.join(part).select("query_id", "vec_id", F.round(score, 6).alias("score")) for part in blocks(q, "query_id")])
-    order = Window.partitionBy("query_id").orderBy(F.col("score") if by == "l2" else F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    q = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = F.coalesce(F.size("embedding"), F.lit(0)) > 0
+    v = neighbours.dealt_out(vectors.select("vec_id", "embedding").filter(whole))
+    found = [neighbours.best(v, block, k, by).select("query_id", "vec_id", F.round("score", 6).alias("score")) for block in neighbours.blocks(q)]
+    # Pairs without a score fill up what is left of the k: the smallest ids will do.
+    least = lambda rows: F.broadcast(rows.select("vec_id").orderBy("vec_id").limit(k))
+    for asked, others in ((q.filter(whole), vectors.filter(~whole)), (q.filter(~whole), vectors)):
+        found.append(asked.select("query_id").crossJoin(least(others)).withColumn("score", F.lit(None).cast("double")))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("score") if by == "l2" else F.desc_nulls_last("score"), "vec_id")
+    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", F.round(relevance(F.col("score")), 6).alias("relevance"))
 
 
