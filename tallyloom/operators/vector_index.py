@@ -6,17 +6,17 @@ reads only the folders that some query probes, by partition pruning, scores
 what it finds exactly and keeps the best.
 
 A search is approximate with ``probes`` cells a query; their number is found
-when the index is written, from the exact neighbours of a sample.  With ``exact`` it
-goes on: the k-th score found so far bounds the distance of anything better,
-and a cell whose centre is farther away than that bound and the cell's
-radius cannot hold it.  The cells that may are read as well, so the
-result equals a comparison with all vectors.
+when the index is written, from the exact neighbours of a sample.  With ``exact``
+a part of them gives a bound first: the k-th score found there bounds the
+distance of anything better, and a cell whose centre is farther away than that
+bound and the cell's radius cannot hold it.  The cells that may are read, so
+the result equals a comparison with all vectors.
 
 Scale: centres are at most ``MAX_CELLS``, learned from ``ROWS_A_CELL`` rows a
 cell at most, first by hash of the id; all rows are assigned and stored.
-Crowded cells are written by several tasks.  Queries ride along if they
-are few and otherwise meet the vectors by cell; a task keeps k
-rows a query before anything is shuffled.
+Crowded cells are written by several tasks.  Queries ride along in blocks
+with a bit for each cell that they probe, and tasks find their k best by
+matrix products (``neighbours``); a task keeps k rows a query before anything is shuffled.
 
 Defined results: rows without a vector are not stored and queries without
 one find nothing; an empty table gives an index that finds nothing; ties go
@@ -26,16 +26,21 @@ to the smaller id; vectors of zeros have cosine 0 with all.
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.vectors import as_double, cosine, l2_squared, relevance
-from tallyloom.operators.matching import small
+from tallyloom.functions.vectors import as_double, relevance
+from tallyloom.operators import neighbours
 
 MAX_CELLS = 4096
 ROWS_A_CELL = 256
@@ -47,6 +52,8 @@ RECALL = 0.95
 CELL = "cell int, centre array<double>, radius double, n long, by string"
 #: Scores are rounded to six digits, which the bound of an exact search allows for.
 SLACK = 2e-6
+#: Of the cells that a search by default probes, the part that an exact one takes its bound from.
+BOUND_SHARE = 4
 
 
 def _unit(v: Column) -> Column:
@@ -56,7 +63,7 @@ def _unit(v: Column) -> Column:
 
 def write_index(vectors: DataFrame, path: str, by: str = "l2", cells: int | None = None, seed: int = 42, recall: float = RECALL, keep: tuple[str, ...] = ()) -> None:
     """Store (vec_id, embedding, kept columns) under ``path``; by: l2 or cosine; cells: the square root of the number of rows by default; recall: what a search by default is to find."""
-    own = vectors.select("vec_id", "embedding", *keep).filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    own = neighbours.dealt_out(vectors.select("vec_id", "embedding", *keep).filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)))
     spark, total = vectors.sparkSession, own.count()
     cells = max(2, min(cells or math.isqrt(total), MAX_CELLS))
     own = own.withColumn("_v", as_double(F.col("embedding")))
@@ -97,33 +104,45 @@ def _centre_rows(spark: SparkSession, centres: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
 
 
-def _routes(queries: DataFrame, cells: list, by: str) -> DataFrame:
-    """(query_id, q, route): all cells of a query, nearest first, with the least distance of a vector within."""
-    numbers = np.array([c.cell for c in cells], dtype=np.int32)
-    centres, radii = np.array([c.centre for c in cells]), np.array([c.radius for c in cells])
+def _distances(block: neighbours.Block, cells: list) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, distances of queries from there on to the centres of all cells), some queries at a time."""
+    centres = np.array([c.centre for c in cells])
+    squares = (centres * centres).sum(axis=1)
+    for i in range(0, len(block.matrix), neighbours.PIECE_QUERIES):
+        q = block.matrix[i : i + neighbours.PIECE_QUERIES]
+        if cells[0].by == "cosine":
+            norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
+            q = q / np.where(norm > 0, norm, 1)
+        yield i, np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + squares - 2 * q @ centres.T, 0))
 
-    @F.pandas_udf("array<struct<cell:int,least:double>>")
-    def route(q: pd.Series) -> pd.Series:
-        out = []
-        for v in q:
-            if v is None:
-                out.append(None)
-                continue
-            v = np.asarray(v, dtype=float)
-            norm = np.sqrt(v @ v)
-            d = np.sqrt(((centres - (v / norm if by == "cosine" and norm else v)) ** 2).sum(axis=1))
-            order = np.argsort(d, kind="stable")
-            out.append([{"cell": int(numbers[i]), "least": max(0.0, float(d[i] - radii[i]))} for i in order])
-        return pd.Series(out)
 
-    q = queries.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("query_id"), as_double(F.col("embedding")).alias("q"))
-    return q.withColumn("route", route("q"))
+def _nearest_cells(block: neighbours.Block, cells: list, probes: int) -> np.ndarray:
+    """Bits of the queries, a row a cell: whether it is one of their ``probes`` nearest."""
+
+    def few(d: np.ndarray) -> np.ndarray:
+        out = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(out, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
+        return out
+
+    return np.concatenate([np.packbits(few(d).T, axis=1) for _, d in _distances(block, cells)], axis=1)
+
+
+def _cells_within(block: neighbours.Block, cells: list, bound: np.ndarray) -> np.ndarray:
+    """The same for the cells that may hold a vector within the bound of a query."""
+    radii = np.array([c.radius for c in cells])
+    size = max(float(np.abs(np.array([c.centre for c in cells])).max()), float(np.abs(block.matrix).max(initial=0)))
+    slack = 1e-6 * (1 + size)  # of distances that are differences of squares
+    return np.concatenate([np.packbits((d - radii - slack <= bound[i : i + len(d), None]).T, axis=1) for i, d in _distances(block, cells)], axis=1)
+
+
+def _folders(spark: SparkSession, path: str, wanted: list) -> DataFrame:
+    return spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin(wanted))
 
 
 def probed(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
     """The stored vectors of the distinct cells in column ``cell``, which are at most ``MAX_CELLS``; other folders are not read."""
     wanted = [r.cell for r in cells.select("cell").distinct().collect()]
-    return spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin(wanted))
+    return _folders(spark, path, wanted)
 
 
 def _stored_probes(spark: SparkSession, path: str) -> int:
@@ -133,16 +152,16 @@ def _stored_probes(spark: SparkSession, path: str) -> int:
 def probes_for(spark: SparkSession, path: str, sample: DataFrame, k: int = 5, recall: float = RECALL) -> int:
     """The least number of cells to probe that finds the share ``recall`` of the exact neighbours of a bounded sample of queries."""
     cells = spark.read.schema(CELL).parquet(f"{path}/cells").collect()
-    routes = _routes(sample, cells, cells[0].by)
-    found = _searched(spark, path, routes, cells, k, len(cells), False).select("query_id", "cell")
-    place = F.array_position("route.cell", F.col("cell")).alias("place")
-    counts = dict(found.join(routes, "query_id").groupBy(place).count().collect())  # a row a cell at most
-    total, upto = sum(counts.values()), 0
-    for no in range(1, len(cells) + 1):
-        upto += counts.get(no, 0)
-        if upto >= recall * total:
-            return no
-    return len(cells)
+    places, numbers = {}, [c.cell for c in cells]
+    own = list(neighbours.blocks(_asked(sample)))  # of a bounded sample
+    for block in own:
+        for i, d in _distances(block, cells):
+            for query, order in zip(block.ids[i : i + len(d)].to_pylist(), np.argsort(d, axis=1, kind="stable")):
+                places[query] = {numbers[c]: place for place, c in enumerate(order, 1)}
+    counts = np.zeros(len(cells) + 1)
+    for r in _searched(spark, path, own, cells, k, len(cells), False).select("query_id", "cell").collect():
+        counts[places[r.query_id][r.cell]] += 1
+    return max(1, int(np.searchsorted(np.cumsum(counts), recall * counts.sum())))
 
 
 def read_share(spark: SparkSession, path: str, queries: DataFrame, probes: int | None = None) -> float:
@@ -151,17 +170,20 @@ def read_share(spark: SparkSession, path: str, queries: DataFrame, probes: int |
     if not cells:
         return 0.0
     probes = probes or _stored_probes(spark, path)
-    pairs = _routes(queries, cells, cells[0].by).select(F.explode(F.slice("route.cell", 1, probes)).alias("cell"))
-    wanted = {r.cell for r in pairs.distinct().collect()}
-    return sum(c.n for c in cells if c.cell in wanted) / sum(c.n for c in cells)
+    met = [np.bitwise_or.reduce(_nearest_cells(block, cells, probes), axis=1) > 0 for block in neighbours.blocks(_asked(queries))]
+    return sum(c.n for c, m in zip(cells, np.any(met, axis=0)) if m) / sum(c.n for c in cells) if met else 0.0
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _best(spark: SparkSession, path: str, pairs: DataFrame, k: int, by: str) -> DataFrame:
-    """The k best of (query_id, q, cell) pairs."""
-    v = as_double(F.col("embedding"))
-    score = F.round(l2_squared(F.col("q"), v) if by == "l2" else cosine(F.col("q"), v), 6)
-    rows = probed(spark, path, pairs).join(small(pairs), "cell").withColumn("score", score).drop("q", "embedding")
-    return _ranked(rows, k, by)
+def _best(spark: SparkSession, path: str, block: neighbours.Block, bits: np.ndarray, cells: list, k: int, limits: np.ndarray | None = None) -> DataFrame:
+    """The k best of each query among the cells whose bit it has."""
+    row, n, by = {c.cell: i for i, c in enumerate(cells)}, len(block.matrix), cells[0].by
+    rows = _folders(spark, path, [c.cell for c, b in zip(cells, bits) if b.any()])
+    found = neighbours.best(rows, block, k, by, lambda c: np.unpackbits(bits[row[c]], count=n).astype(bool), limits)
+    return _ranked(found.withColumn("score", F.round("score", 6)), k, by)
 
 
 def _ranked(rows: DataFrame, k: int, by: str) -> DataFrame:
@@ -179,22 +201,39 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probe
         none = spark.createDataFrame([], "rank int, vec_id long, score double, relevance double")
         return queries.limit(0).select(F.col("vec_id").alias("query_id")).join(none, F.col("query_id") == F.col("vec_id"))
     probes = probes or _stored_probes(spark, path)
-    found = _searched(spark, path, _routes(queries, cells, cells[0].by), cells, k, probes, exact)
+    found = _searched(spark, path, neighbours.blocks(_asked(queries)), cells, k, probes, exact)
     kept = [c for c in found.columns if c not in ("query_id", "rank", "vec_id", "score", "cell")]
     return found.select("query_id", "rank", "vec_id", "score", F.round(relevance(F.col("score")), 6).alias("relevance"), *kept)
 
 
-def _searched(spark: SparkSession, path: str, routes: DataFrame, cells: list, k: int, probes: int, exact: bool) -> DataFrame:
+def _searched(spark: SparkSession, path: str, blocks: Iterable[neighbours.Block], cells: list, k: int, probes: int, exact: bool) -> DataFrame:
     """(query_id, rank, vec_id, score, cell, kept columns)."""
-    by = cells[0].by
-    pair = lambda part: routes.select("query_id", "q", F.explode(part).alias("c")).select("query_id", "q", "c.*")
-    first = pair(F.slice("route", 1, probes)).drop("least")
-    found = _best(spark, path, first, k, by)
-    if exact and len(cells) > probes:
-        worst = found.groupBy("query_id").agg(F.count("*").alias("n"), (F.max("score") if by == "l2" else F.min("score")).alias("score"))
-        squared = F.col("score") + SLACK if by == "l2" else 2 * (1 - F.col("score") + SLACK)
-        bound = F.when(F.col("n") == k, F.sqrt(F.greatest(squared, F.lit(0.0))) + SLACK)
-        rest = pair(F.slice("route", probes + 1, len(cells))).join(worst.select("query_id", bound.alias("bound")), "query_id", "left")
-        more = rest.filter(F.col("bound").isNull() | (F.col("least") <= F.col("bound"))).select("query_id", "q", "cell")
-        found = _ranked(found.drop("rank").unionByName(_best(spark, path, more, k, by).drop("rank")), k, by)
-    return found
+    parts = []
+    for block in blocks:
+        if not exact or len(cells) <= probes:
+            parts.append(_best(spark, path, block, _nearest_cells(block, cells, probes), cells, k))
+            continue
+        # A rough answer is enough for a bound.
+        first = _best(spark, path, block, _nearest_cells(block, cells, -(-probes // BOUND_SHARE)), cells, k)
+        limits = _limits(first, block, k, cells[0].by)
+        squared = limits + SLACK if cells[0].by == "l2" else 2 * (1 - limits + SLACK)
+        bound = np.sqrt(np.maximum(squared, 0)) + SLACK
+        parts.append(_best(spark, path, block, _cells_within(block, cells, bound), cells, k, limits))
+    if not parts:
+        rows = spark.read.parquet(f"{path}/vectors").limit(0).drop("embedding")
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0.0).alias("score"), *rows.columns, F.lit(1).alias("rank"))
+    return reduce(DataFrame.union, parts)
+
+
+def _limits(found: DataFrame, block: neighbours.Block, k: int, by: str) -> np.ndarray:
+    """The k-th score of each query of a block, or what bounds nothing where there are fewer."""
+    worst = found.groupBy("query_id").agg(F.count("*").alias("n"), (F.max("score") if by == "l2" else F.min("score")).alias("score"))
+    known = worst.filter(F.col("n") == k).select("query_id", "score").toArrow()  # a row a query of the block
+    at = pc.index_in(known.column("query_id").combine_chunks(), block.ids).to_numpy()
+    out = np.full(len(block.matrix), np.inf if by == "l2" else -np.inf)
+    out[at] = known.column("score").to_numpy()
+    return np.where(np.isnan(out), np.inf if by == "l2" else -np.inf, out)
+
+
+# Tasks get these functions by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
