@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dictionaries as D
-from tallyloom.functions.text import any_of, fold_case, starts_with_any, strip
+from tallyloom.functions.text import any_of, bound, fold_case, starts_with_any, strip
 
 
 def is_question(x: Column) -> Column:
@@ -16,7 +16,11 @@ def is_question(x: Column) -> Column:
 
 
 def rule_intent(x: Column) -> Column:
-    q = fold_case(x)
+    return folded_intent(fold_case(x))
+
+
+def folded_intent(q: Column) -> Column:
+    """rule_intent of a text that is folded already; fold it in a column of its own, as each rule reads it."""
     return (
         F.when(starts_with_any(q, ["what is", "define"]), "definition")
         .when(starts_with_any(q, ["how would", "how to"]), "procedure")
@@ -38,7 +42,11 @@ def folded_topics(q: Column) -> Column:
 
 
 def rule_difficulty(x: Column) -> Column:
-    q = fold_case(x)
+    return folded_difficulty(fold_case(x))
+
+
+def folded_difficulty(q: Column) -> Column:
+    """rule_difficulty of a text that is folded already."""
     return (
         F.when(starts_with_any(q, ["what is", "define", "what are"]), "easy")
         .when(any_of(q, D.HARD_VERBS), "hard")
@@ -101,30 +109,47 @@ def _sum(values: Column) -> Column:
 def nudged(scores: Column, label: Column, up: Column, down: Column) -> Column:
     """One label raised, the others lowered, all within 0-1 and summing to 1."""
     moved = F.transform_values(scores, lambda k, v: F.when(k == label, F.least(F.lit(1.0), v + up)).otherwise(F.greatest(F.lit(0.0), v - down)))
-    total = _sum(F.map_values(moved))
-    return F.when(total > 0, F.transform_values(moved, lambda k, v: v / total)).otherwise(moved)
+
+    def level(m: Column) -> Column:
+        return bound(_sum(F.map_values(m)), lambda total: F.when(total > 0, F.transform_values(m, lambda k, v: v / total)).otherwise(m))
+
+    return bound(moved, level)
 
 
-def calibrated_difficulty(scores: Column, text: Column) -> Column:
-    low = strip(F.lower(text))
+def difficulty_rule(low: Column, q: Column, scores: Column) -> Column:
+    """struct(label, boost) that correct difficulty scores; low: the text in lower case and stripped, q: folded."""
     top = F.array_max(F.map_values(scores))
     easy, hard = starts_with_any(low, D.STRONG_EASY_PREFIXES), starts_with_any(low, D.STRONG_HARD_PREFIXES)
     disguised = easy & any_of(low, ["difference between", " vs "])
-    label = F.when(disguised, "medium").when(easy, "easy").when(hard, "hard").otherwise(rule_difficulty(text))
+    label = F.when(disguised, "medium").when(easy, "easy").when(hard, "hard").otherwise(folded_difficulty(q))
     boost = F.when(disguised, 0.40).when(easy | hard, 0.55).otherwise(F.greatest(F.lit(0.20), 0.55 - top))
+    return F.struct(label.alias("label"), boost.alias("boost"))
+
+
+def calibrated_difficulty(scores: Column, text: Column, rule: Column | None = None) -> Column:
+    """rule: difficulty_rule of the text, as a column, so that it is not found again for every label."""
+    if rule is None:
+        return bound(difficulty_rule(strip(F.lower(text)), fold_case(text), scores), lambda r: calibrated_difficulty(scores, text, r))
+    top, label, boost = F.array_max(F.map_values(scores)), rule["label"], rule["boost"]
     unsure = (top_label(scores, D.DIFFICULTIES) != label) | (top < 0.70)
     return F.when(unsure, nudged(scores, label, boost, boost / 2)).otherwise(scores)
 
 
-def calibrated_intent(scores: Column, text: Column) -> Column:
-    low = F.lower(text)
-    label = (
+def intent_signal(low: Column) -> Column:
+    """The intent that corrects intent scores, if any, of a text in lower case."""
+    return (
         F.when(starts_with_any(low, ["how would", "how to", "implement", "design", "write", "describe how"]), "procedure")
         .when(starts_with_any(low, ["what is", "what are", "define", "what do"]), "definition")
         .when(low.startswith("why"), "reasoning")
         .when(low.startswith("explain") | any_of(low, ["how does", "how do"]), "explanation")
         .when(starts_with_any(low, ["compare", "difference"]) | any_of(low, ["difference between", "compare "]), "comparison")
     )
+
+
+def calibrated_intent(scores: Column, text: Column, label: Column | None = None) -> Column:
+    """label: intent_signal of the text, as a column, so that it is not found again for every label."""
+    if label is None:
+        return bound(intent_signal(F.lower(text)), lambda found: calibrated_intent(scores, text, found))
     top = F.array_max(F.map_values(scores))
     unsure = label.isNotNull() & ((F.element_at(scores, label) < top) | (top < 0.60))
     return F.when(unsure, nudged(scores, label, F.lit(0.45), F.lit(0.45 / 4))).otherwise(scores)
