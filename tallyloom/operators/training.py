@@ -91,7 +91,7 @@ def summed(rows: DataFrame, weights: np.ndarray, label_weights: np.ndarray, mult
         for batch in batches:
             n = batch.num_rows
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            wanted = np.array(batch.column("wanted").to_pylist(), dtype=float).reshape(n, shape[0])
+            wanted = batch.column("wanted").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, shape[0])
             buckets, row = _rows_of(batch.column("words"))
             z, value = scores(weights, buckets, row, n)
             loss, slope, weight = losses(z, wanted, label_weights, multi)
