@@ -74,9 +74,9 @@ def gram_times(stored: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            for i in range(0, len(words), BATCH):
-                x = dense(words[i : i + BATCH], idf)
+            for i in range(0, batch.num_rows, BATCH):
+                # Arrays of some rows: lists of a whole batch would hold an object a word.
+                x = dense(batch.column(0).slice(i, BATCH).to_numpy(zero_copy_only=False), idf)
                 total += x.T @ (x @ basis)
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[b].tobytes() for b in at], pa.binary())], names=["b", "row"])
