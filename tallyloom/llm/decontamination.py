@@ -274,7 +274,8 @@ def _with_hits(own: DataFrame, benchmark: DataFrame, n: int, item_col: str, text
         # A window may stand in very many documents: its places are dealt out by row, its items copied.
         got = got.withColumn("salt", F.pmod(F.xxhash64("_row", "first"), F.lit(SALTS)))
         wanted = wanted.select("size", "h", "item", "window").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        hits = got.join(wanted, ["size", "h", "salt"])
+        # Spark takes both sides, which are exploded, to be no larger than their tables, so it must not choose to broadcast one.
+        hits = got.hint("merge").join(wanted, ["size", "h", "salt"])
     else:
         hits = own.limit(0).select("_row", F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit("").alias("item"), F.array(F.lit("")).alias("window"))
     found = hits.groupBy(F.col("_row").alias("_hit")).agg(F.collect_set(F.struct("first", "size", "item", "window")).alias("hits"))

@@ -22,7 +22,9 @@ fingerprint of their own text; a row without an id takes the least id of its
 group, and a group without any id has none; texts of any length are taken
 whole; other columns are dropped; an empty table gives an empty result.
 
-Scale: text is read once and not shuffled; 33 numbers a document are.
+Scale: text is read once and not shuffled; 33 numbers a document are.  Spark
+sizes what an explode makes as if it were one row a row, so joins with keys or
+pairs ask for a merge: left to its sizes it would broadcast them by the driver.
 
 ``similar_groups`` is the same method set wider, for texts that differ in a
 few words in a hundred.  Copies collapse to one text.  The fingerprint is over
@@ -141,12 +143,12 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BL
         raise ValueError("blocks must exceed distance, and distance be 1 or more")
     keyed = fps.select("fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("key")).select("fp", "key.*")
     counts = keyed.groupBy("choice", "kept").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(counts, ["choice", "kept"])
+    met = keyed.hint("merge").join(counts, ["choice", "kept"])
     small = met.filter(F.col("n") <= bucket_limit)
     left = small.select("choice", "kept", F.col("fp").alias("a"))
     right = small.select("choice", "kept", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pairs = left.join(right, ["choice", "kept"]).filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    pairs = left.hint("merge").join(right, ["choice", "kept"]).filter((F.col("a") < F.col("b")) & close).select("a", "b")
     large = met.filter(F.col("n") > bucket_limit)
     if distance > 2:
         return pairs.union(_links_by_block(large, distance))
@@ -165,7 +167,7 @@ def _links_by_centre(fps: DataFrame, distance: int) -> DataFrame:
         members = listed.groupBy("centre").agg(F.sort_array(F.collect_list("fp")).alias("m")).filter(F.size("m") > 1)
         return members.select(F.element_at("m", 1).alias("a"), F.explode(F.slice("m", 2, 64)).alias("b"))
     listed = fps.select(F.col("fp").alias("b"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f).cast("long")) for f in far])).alias("a"))
-    return listed.join(fps.select(F.col("fp").alias("a")), "a").filter("a < b").select("a", "b")
+    return listed.hint("merge").join(fps.select(F.col("fp").alias("a")), "a").filter("a < b").select("a", "b")
 
 
 def _pairs_of_blocks(blocks: DataFrame, key: list[str], inside: str) -> DataFrame:
@@ -176,7 +178,7 @@ def _pairs_of_blocks(blocks: DataFrame, key: list[str], inside: str) -> DataFram
     many = blocks.filter("blocks > 1")
     pairs = many.select(*key, F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks"))).alias("j")).filter("j < blocks")
     one, two = (many.select(*key, F.col("block").alias(n), F.col(inside).alias(m)) for n, m in (("i", "a"), ("j", "b")))
-    return pairs.join(one, [*key, "i"]).join(two, [*key, "j"]).select("a", "b")
+    return pairs.hint("merge").join(one, [*key, "i"]).hint("merge").join(two, [*key, "j"]).select("a", "b")
 
 
 def _links_by_block(large: DataFrame, distance: int) -> DataFrame:
@@ -287,7 +289,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(rooted.join(crowded, "closure"), "members")
     # One row a text before the shuffle, so that copies do not meet in one task.
     once = _sifted(own, members).groupBy("node").agg(F.first("text").alias("text"))
-    chosen = once.join(members, "node").select("closure", "node", "text")
+    chosen = once.hint("merge").join(members, "node").select("closure", "node", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -310,7 +312,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
     one, two = (blocks.select("closure", F.col("band").alias(n), F.col("block").alias(i), F.col("texts").alias(m)) for n, i, m in (("p", "i", "a"), ("q", "j", "b")))
-    across = _block_pairs(layout).join(one, ["closure", "p", "i"]).join(two, ["closure", "q", "j"]).select("a", "b")
+    across = _block_pairs(layout).hint("merge").join(one, ["closure", "p", "i"]).hint("merge").join(two, ["closure", "q", "j"]).select("a", "b")
     links = blocks.select("texts").mapInArrow(verify, "a long, b long").union(across.mapInArrow(verify, "a long, b long"))
     groups = connected_components(links)
     least = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
